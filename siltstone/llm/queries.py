@@ -2,7 +2,8 @@
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .simhash import op6_simhash
 from .url_filter import OP7_SQL, op7_url_filter
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op7_url_filter": op7_url_filter}
+QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_url_filter": op7_url_filter}
 ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL}
