@@ -2,8 +2,19 @@
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .quality import op8_quality
+from .sentence_pieces import op10_sentencepiece
 from .simhash import op6_simhash
+from .token_counts import op9_token_counts
 from .url_filter import OP7_SQL, op7_url_filter
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_url_filter": op7_url_filter}
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 ORACLE = {"op4_exact_dedup": OP4_SQL, "op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL}
