@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL for those that SQL can express."""
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .flac import op1_flac
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op8_quality
 from .sentence_pieces import op10_sentencepiece
@@ -9,6 +10,7 @@ from .token_counts import op9_token_counts
 from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_flac": op1_flac,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
