@@ -2,8 +2,10 @@
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .flac import op1_flac
+from .language_model import op3_language_model
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op8_quality
+from .secrets import op2_secrets
 from .sentence_pieces import op10_sentencepiece
 from .simhash import op6_simhash
 from .token_counts import op9_token_counts
@@ -11,6 +13,8 @@ from .url_filter import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op1_flac": op1_flac,
+    "op2_secrets": op2_secrets,
+    "op3_language_model": op3_language_model,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
