@@ -113,8 +113,8 @@ def evidence(token: str) -> tuple[int, float] | None:
         return None
     far = n * textual(encoding)
     uniform = _normal_tail((m - 1 + far - x2) / math.sqrt(2 * (m - 1 + 2 * far)))
-    kind = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in token]
-    changes = binomial_tail(n - 1, sum(a != b for a, b in zip(kind, kind[1:], strict=False)), CHANGES)
+    kind = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token if c.isalnum()]  # text separates its words with the other characters
+    changes = binomial_tail(max(len(kind) - 1, 0), sum(a != b for a, b in zip(kind, kind[1:], strict=False)), CHANGES)
     half = -math.log(max(uniform, 1e-300)) - math.log(max(changes, 1e-300))
     log_p = -half + math.log1p(half)  # Fisher's combination of two p-values
     stratum = encoding * len(LENGTHS) + sum(n >= at for at in LENGTHS) - 1
