@@ -1,14 +1,23 @@
-"""FNV-1a, SimHash and Hamming distance as column expressions, without Python."""
+"""FNV-1a and Hamming distance as column expressions, and SimHash of whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import types
+
 #: 64-bit FNV-1a. The prime is 2**40 + 435, so a product needs 32-bit halves only.
 OFFSET_HIGH, OFFSET_LOW, PRIME_LOW, MASK = 0xCBF29CE4, 0x84222325, 435, 0xFFFFFFFF
 #: An ideograph, a kana or hangul character alone; else two letters or more.
 TOKEN = r"\p{IsIdeographic}|[\x{3040}-\x{30FF}\x{AC00}-\x{D7FF}]|\p{L}{2,}"
+PYTHON_TOKEN = r"\p{Ideographic}|[\u3040-\u30FF\uAC00-\uD7FF]|\p{L}{2,}"
+MEMORY = 500_000
 
 
 def _step(hi: Column, lo: Column, unit: Column) -> tuple[Column, Column]:
@@ -38,21 +47,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def simhashes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, simhash (16 hex digits; zeros without tokens) for each distinct key.
+def _fnv(word: str) -> int:
+    h, data = OFFSET_HIGH << 32 | OFFSET_LOW, word.encode("utf-16-le", "surrogatepass")
+    for low, high in zip(data[::2], data[1::2], strict=True):
+        h = (h ^ (high << 8 | low)) * ((1 << 40) + PRIME_LOW) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+@F.pandas_udf(types.of("string"))
+def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """SimHash of a text's tokens, occurrences counted, as 16 hex digits; zeros without tokens.
 
-    Words are hashed once per distinct word of the table, not once per occurrence: occurrences are
-    counted per key and word, the words' hashes join them, and each bit is a conditional sum.
+    A row is hashed where it is: counting words by joins instead would shuffle every token. Hashes
+    of words are remembered, up to MEMORY of them.
     """
-    counts = df.select(F.col(key), F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counts.withColumn("h", fnv64(F.col("word")))
-    bits = [F.sum(F.when(F.col("h").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), i)) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
-    sums = hashed.groupBy(key).agg(*bits)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    found = sums.select(key, F.lpad(F.lower(F.hex(value)), 16, "0").alias("simhash"))
-    return df.select(key).distinct().join(found, key, "left").select(key, F.coalesce("simhash", F.lit("0" * 16)).alias("simhash"))
+    import regex
+
+    find, known = regex.compile(PYTHON_TOKEN).findall, {}
+
+    def one(text: str | None) -> str:
+        counts = Counter(find((text or "").lower()))
+        if not counts:
+            return "0" * 16
+        if len(known) > MEMORY:
+            known.clear()
+        for w in counts:
+            if w not in known:
+                known[w] = _fnv(w)
+        h = np.fromiter(map(known.__getitem__, counts), ">u8", len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        ones = n @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+        return np.packbits(2 * ones > n.sum()).tobytes().hex()
+
+    for s in texts:
+        yield s.map(one)
 
 
 def as_long(hex16: Column) -> Column:

@@ -50,6 +50,8 @@ def _uri(scheme: str) -> str:
 
 
 SCRIPT_URI, DATA_URI = _uri("javascript:"), _uri("data:(?!image/)")
+# Sample, gram and least length of the repetition ratio.
+SAMPLE, GRAM, LEAST = 32_768, 16, 256
 RESERVED = rf"(?i)<{SPACE}*(/?){SPACE}*({'|'.join(RESERVED_TAGS)})"
 
 
@@ -157,18 +159,26 @@ def visible_text(html: Column, most: int = 200_000) -> Column:
     return F.trim(F.regexp_replace(t, F.lit(SPACE + "+"), F.lit(" ")))
 
 
-def repetition_ratio(text: Column, sample: int = 32_768, gram: int = 16, least: int = 256) -> Column:
-    """Share of the sample's character grams that repeat an earlier one; 0 for short texts.
+@F.pandas_udf(types.of("double"))
+def repetition_ratio(s: pd.Series) -> pd.Series:
+    """Share of the character grams of a text's sample that repeat an earlier one; 0 for short texts. Counts UTF-16 units.
 
-    The sample is split into characters once, so that a gram costs its own length and not its place.
+    Python sets of slices take a twentieth of the time of the array functions here, whose every gram is an array of its own.
     """
 
-    def ratio(chars: Column) -> Column:
-        n = F.size(chars) - gram + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, gram), ""))
-        return F.when(F.size(chars) < least, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / n)
-
-    return types.let(F.filter(F.split(F.substring(text, 1, sample), ""), lambda c: c != ""), ratio)
+    def ratio(t: str | None) -> float:
+        t = (t or "")[:SAMPLE]
+        if t.isascii() or max(t) < "\U00010000":
+            n, step, data = len(t), 1, t
+        else:
+            data = t.encode("utf-16-le")[: 2 * SAMPLE]
+            n, step = len(data) // 2, 2
+        if n < LEAST:
+            return 0.0
+        grams = n - GRAM + 1
+        return 1 - len({data[i : i + step * GRAM] for i in range(0, step * grams, step)}) / grams
+
+    return s.map(ratio)
 
 
 def sniff_mime(body: Column) -> Column:

@@ -333,7 +333,7 @@ x AS (SELECT doc_id, printf('%08x', sum(CASE WHEN bit AND i >= 32 THEN 1::BIGINT
 SELECT doc_id, coalesce(simhash, '0000000000000000') AS simhash FROM documents LEFT JOIN x USING (doc_id)"""
 )
 def simhash(spark, d):
-    return hashing.simhashes(read(spark, d, "documents"), "doc_id", "text")
+    return read(spark, d, "documents").select("doc_id", hashing.simhash("text").alias("simhash"))
 
 
 @query(

@@ -34,8 +34,7 @@ def post(calls: DataFrame, config: Config, log: DataFrame, blocklist: DataFrame,
     give content_type, hops and the cloaking comparison. Bodies are logged as hashes only.
     """
     mode = events.post_mode(mode)
-    e = sanitise(fetches(calls), "body")
-    e = e.join(hashing.simhashes(e, "id", "sanitised"), "id", "left")
+    e = sanitise(fetches(calls), "body").withColumn("simhash", hashing.simhash("sanitised"))
     minutes = config.thresholds["url_cardinality_explosion_window_minutes"]
     keep = ["id", "ts", "session_id", "domain", "url", "simhash"]
     tracked = e.filter(~F.col("is_search") & F.col("session_id").isNotNull()).select(*keep).withColumn("live", F.lit(True))
@@ -46,8 +45,7 @@ def post(calls: DataFrame, config: Config, log: DataFrame, blocklist: DataFrame,
     if refetches is None:
         e = e.withColumns({"content_type": F.lit(None).cast("string"), "redirect_hops": F.lit(0), "simhash_distance": F.lit(None).cast("int")})
     else:
-        r = sanitise(refetches.dropDuplicates(["url"]).withColumn("__url", F.col("url")), "body")
-        r = r.join(hashing.simhashes(r, "__url", "sanitised").withColumnRenamed("simhash", "__other"), "__url").select(F.col("url"), "content_type", "redirect_hops", "__other")
+        r = sanitise(refetches.dropDuplicates(["url"]), "body").select("url", "content_type", "redirect_hops", hashing.simhash("sanitised").alias("__other"))
         wanted = (F.col("tool_name") == "WebFetch") & ~urls.matches_any(F.col("domain"), config.skip_refetch)
         e = e.join(r, "url", "left").withColumn("redirect_hops", F.coalesce("redirect_hops", F.lit(0))).withColumn("simhash_distance", F.when(wanted, hashing.hamming(F.col("simhash"), F.col("__other")))).drop("__other")
     scans = history.scanned_results(e.filter("is_search").select("id", "ts", "session_id", "body"), blocklist).select("id", "scanned", "truncated", "blocked_results", "suspicious_results")

@@ -108,8 +108,10 @@ def test_tokens_and_hamming(spark):
     assert apply(spark, ["A bc, 漢字ab Ab漢字 かな x1", ""], hashing.tokens) == [["bc", "漢", "字", "ab", "ab漢字", "か", "な"], []]
     df = spark.createDataFrame([("f" * 16, "0" * 16, 64), ("8" + "0" * 15, "0" * 16, 1), ("00ff" * 4, "0f0f" * 4, 32)], "a string, b string, want int")
     assert df.filter(hashing.hamming(F.col("a"), F.col("b")) != F.col("want")).count() == 0
-    empty = hashing.simhashes(spark.createDataFrame([(1, "1 2 3"), (2, None)], "k int, t string"), "k", "t").collect()
-    assert {r.simhash for r in empty} == {"0" * 16} and len(empty) == 2
+    assert apply(spark, ["1 2 3", None], hashing.simhash) == ["0" * 16] * 2
+    t = "Ab ab cd 漢字ab かx"
+    h = [fnv(w) % 2**64 for w in ("ab", "ab", "cd", "漢", "字", "ab", "か")]
+    assert apply(spark, [t], hashing.simhash) == [f"{sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)):016x}"]
 
 
 def test_text(spark):
@@ -124,6 +126,15 @@ def test_text(spark):
     assert [(v.compatible, v.found) for v in versions] == [(True, "1.4.0"), (False, "2.0.0"), (False, None), (False, "x")]
 
 
+def test_repetition(spark):
+    long, odd = "".join(f"{i} " for i in range(9000)), "😀é" * 200
+    assert apply(spark, ["x" * 255, "x" * 256, None, odd], text.repetition_ratio)[:3] == [0.0, 1 - 1 / 241, 0.0]
+    data = odd.encode("utf-16-le")
+    assert apply(spark, [odd], text.repetition_ratio) == [1 - len({data[i : i + 32] for i in range(0, len(data) - 31, 2)}) / (len(data) // 2 - 15)]
+    cut = long[:32768]
+    assert apply(spark, [long], text.repetition_ratio) == [1 - len({cut[i : i + 16] for i in range(32753)}) / 32753]
+
+
 def test_scripts_without_end(spark):
     got = apply(spark, ["a<script src=x>\nb</script >c", "a<script x>b", "a<iframe y>b</iframe>c", "<scripts>k"], text.strip_scripts)
     assert got == ["ac", "ab", "ac", "<scripts>k"]
