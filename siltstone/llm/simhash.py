@@ -31,6 +31,8 @@ GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
 BITS, RADIUS = 23, 3
 #: Signature of similar_links: blocks, two to a word, then check words; most differing check bits.
 BLOCKS, CHECK_WORDS, CHECK_BITS = 32, 2, 27
+#: Blocks of the first round of similar_roots.
+FIRST = 4
 #: Shingles hashed at a time, rows compared at a time, largest group compared by shifts.
 CHUNK, ROWS, SHIFTED = 1 << 16, 200_000, 24
 
@@ -133,10 +135,10 @@ def anchors_of_fingerprints(fp: np.ndarray, threshold: int = 2) -> tuple[np.ndar
     return row[again], left[again] << 12 | right
 
 
-def anchors_of_signatures(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """row, anchor (5 bits of block, 12 of codeword) of signatures, (n, BLOCKS / 2) words."""
+def anchors_of_signatures(sig: np.ndarray, blocks: range = range(BLOCKS)) -> tuple[np.ndarray, np.ndarray]:
+    """row, anchor (5 bits of block, 12 of codeword) of signatures, (n, BLOCKS / 2) words, for some of the blocks."""
     rows, keys = [], []
-    for i in range(BLOCKS):
+    for i in blocks:
         block = (sig[:, i // 2] >> np.uint64(41 - 23 * (i % 2)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
         row, anchor, _ = near(block, 1)
         rows.append(row)
@@ -215,7 +217,9 @@ def _links(nodes: DataFrame, anchors: Callable, check: Callable, words: int, mos
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
             a, b = connected(cols[0], np.stack(cols[2:], 1).view(np.uint64), most)
-            pairs = np.unique(np.stack([cols[1][a], cols[1][b]]), axis=1) if len(a) else np.empty((2, 0), np.int64)
+            a, b = cols[1][a], cols[1][b]
+            other = a != b
+            pairs = np.unique(np.stack([a[other], b[other]]), axis=1) if other.any() else np.empty((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         count = 0
@@ -233,7 +237,7 @@ def _links(nodes: DataFrame, anchors: Callable, check: Callable, words: int, mos
 
     names = ["key", "node", *(f"w{k}" for k in range(words))]
     sent = nodes.mapInArrow(replicate, ", ".join(f"{n} long" for n in names))
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long").distinct()  # by node too: links lead to the smallest node that an anchor connects, the same from many anchors
 
 
 def fingerprint_links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
@@ -241,9 +245,21 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     return _links(nodes, lambda sig: anchors_of_fingerprints(sig[:, 0], threshold), lambda sig: sig, 1, threshold)
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links between signatures of BLOCKS / 2 + CHECK_WORDS words that meet at an anchor and differ in at most CHECK_BITS check bits."""
-    return _links(nodes, lambda sig: anchors_of_signatures(sig[:, : BLOCKS // 2]), lambda sig: sig[:, BLOCKS // 2 :], CHECK_WORDS, CHECK_BITS)
+def similar_links(nodes: DataFrame, blocks: range = range(BLOCKS)) -> DataFrame:
+    """a, b: links between signatures of BLOCKS / 2 + CHECK_WORDS words that meet at an anchor of the blocks and differ in at most CHECK_BITS check bits. Signatures of one node do not link."""
+    return _links(nodes, lambda sig: anchors_of_signatures(sig[:, : BLOCKS // 2], blocks), lambda sig: sig[:, BLOCKS // 2 :], CHECK_WORDS, CHECK_BITS)
+
+
+def similar_roots(nodes: DataFrame) -> DataFrame:
+    """node, root: the smallest node of each component of similar signatures, for every node.
+
+    The first blocks connect most of what belongs together; what they connected is one node for the
+    other blocks, so a large group links a few times and not once for each of its anchors.
+    """
+    first = components(similar_links(nodes, range(FIRST)), "a", "b")
+    joined = kept(nodes.join(first, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label")), "labels")
+    then = components(similar_links(joined.select(F.col("label").alias("node"), "sig"), range(FIRST, BLOCKS)), "a", "b").withColumnRenamed("node", "label")
+    return joined.join(then, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def fingerprint_groups(docs: DataFrame, shingle: int = 3, threshold: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -270,8 +286,7 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     """
     rows = kept(signatures(docs.filter(docs[doc_id].isNotNull()), shingle, BLOCKS // 2 + CHECK_WORDS, text, doc_id), "signatures")
     nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").cast("long").alias("node")).select("node", "sig"), "nodes")
-    roots = components(similar_links(nodes), "a", "b")
-    stay = nodes.select("node").join(roots, nodes["node"] == roots["node"], "left_anti")
+    stay = kept(similar_roots(nodes).filter("node = root").select("node"), "stay")
     gone = rows.select("doc_id").join(stay, F.col("doc_id") == stay["node"], "left_anti").withColumnRenamed("doc_id", "__gone")
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
 
