@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import kept, table, whole
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level BPE of VOCABULARY splits texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct lengths that one window looks at.
-BLOCK = 4096
+BLOCK = 64
 
 
 @lru_cache(2)
@@ -80,4 +80,4 @@ def at_quantiles(sums: DataFrame, quantiles: Iterable[float]) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(kept(histogram(lengths(table(spark, sf_dir, "documents"))), "histogram"))
