@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import VERSION, Config
 from ..functions import hashing, robots, shell, text, urls
-from ..operators import events, history, replay, signals, store
+from ..functions.register import register
+from ..operators import events, history, refetch, replay, signals, store
 from ..operators.sanitise import sanitise
 from ..sources import tables
 from ..streaming import state
@@ -221,8 +222,8 @@ def visible_text(spark, d):
 
 def grams(key: str, column: str, table: str) -> str:
     """SQL for the repetition ratio of a text column."""
-    return f"""g AS (SELECT {key}, length({column}) AS n, string_split(substr({column}, 1, 32768), '') AS c FROM {table}),
-r AS (SELECT {key}, CASE WHEN n < 256 THEN 0.0 ELSE round(1 - len(list_distinct(list_transform(range(1, len(c) - 14), lambda i: array_to_string(c[i:i + 15], '')))) / (len(c) - 15)::DOUBLE, 6) END AS ratio FROM g)"""
+    return f"""g AS (SELECT {key}, length({column}) AS n, least(length({column}), 32768) - 15 AS grams, {column} AS x FROM {table}),
+r AS (SELECT {key}, CASE WHEN n < 256 THEN 0.0 ELSE round(1 - len(list_distinct(list_transform(range(1, grams + 1), lambda i: substr(x, i, 16)))) / grams::DOUBLE, 6) END AS ratio FROM g)"""
 
 
 @query(f"WITH {grams('doc_id', 'text', 'documents')} SELECT doc_id, ratio FROM r")
@@ -411,6 +412,35 @@ def domain_lists(spark, d):
     return read(spark, d, "pages").select("page_id", urls.matches_any(h, CONFIG.skip_refetch).alias("skip"), urls.matches_any(h, ("owasp.org", "example.org"), subdomains=True).alias("listed"))
 
 
+HOPS = """h AS (SELECT page_id, url, hop, CASE WHEN hop = 0 THEN url WHEN hop = 2 AND page_id % 4 = 0 THEN 'http://169.254.169.254/x' WHEN hop = 1 AND page_id % 4 = 1 THEN 'file:///etc/x' ELSE 'https://hop' || hop || '.example.com/' || page_id END AS target,
+  CASE WHEN hop < page_id % 8 THEN 302 ELSE 200 END AS status FROM pages, range(8) t(hop) WHERE hop <= page_id % 8)"""
+
+
+@query(
+    f"""WITH {HOPS}, e AS (SELECT *, target LIKE 'file:%' AS f, target LIKE '%169.254%' AS p FROM h), m AS (SELECT page_id, min(hop) AS hop FROM e WHERE f OR p OR status = 200 OR hop >= 5 GROUP BY page_id)
+SELECT page_id, CASE WHEN NOT (f OR p) THEN status END AS status, CASE WHEN f OR p THEN hop - 1 ELSE hop END AS redirect_hops, CASE WHEN NOT (f OR p) THEN target END AS final_url, CASE WHEN f THEN 'refused_redirect_scheme' WHEN p THEN 'refused_redirect_to_private_host' END AS error FROM m JOIN e USING (page_id, hop)"""
+)
+def refetch_chains(spark, d):
+    p = read(spark, d, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 8).cast("int"))).alias("hop"))
+    k = F.col("page_id") % 4
+    target = F.when(F.col("hop") == 0, F.col("url")).when((F.col("hop") == 2) & (k == 0), F.lit("http://169.254.169.254/x")).when((F.col("hop") == 1) & (k == 1), F.lit("file:///etc/x")).otherwise(F.concat(F.lit("https://hop"), "hop", F.lit(".example.com/"), "page_id"))
+    hops = p.select(F.struct("page_id", "url").alias("url"), "hop", target.alias("target"), F.when(F.col("hop") < F.col("page_id") % 8, F.lit(302)).otherwise(F.lit(200)).alias("status"))
+    return refetch.chains(hops).select("url.page_id", "status", "redirect_hops", "final_url", "error")
+
+
+@query("SELECT page_id, strlen(CASE WHEN page_id % 5 = 0 THEN '' WHEN strlen(html) <= 4096 THEN html ELSE substr(repeat('x', 9000), 1, 4096) END) AS bytes FROM pages")
+def bounded_body(spark, d):
+    body = F.when(F.octet_length("html") <= 4096, F.col("html")).otherwise(F.repeat(F.lit("x"), 9000))
+    declared = F.when(F.col("page_id") % 5 == 0, F.lit(10**9)).otherwise(F.lit(0))
+    return read(spark, d, "pages").select("page_id", F.octet_length(refetch.bounded(body, declared, 4096)).cast("long").alias("bytes"))
+
+
+@query("SELECT label AS claim, count(DISTINCT split_part(host, '.', -2)) AS origins FROM (SELECT page_id % 9 AS label, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM pages) GROUP BY label")
+def corroboration(spark, d):
+    p = read(spark, d, "pages").select((F.col("page_id") % 9).alias("claim"), F.split_part(urls.plain_host(F.col("url")), F.lit("."), F.lit(-2)).alias("origin"))
+    return refetch.corroboration(p)
+
+
 RESULTS = "c AS (SELECT conv_id * 1000 + turn AS id, text || ' see https://view.example.com/' || turn || ' and http://user:pw@a.example.net/x https://sub.error.example.com/' || conv_id || ' https://view.example.com/' || turn AS body FROM conversations)"
 
 
@@ -425,6 +455,15 @@ def search_scan(spark, d):
     return s.select("id", F.col("scanned").cast("long").alias("scanned"), joined(F.col("blocked_results")).alias("blocked"), joined(F.transform("suspicious_results", lambda x: x["url"])).alias("suspicious"))
 
 
+@query(f"""WITH {RESULTS}, e AS (SELECT id, list_distinct(regexp_extract_all(body, 'https?://[^\\s"''<>()\\[\\]{{}}|\\\\]+')) AS u FROM c) SELECT id, unnest(u) AS url FROM e""")
+def scan_urls(spark, d):
+    """The urls of texts by the table function."""
+    register(spark)
+    body = F.concat("text", F.lit(" see https://view.example.com/"), "turn", F.lit(" and http://user:pw@a.example.net/x https://sub.error.example.com/"), "conv_id", F.lit(" https://view.example.com/"), "turn")
+    read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("body")).createOrReplaceTempView("__bodies")
+    return spark.sql("SELECT id, url FROM __bodies, LATERAL scan_urls(body)")
+
+
 @query(
     f"""WITH {LOG}, {BLOCKS}, h AS (SELECT id, session_id, ts, CASE WHEN id % 2 = 0 THEN 'www.' || domain ELSE domain END AS host FROM l),
 j AS (SELECT h.id, b.domain, b.source, row_number() OVER (PARTITION BY h.id ORDER BY length(b.domain) DESC) AS n FROM h JOIN b ON (host = b.domain OR ends_with(host, '.' || b.domain)) AND (b.expires_at IS NULL OR b.expires_at >= ts) AND (b.source <> 'session' OR b.session_id = h.session_id))
