@@ -15,35 +15,61 @@ from ..functions import hashing, urls
 BROADCAST_ROWS = 200_000
 
 
-def order(*keys: str) -> Window:
-    return Window.partitionBy(*keys).orderBy("ts", "id")
+#: Seconds of a bucket of running counts.
+BUCKET = 3600
+
+
+def bucket_of(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+
+
+def running(df: DataFrame, keys: list[str], amount: Column, name: str, order: list, seconds: int = BUCKET, inclusive: bool = True) -> DataFrame:
+    """df with the running sum of amount per keys, in the order given (time first), itself included or not.
+
+    Sums of buckets of time are added up first, and rows within their bucket: a key with many rows
+    is as many windows as it has buckets, and only the buckets' sums meet in one.
+    """
+    time = order[0]
+    d = df.withColumns({"__b": bucket_of(time, seconds), "__amount": amount.cast("long")})
+    totals = d.groupBy(*keys, "__b").agg(F.sum("__amount").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__b"])), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "__b"]):
+        same = same & d[k].eqNullSafe(totals[f"__k{i}"])
+    within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return d.join(totals, same).withColumn(name, F.col("__before") + F.coalesce(F.sum("__amount").over(within), F.lit(0))).select(*df.columns, name)
 
 
 def session_counts(log: DataFrame) -> DataFrame:
     """log with call_count: how many calls of its session came so far, itself included."""
-    return log.withColumn("call_count", F.count(F.lit(1)).over(order("session_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(log, ["session_id"], F.lit(1), "call_count", ["ts", "id"])
 
 
 def abort_counts(log: DataFrame) -> DataFrame:
     """log with aborts_so_far of its session and domain, itself included."""
-    return log.withColumn("aborts_so_far", F.sum(F.coalesce(F.col("abort_decision"), F.lit(False)).cast("long")).over(order("session_id", "domain").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(log, ["session_id", "domain"], F.coalesce(F.col("abort_decision"), F.lit(False)).cast("long"), "aborts_so_far", ["ts", "id"])
 
 
 def distinct_urls(log: DataFrame, minutes: float) -> DataFrame:
     """log with distinct_urls: different urls of its session and domain in the minutes before it, itself excluded.
 
     A row counts for later ones until its url comes again or the window is over, so the number is
-    a running sum of rows minus a running sum of ends: no set is kept and nothing is joined.
+    a running sum of rows minus a running sum of ends: no set is kept and nothing is joined to
+    itself. The url's next coming is looked for in a row's bucket of time and the next one.
     """
+    seconds = max(int(minutes * 60), 1)
     window = F.make_dt_interval(secs=F.lit(float(minutes) * 60))
-    again = Window.partitionBy("session_id", "domain", "url").orderBy("ts", "id")
-    rows = log.withColumns({"__next": F.lead(F.struct("ts", "id")).over(again), "__until": F.col("ts") + window})
+    b = bucket_of("ts", seconds)
+    rows = log.select("*", F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("live")), F.struct((b - 1).alias("b"), F.lit(False).alias("live")))).alias("__at"))
+    again = Window.partitionBy("session_id", "domain", "url", "__at.b").orderBy("ts", "id")
+    rows = rows.withColumns({"__next": F.lead(F.struct("ts", "id")).over(again), "__until": F.col("ts") + window}).filter("__at.live")
     first = F.when(F.col("__next.ts") <= F.col("__until"), F.col("__next")).otherwise(F.struct(F.col("__until").alias("ts"), F.lit(2**63 - 1).alias("id")))
     kept = [F.col(c) for c in log.columns]
     starts = rows.select(*kept, F.col("ts").alias("__ts"), F.col("id").cast("long").alias("__id"), F.lit(1).alias("__d"))
     ends = rows.select(*(F.col(c) if c in ("session_id", "domain") else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns), first["ts"].alias("__ts"), first["id"].cast("long").alias("__id"), F.lit(-1).alias("__d"))
-    so_far = Window.partitionBy("session_id", "domain").orderBy("__ts", "__id", F.desc("__d")).rowsBetween(Window.unboundedPreceding, -1)
-    return starts.unionByName(ends).withColumn("distinct_urls", F.coalesce(F.sum("__d").over(so_far), F.lit(0)).cast("long")).filter("__d = 1").select(*log.columns, "distinct_urls")
+    both = running(starts.unionByName(ends), ["session_id", "domain"], F.col("__d"), "distinct_urls", ["__ts", "__id", F.desc("__d")], seconds, inclusive=False)
+    return both.filter("__d = 1").select(*log.columns, "distinct_urls")
 
 
 def near_duplicates(log: DataFrame, minutes: float, distance: Column | int, recent: int = 200) -> DataFrame:
@@ -52,7 +78,7 @@ def near_duplicates(log: DataFrame, minutes: float, distance: Column | int, rece
     Each row goes to its bucket of time and, as history only, to the next one.
     """
     seconds = int(minutes * 60)
-    bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
+    bucket = bucket_of("ts", seconds)
     rows = log.select("*", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("live")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("live")))).alias("__at"))
     before = Window.partitionBy("session_id", "domain", "__at.b").orderBy("ts", "id").rowsBetween(-recent, -1)
     rows = rows.withColumn("__seen", F.collect_list(F.struct("ts", "url", "simhash")).over(before)).filter("__at.live")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -39,8 +39,7 @@ def gate(calls: DataFrame, config: Config, blocklist: DataFrame, robots_cache: D
     refused = (F.col("route") == "inspect") & F.col("__i.refuse").isNotNull()
     counted = (F.col("route") == "search") | (F.col("route") == "inspect") & ~refused | F.col("__m.matched")
     e = e.withColumns({"__counted": counted, "domain": F.when(F.col("route") == "inspect", F.col("__f.host")), "__session": F.coalesce("session_id", F.lit("unknown"))})
-    so_far = Window.partitionBy("__session").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("call_count", F.sum(F.col("__counted").cast("long")).over(so_far))
+    e = history.running(e, ["__session"], F.coalesce(F.col("__counted"), F.lit(False)).cast("long"), "call_count", ["ts", "id"])
     e = history.blocked(e, blocklist)
     path = F.concat(F.col("__f.path"), F.when(F.col("__f.query") != "", F.concat(F.lit("?"), F.col("__f.query"))).otherwise(F.lit("")))
     e = e.withColumn("__path", path)
