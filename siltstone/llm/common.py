@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/siltstone/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranges(sizes: list[int], most: int) -> Iterator[slice]:
+    """Ranges of rows of about `most` in all; a larger row is a range of its own."""
+    a = total = 0
+    for i, s in enumerate(sizes):
+        if total and total + s > most:
+            yield slice(a, i)
+            a, total = i, 0
+        total += s
+    if sizes:
+        yield slice(a, len(sizes))

@@ -9,9 +9,11 @@ remembered. A share of the texts, picked by checksum, is encoded by the sentence
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import ranges, table, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -31,7 +33,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time; units remembered at most, and the longest of them.
-CHARS, REMEMBERED, UNIT = 2_000_000, 200_000, 64
+CHARS, REMEMBERED, UNIT = 1_000_000, 200_000, 64
+#: Threads of the tokenizers library in a worker that sets none.
+THREADS = "2"
 #: One text in so many is encoded by sentencepiece too.
 VERIFIED = 64
 
@@ -124,25 +128,28 @@ class Pieces:
         if own:
             self.whole.add_tokens([AddedToken(p, normalized=True) for p in own])
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as sentencepiece gives them; the tokenizers library spreads a batch over its threads."""
         if not (self.plain and self.apart):
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         head = MARK if self.model.dummy_prefix else ""
         split = [self.unit.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set(chain.from_iterable(split)).difference(self.known))
-        self.known.update(zip(new, (e.ids for e in self.units.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out = [list(chain.from_iterable(map(self.known.__getitem__, s))) for s in split]
+        self.known.update((u, array("i", e.ids).tobytes()) for u, e in zip(new, self.units.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, s)), np.int32) for s in split]
         for u in new:
             if len(u) > UNIT:
                 del self.known[u]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [a.tolist() for a in self.arrays(texts)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: markers become spaces, byte pieces bytes, and the space before the first word goes."""
         data = b"".join(map(self.bytes.__getitem__, ids))
@@ -161,18 +168,6 @@ def reference(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
-def batches_of(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters; a longer text is a range of its own."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, verified: int = VERIFIED) -> DataFrame:
     """docs with ids (array of int), n_ids, round_trip (decoding gives the text) and parity (as sentencepiece; null where not verified).
 
@@ -185,17 +180,18 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, verified: i
     fields_, where = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         own = pieces(data.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(where).to_pylist()]
-            for a, b in batches_of(texts):
-                part = texts[a:b]
-                ids = own.encode(part)
+            for span in ranges([len(t) for t in texts], CHARS):
+                part = texts[span]
+                ids = own.arrays(part)
                 at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, at[-1])
-                same = [own.decode(i) == t for i, t in zip(ids, part, strict=True)]
-                parity = [None if zlib.crc32(t.encode()) % verified else reference(data.value).encode(t) == i for t, i in zip(part, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names)
+                flat = np.concatenate(ids)
+                same = [own.decode(i.tolist()) == t for i, t in zip(ids, part, strict=True)]
+                parity = [None if zlib.crc32(t.encode()) % verified else reference(data.value).encode(t) == i.tolist() for t, i in zip(part, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(span.start, len(part)).columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names)
 
     names = [*fields_, "ids", "n_ids", "round_trip", "parity"]
     shape = docs.select("*", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("long").alias("n_ids"), F.lit(None).cast("boolean").alias("round_trip"), F.lit(None).cast("boolean").alias("parity")).schema
