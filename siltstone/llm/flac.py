@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import ranges, table, whole
 
 #: Samples a frame, samples a batch, seek points a table holds at most, bytes a payload is a multiple of.
 FRAME, BATCH, MOST_POINTS, UNIT = 1024, 1 << 21, 900_000, 64
@@ -501,18 +501,6 @@ def payload(data: bytes) -> bytes:
     return data + bytes(-len(data) % UNIT or (0 if data else UNIT))
 
 
-def groups(sizes: list[int], most: int = BATCH) -> Iterator[slice]:
-    """Ranges of about so many bytes; a longer entry is a range of its own."""
-    a = total = 0
-    for i, s in enumerate(sizes):
-        if total and total + s > most:
-            yield slice(a, i)
-            a, total = i, 0
-        total += s
-    if sizes:
-        yield slice(a, len(sizes))
-
-
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column of FLAC streams of the padded UTF-8 text; null and empty texts give one of UNIT zero bytes. A column of that name is replaced."""
     docs = docs.drop(media)
@@ -521,7 +509,7 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [payload((t or "").encode()) for t in batch.column(where).to_pylist()]
-            for part in groups([len(d) for d in data]):
+            for part in ranges([len(d) for d in data], BATCH):
                 yield pa.RecordBatch.from_arrays([*batch.slice(part.start, part.stop - part.start).columns, pa.array(encode_batch(data[part]), pa.binary())], names)
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("binary").alias(media)).schema)
@@ -538,7 +526,7 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column(1).to_pylist()
-            for part in groups([len(d) for d in data]):
+            for part in ranges([len(d) for d in data], BATCH):
                 got: list[list] = [[], [], [], [], []]
                 for i, (stream, x) in enumerate(zip(data[part], decode_batch(data[part]), strict=True), part.start):
                     size = (stream_info(stream)["bits"] + 7) // 8
@@ -576,7 +564,7 @@ def stored_and_read(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for part in groups([len(d) for d in data]):
+            for part in ranges([len(d) for d in data], BATCH):
                 streams = encode_batch([payload(d) for d in data[part]])
                 got = []
                 for d, stream, x in zip(data[part], streams, decode_batch(streams), strict=True):
