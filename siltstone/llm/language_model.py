@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table, whole
+from .common import kept, ranges, table, whole
 from .quality import fold
 
 BASE, PROBES, BITS_PER_ENTRY, MAX_FILTER = 1.5, 4, 8, 64 << 20
-FLUSH, TOP_WORDS, REMEMBERED = 1 << 21, 500_000, 300_000
+FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 300_000
+#: Characters scored at a time.
+CHARS = 1_000_000
 #: Weight of the word's own probability against the pair's count.
 SMOOTHING = 2000.0
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -199,21 +201,39 @@ def word_counts(buckets: DataFrame) -> DataFrame:
     return buckets.select("words", "counts").mapInArrow(spread, "h long, c long")
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+def most_frequent(buckets: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The least count such that at most `most` words have it or more; those words' hashes, sorted, and their counts."""
-    how = sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
     total, least = 0, 1 << 62
-    for c, n in how:
+    for c, n in sorted(word_counts(buckets).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         total += n
         if total > most:
             break
         least = c
-    top = counts.filter(F.col("c") >= least).toPandas()
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [[np.frombuffer(x.as_py(), np.int64) for x in column] for column in batch.columns]
+            some = [c >= least for c in both[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[m].tobytes() for x, m in zip(column, some, strict=True)], pa.binary()) for column in both], ["h", "c"])
+
+    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int64)) for r in buckets.select("words", "counts").mapInArrow(pick, "h binary, c binary").toLocalIterator()]
+    h, c = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind) for k, kind in ((0, np.uint64), (1, np.int64)))
     order = np.argsort(h)
     return least, h[order], c[order]
 
 
+def gathered(parts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The filter's bits, and where each bucket's slice begins and how long it is; slices come one partition at a time."""
+    size = np.zeros(buckets, np.int64)
+    for r in parts.select("bucket", "size").collect():
+        size[r.bucket] = r.size
+    first = np.cumsum(size) - size
+    bits = np.zeros(int(size.sum()) // 8, np.uint8)
+    for r in parts.select("bucket", "bits").toLocalIterator():
+        bits[first[r.bucket] // 8 : (first[r.bucket] + size[r.bucket]) // 8] = np.frombuffer(r.bits, np.uint8)
+    return bits, first, size
+
+
 class Words(dict):
     """Word to a number; new words wait in `new` until their values are looked up."""
 
@@ -292,23 +312,18 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filt
     buckets = buckets_for(docs)
     parts = kept(counted(rows.filter("not held_out"), buckets, max_filter), "counts")
     N, V = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("kinds")).first())
-    slices = parts.select("bucket", "bits", "size").toPandas().sort_values("bucket")
-    size, first, joined = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), b"".join(slices["bits"])
-    size[slices["bucket"].to_numpy(np.int64)] = slices["size"]
-    first[1:] = np.cumsum(size)[:-1]
-    del slices
-    least, *top = most_frequent(word_counts(parts), top_words)
-    model = spark.sparkContext.broadcast({"filter": (np.frombuffer(joined, np.uint8), first, size), "top": tuple(top), "N": N, "V": V})
-    del joined
+    least, *top = most_frequent(parts, top_words)
+    model = spark.sparkContext.broadcast({"filter": gathered(parts, buckets), "top": tuple(top), "N": N, "V": V})
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n, known, logs, score, rare = scorer.batch(part.column(2).to_pylist())
+            texts = batch.column(2).to_pylist()
+            for part in ranges([len(t) for t in texts], CHARS):
+                n, known, logs, score, rare = scorer.batch(texts[part])
+                part = batch.slice(part.start, part.stop - part.start)
                 offsets = np.cumsum([0, *(len(k) for k, _ in rare)], dtype=np.int32)
                 items = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in rare]).view(np.int64)), pa.array(np.concatenate([c for _, c in rare]).astype(np.int64))], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)], names)
