@@ -30,7 +30,7 @@ FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 300_000
 #: Characters scored at a time.
 CHARS = 1_000_000
 #: Weight of the word's own probability against the pair's count.
-SMOOTHING = 2000.0
+SMOOTHING = 200.0
 END = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
