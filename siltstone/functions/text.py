@@ -183,20 +183,22 @@ def repetition_ratio(s: pd.Series) -> pd.Series:
 
 def sniff_mime(body: Column) -> Column:
     """The type that the first 512 characters show, or null."""
-    head = F.lower(F.regexp_replace(F.substring(body, 1, 512), F.lit(f"^{SPACE}+"), F.lit("")))
 
-    def starts(*heads: str) -> Column:
-        hit = F.lit(False)
-        for h in heads:
-            hit = hit | F.startswith(head, F.lit(h))
-        return hit
+    def sniffed(head: Column) -> Column:
+        def starts(*heads: str) -> Column:
+            hit = F.lit(False)
+            for h in heads:
+                hit = hit | F.startswith(head, F.lit(h))
+            return hit
 
-    return (
-        F.when(starts("<!doctype html", "<html"), F.lit("text/html"))
-        .when(starts("<?xml", "<rss", "<feed"), F.lit("application/xml"))
-        .when(starts("{", "["), F.lit("application/json"))
-        .when(starts("%pdf-"), F.lit("application/pdf"))
-    )
+        return (
+            F.when(starts("<!doctype html", "<html"), F.lit("text/html"))
+            .when(starts("<?xml", "<rss", "<feed"), F.lit("application/xml"))
+            .when(starts("{", "["), F.lit("application/json"))
+            .when(starts("%pdf-"), F.lit("application/pdf"))
+        )
+
+    return types.let(F.lower(F.regexp_replace(F.substring(body, 1, 512), F.lit(f"^{SPACE}+"), F.lit(""))), sniffed)
 
 
 def mime_agrees(declared: Column, sniffed: Column) -> Column:
@@ -243,7 +245,7 @@ def wrapper_version(raw: Column) -> Column:
 
 def phrase_found(haystack: Column, config: Config) -> Column:
     """The first configured phrase that a body made ready by for_matching contains, or null."""
-    return F.coalesce(*(F.when(F.contains(haystack, F.lit(literal_for_matching(p))), F.lit(p)) for p in config.phrases), F.lit(None).cast("string"))
+    return types.let(haystack, lambda h: F.coalesce(*(F.when(F.contains(h, F.lit(literal_for_matching(p))), F.lit(p)) for p in config.phrases), F.lit(None).cast("string")))
 
 
 def sha256(c: Column) -> Column:
