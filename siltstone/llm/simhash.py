@@ -39,32 +39,52 @@ CHUNK, ROWS, SHIFTED = 1 << 16, 200_000, 24
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def signature(text: str, shingle: int, words: int = 1) -> bytes:
-    """SimHash of words * 64 bits over word shingles, big-endian; the first word counts XXH64 itself.
-
-    Further words mix the same hash again. Fewer words than shingle: one shingle of all; none: zero.
-    """
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles in order, repeats included, CHUNK at a time; fewer words than shingle: one of all; none: nothing."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return bytes(8 * words)
+        return
     joined, ends = b" ".join(w), [n + i for i, n in enumerate(accumulate(map(len, w)))]
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[shingle - 1 :] or ends[-1:]
-    n, counts = len(last), np.zeros((8 * words, 8), np.int64)
-    for at in range(0, n, CHUNK):
-        part = b"".join([xxhash.xxh64_digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], last[at : at + CHUNK], strict=False)])
-        h = np.frombuffer(part, ">u8")
-        if words > 1:
-            h = mixed_words(h.astype(np.uint64), words).astype(">u8")
-        octets = h.view(np.uint8).reshape(-1, 8 * words)
-        if len(octets) < 64:
-            counts += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64).reshape(-1, 8)
-        else:
-            seen = np.bincount((octets + (np.arange(8 * words, dtype=np.int64) << 8)).ravel(), minlength=2048 * words)
-            counts += seen.reshape(-1, 256) @ _BYTE_BITS
+    for at in range(0, len(last), CHUNK):
+        yield np.frombuffer(b"".join([xxhash.xxh64_digest(joined[s:e], 42) for s, e in zip(starts[at : at + CHUNK], last[at : at + CHUNK], strict=False)]), ">u8")
+
+
+def ones(octets: np.ndarray) -> np.ndarray:
+    """How often each bit is set in (n, k) bytes: (k, 8)."""
+    k = octets.shape[1]
+    if len(octets) < 64:
+        return np.unpackbits(octets, axis=1).sum(0, dtype=np.int64).reshape(-1, 8)
+    seen = np.bincount((octets + (np.arange(k, dtype=np.int64) << 8)).ravel(), minlength=256 * k)
+    return seen.reshape(-1, 256) @ _BYTE_BITS
+
+
+def fingerprint(text: str, shingle: int) -> bytes:
+    """SimHash of 64 bits, big-endian: a bit is set if it is in over half the shingles' hashes; zero without words."""
+    n, counts = 0, np.zeros((8, 8), np.int64)
+    for h in shingle_hashes(text, shingle):
+        n, counts = n + len(h), counts + ones(h.view(np.uint8).reshape(-1, 8))
     return np.packbits(counts * 2 > n, axis=1).tobytes()
 
 
+def signature(text: str, shingle: int, words: int) -> bytes:
+    """SimHash of words * 64 bits of the set of shingles; where as many hashes have a bit as have not, that of the smallest hash counts.
+
+    Repeats do not count and ties are fair, so that short texts and texts of repeated lines are not near others by chance.
+    """
+    parts = list(shingle_hashes(text, shingle))
+    if not parts:
+        return bytes(8 * words)
+    h, counts = np.unique(np.concatenate(parts).astype(np.uint64)), np.zeros((8 * words, 8), np.int64)
+    for at in range(0, len(h), CHUNK // 8):
+        octets = mixed_words(h[at : at + CHUNK // 8], words).astype(">u8").view(np.uint8).reshape(-1, 8 * words)
+        if not at:
+            first = np.unpackbits(octets[0]).reshape(-1, 8)
+        counts += ones(octets)
+    return np.packbits(counts * 2 + first > len(h), axis=1).tobytes()
+
+
 def mixed_words(h: np.ndarray, words: int) -> np.ndarray:
     """(n, words): the hash, then words - 1 finalisations of it after adding multiples of an odd constant."""
     out = np.empty((len(h), words), np.uint64)
@@ -77,12 +97,12 @@ def mixed_words(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, shingle: int, words: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, sig (binary) of every row; null texts are empty."""
+def signatures(docs: DataFrame, make: Callable[[str], bytes], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, sig (binary, made from the text) of every row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [signature(t.as_py(), shingle, words) for t in batch.column(1)]
+            sig = [make(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], ["doc_id", "sig"])
 
     rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
@@ -269,7 +289,7 @@ def fingerprint_groups(docs: DataFrame, shingle: int = 3, threshold: int = 2, te
     fingerprint zero. A null doc_id is grouped like any row and never a component_id, unless its
     component has no other. Repeated rows stay repeated; no rows in, no rows out.
     """
-    rows = kept(signatures(docs, shingle, 1, text, doc_id).select("doc_id", F.conv(F.hex("sig"), 16, -10).cast("long").alias("node"), "sig"), "fingerprints")
+    rows = kept(signatures(docs, lambda t: fingerprint(t, shingle), text, doc_id).select("doc_id", F.conv(F.hex("sig"), 16, -10).cast("long").alias("node"), "sig"), "fingerprints")
     nodes = kept(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig")), "nodes")
     roots = components(fingerprint_links(nodes.select("node", "sig"), threshold), "a", "b")
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -284,7 +304,7 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     Similarity is that of the sets of five-word shingles as SimHash signatures estimate it. doc_id
     must be a whole number that tells rows apart; rows without doc_id stay.
     """
-    rows = kept(signatures(docs.filter(docs[doc_id].isNotNull()), shingle, BLOCKS // 2 + CHECK_WORDS, text, doc_id), "signatures")
+    rows = kept(signatures(docs.filter(docs[doc_id].isNotNull()), lambda t: signature(t, shingle, BLOCKS // 2 + CHECK_WORDS), text, doc_id), "signatures")
     nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").cast("long").alias("node")).select("node", "sig"), "nodes")
     stay = kept(similar_roots(nodes).filter("node = root").select("node"), "stay")
     gone = rows.select("doc_id").join(stay, F.col("doc_id") == stay["node"], "left_anti").withColumnRenamed("doc_id", "__gone")
