@@ -57,7 +57,7 @@ RESERVED = rf"(?i)<{SPACE}*(/?){SPACE}*({'|'.join(RESERVED_TAGS)})"
 
 def matches(c: Column, pattern: str) -> Column:
     """How often the pattern matches."""
-    return F.regexp_count(c, F.lit(pattern))
+    return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
 def removed(c: Column, *patterns: str) -> Column:

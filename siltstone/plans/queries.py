@@ -339,7 +339,7 @@ def simhash(spark, d):
 
 @query(
     f"""WITH {LOG}, r AS (SELECT url, min(simhash) AS other FROM l WHERE id % 5 = 0 GROUP BY url)
-SELECT id, bit_count(xor(('0x' || simhash)::BIGINT, ('0x' || other)::BIGINT)) AS simhash_distance, coalesce(bit_count(xor(('0x' || simhash)::BIGINT, ('0x' || other)::BIGINT)) > 6, false) AS cloaked FROM l LEFT JOIN r USING (url)"""
+SELECT id, bit_count(xor(('0x' || simhash)::BIGINT, ('0x' || other)::BIGINT))::BIGINT AS simhash_distance, coalesce(bit_count(xor(('0x' || simhash)::BIGINT, ('0x' || other)::BIGINT)) > 6, false) AS cloaked FROM l LEFT JOIN r USING (url)"""
 )
 def cloaking_join(spark, d):
     log = log_of(spark, d)
@@ -418,7 +418,7 @@ HOPS = """h AS (SELECT page_id, url, hop, CASE WHEN hop = 0 THEN url WHEN hop =
 
 @query(
     f"""WITH {HOPS}, e AS (SELECT *, target LIKE 'file:%' AS f, target LIKE '%169.254%' AS p FROM h), m AS (SELECT page_id, min(hop) AS hop FROM e WHERE f OR p OR status = 200 OR hop >= 5 GROUP BY page_id)
-SELECT page_id, CASE WHEN NOT (f OR p) THEN status END AS status, CASE WHEN f OR p THEN hop - 1 ELSE hop END AS redirect_hops, CASE WHEN NOT (f OR p) THEN target END AS final_url, CASE WHEN f THEN 'refused_redirect_scheme' WHEN p THEN 'refused_redirect_to_private_host' END AS error FROM m JOIN e USING (page_id, hop)"""
+SELECT page_id, CASE WHEN NOT (f OR p) THEN status END AS status, (CASE WHEN f OR p THEN hop - 1 ELSE hop END)::INTEGER AS redirect_hops, CASE WHEN NOT (f OR p) THEN target END AS final_url, CASE WHEN f THEN 'refused_redirect_scheme' WHEN p THEN 'refused_redirect_to_private_host' END AS error FROM m JOIN e USING (page_id, hop)"""
 )
 def refetch_chains(spark, d):
     p = read(spark, d, "pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 8).cast("int"))).alias("hop"))
@@ -626,7 +626,7 @@ def file_of(spark):
 
 @query(f"WITH {BLOCKS}, {FILE} SELECT domain, reason, added_at, source, expires_at, session_id FROM b WHERE source <> 'user' AND domain NOT IN (SELECT domain FROM f) UNION ALL SELECT f.domain, f.reason, coalesce(o.added_at, f.added_at), 'user', f.expires_at, o.session_id FROM f LEFT JOIN (SELECT * FROM b WHERE source <> 'user') o USING (domain)")
 def blocklist_reconcile(spark, d):
-    return store.reconcile(blocks_of(spark), file_of(spark))
+    return store.reconcile(blocks_of(spark), file_of(spark)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("added_at", "expires_at")})
 
 
 @query(f"WITH {LOG} SELECT domain, session_id, arg_max(url, (ts, id)) AS url, max(ts) AS ts FROM l GROUP BY domain, session_id")

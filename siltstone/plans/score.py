@@ -45,9 +45,10 @@ def post(calls: DataFrame, config: Config, log: DataFrame, blocklist: DataFrame,
     if refetches is None:
         e = e.withColumns({"content_type": F.lit(None).cast("string"), "redirect_hops": F.lit(0), "simhash_distance": F.lit(None).cast("int")})
     else:
-        r = sanitise(refetches.dropDuplicates(["url"]), "body").select("url", "content_type", "redirect_hops", hashing.simhash("sanitised").alias("__other"))
-        wanted = (F.col("tool_name") == "WebFetch") & ~urls.matches_any(F.col("domain"), config.skip_refetch)
-        e = e.join(r, "url", "left").withColumn("redirect_hops", F.coalesce("redirect_hops", F.lit(0))).withColumn("simhash_distance", F.when(wanted, hashing.hamming(F.col("simhash"), F.col("__other")))).drop("__other")
+        other = F.when(F.coalesce("body", F.lit("")) != "", hashing.simhash("sanitised"))
+        r = sanitise(refetches.dropDuplicates(["url"]), "body").select("url", F.col("content_type").alias("__type"), F.col("redirect_hops").alias("__hops"), other.alias("__other"))
+        wanted = (F.col("tool_name") == "WebFetch") & F.startswith("url", F.lit("http")) & ~urls.matches_any(F.col("domain"), config.skip_refetch)
+        e = e.join(r, "url", "left").withColumns({"content_type": F.when(wanted, F.col("__type")), "redirect_hops": F.when(wanted, F.coalesce("__hops", F.lit(0))).otherwise(F.lit(0)), "simhash_distance": F.when(wanted, hashing.hamming(F.col("simhash"), F.col("__other")))}).drop("__type", "__hops", "__other")
     scans = history.scanned_results(e.filter("is_search").select("id", "ts", "session_id", "body"), blocklist).select("id", "scanned", "truncated", "blocked_results", "suspicious_results")
     e = e.join(scans, "id", "left").withColumns({"blocked_results": F.coalesce("blocked_results", F.array().cast("array<string>")), "suspicious_results": F.coalesce("suspicious_results", F.array().cast("array<struct<url:string,reason:string>>"))})
     e = signals.downgraded(signals.with_tiers(signals.page_signals(e, config, "body"), config), config)
