@@ -149,6 +149,12 @@ def plain_host(url: Column) -> Column:
     return F.when(url.rlike(PLAIN_URL) & ~F.lower(url).rlike(r"^https?://([^/?#:]*\.)?0x[0-9a-f]*[:/?#]"), F.lower(F.regexp_extract(url, r"^https?://([^/?#:]*)", 1)))
 
 
+def host(url: Column) -> Column:
+    """The host of any url, null where it does not parse; only urls that plain_host leaves open are parsed in Python."""
+    plain = plain_host(url)
+    return F.coalesce(plain, url_fields(F.when(plain.isNull(), url))["host"])
+
+
 def raw_host(url: Column) -> Column:
     """The host as written: after the scheme and any user info, without the port; null without a scheme."""
     has = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")

@@ -354,8 +354,7 @@ def cloaking_join(spark, d):
 
 @query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM pages")
 def url_host(spark, d):
-    u = F.col("url")
-    return read(spark, d, "pages").select("page_id", F.coalesce(urls.plain_host(u), urls.url_fields(u)["host"]).alias("host"))
+    return read(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
 
 
 RAW_HOST = "CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN CASE WHEN hp LIKE '[%' THEN CASE WHEN hp LIKE '%]%' THEN split_part(hp, ']', 1) || ']' END ELSE split_part(hp, ':', 1) END END"

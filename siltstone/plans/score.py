@@ -22,7 +22,7 @@ def scored(pages: DataFrame, config: Config, html: str = "html", domain: str = "
 def fetches(calls: DataFrame) -> DataFrame:
     """Post events (id, ts, session_id, tool_name, tool_input, tool_response) of web tools with url, domain, body and is_search."""
     e = calls.filter(events.is_web_tool(F.col("tool_name"))).withColumns({"url": events.url_or_query(F.col("tool_input")), "is_search": F.col("tool_name") == events.SEARCH, "body": F.coalesce(events.body_of(F.col("tool_response")), F.lit("null"))})
-    host = F.coalesce(urls.plain_host(F.col("url")), urls.url_fields("url")["host"], F.lit("unknown"))
+    host = F.coalesce(urls.host(F.col("url")), F.lit("unknown"))
     return e.withColumn("domain", F.when(F.col("is_search"), F.lit("websearch")).otherwise(host))
 
 
@@ -99,7 +99,7 @@ def log_rows(scored_events: DataFrame) -> DataFrame:
 
 def piped(bodies: DataFrame, config: Config, url: str = "url", body: str = "body", nonce: Column | None = None) -> DataFrame:
     """bodies read from a pipe, with output: advice and wrapped body, always as enforced, without history and without the research-host exception."""
-    host = F.coalesce(urls.plain_host(F.col(url)), urls.url_fields(url)["host"], F.col(url))
+    host = F.coalesce(urls.host(F.col(url)), F.col(url))
     p = scored(bodies.withColumn("domain", host), config, body, allowlist=False)
     n = config.thresholds["abort_on_elevated_count"]
     lines = F.array_compact(F.array(F.when(F.size("critical") > 0, message("CRITICAL signals fired (", F.array_join("critical", ", "), "): abort this source.")).when(F.size("elevated") >= n, message(F.size("elevated"), " elevated signals fired: abort this source.")).when(F.size("elevated") > 0, message("elevated signals: ", F.array_join("elevated", ", "), ": treat with caution."))))
