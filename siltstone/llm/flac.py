@@ -103,17 +103,43 @@ def encode_batch(payloads: list[bytes], frame: int = FRAME) -> list[bytes]:
     """A FLAC stream (one channel of 8-bit samples, byte minus 128) for each payload.
 
     Each frame takes the cheapest of: verbatim, constant, fixed predictors of order 0 and 1, and a linear
-    predictor of order 2 fitted to the frame. Every stream has a seek point for each frame.
+    predictor of order 2 fitted to the frame. Every stream has a seek point for each frame. Frames are
+    made about BATCH samples at a time, so a long payload needs no more memory than many short ones.
     """
-    if not payloads:
-        return []
+    if not all(payloads):
+        raise ValueError("a payload needs a sample at least")
+    most = max(BATCH // frame, 1) * frame
+    pieces = [(i, at) for i, p in enumerate(payloads) for at in range(0, len(p), most)]
+    parts: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[np.ndarray]] = [[] for _ in payloads]
+    for span in ranges([min(most, len(payloads[i]) - at) for i, at in pieces], most):
+        chosen = pieces[span]
+        made = _frames([payloads[i][at : at + most] for i, at in chosen], [at // frame for _, at in chosen], frame)
+        for (i, _), (data, lengths) in zip(chosen, made, strict=True):
+            parts[i].append(data)
+            sizes[i].append(lengths)
+    return [_stream(p, b"".join(d), np.concatenate(n), frame) for p, d, n in zip(payloads, parts, sizes, strict=True)]
+
+
+def _stream(payload: bytes, data: bytes, lengths: np.ndarray, frame: int) -> bytes:
+    """Stream information, seek table and frames."""
+    many, digest = len(lengths), hashlib.md5((np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()).digest()
+    biggest, step = frame if many > 1 else max(16, len(payload)), -(-many // MOST_POINTS)
+    info = struct.pack(">HH", biggest, biggest) + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big") + (8000 << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + digest
+    number = np.arange(0, many, step)
+    points = np.zeros(len(number), [("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
+    points["s"], points["o"], points["n"] = number * frame, (np.cumsum(lengths) - lengths)[::step], np.minimum(frame, len(payload) - number * frame)
+    return b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + (18 * len(points)).to_bytes(3, "big") + points.tobytes() + data
+
+
+def _frames(payloads: list[bytes], numbers: list[int], frame: int) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of each payload, numbered from numbers on, and their lengths."""
     x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
     size = np.array([len(p) for p in payloads])
     frames = -(-size // frame)
-    if not frames.all():
-        raise ValueError("a payload needs a sample at least")
-    number = np.arange(frames.sum()) - np.repeat(np.cumsum(frames) - frames, frames)
-    start = np.repeat(np.cumsum(size) - size, frames) + number * frame
+    place_of = np.arange(frames.sum()) - np.repeat(np.cumsum(frames) - frames, frames)
+    number = place_of + np.repeat(numbers, frames)
+    start = np.repeat(np.cumsum(size) - size, frames) + place_of * frame
     n = np.minimum(frame, np.repeat(np.cumsum(size), frames) - start)
     f, total = len(start), len(x)
     of = np.repeat(np.arange(f), n)
@@ -191,18 +217,8 @@ def encode_batch(payloads: list[bytes], frame: int = FRAME) -> list[bytes]:
     crc = crc16(out, offset, length - 2)
     out[offset + length - 2], out[offset + length - 1] = crc >> 8, crc & 255
 
-    streams, data, i = [], out.tobytes(), 0
-    for payload, many in zip(payloads, frames.tolist(), strict=True):
-        a, z = int(offset[i]), int(offset[i + many - 1] + length[i + many - 1])
-        ln, md5 = length[i : i + many], hashlib.md5((np.frombuffer(payload, np.uint8) - np.uint8(128)).tobytes()).digest()
-        biggest = frame if many > 1 else max(16, int(n[i]))
-        info = struct.pack(">HH", biggest, biggest) + int(ln.min()).to_bytes(3, "big") + int(ln.max()).to_bytes(3, "big") + (8000 << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5
-        points = np.zeros(-(-many // -(-many // MOST_POINTS)), [("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
-        step = -(-many // MOST_POINTS)
-        points["s"], points["o"], points["n"] = np.arange(0, many, step) * frame, offset[i : i + many : step] - a, n[i : i + many : step]
-        streams.append(b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + (18 * len(points)).to_bytes(3, "big") + points.tobytes() + data[a:z])
-        i += many
-    return streams
+    data, ends = out.tobytes(), np.cumsum(frames)
+    return [(data[offset[z - m] : offset[z - 1] + length[z - 1]], length[z - m : z]) for m, z in zip(frames.tolist(), ends.tolist(), strict=True)]
 
 
 # ---------------------------------------------------------------- reading
@@ -303,8 +319,12 @@ def decode_batch(streams: list[bytes]) -> list[np.ndarray]:
         else:
             ends = [*points["s"][1:].tolist(), info["samples"]]
             lanes += [[s, first + o, a, z] for o, a, z in zip(points["o"].tolist(), points["s"].tolist(), ends, strict=True)]
-    lanes = [x for x in lanes if x[2] < x[3]]
-    while lanes:
+    waiting, lanes = [x for x in lanes if x[2] < x[3]], []
+    while waiting or lanes:
+        room = BATCH - sum(infos[x[0]]["block"] for x in lanes)
+        while waiting and (room > 0 or not lanes):  # about BATCH samples at a time
+            lanes.append(waiting.pop())
+            room -= infos[lanes[-1][0]]["block"]
         heads = [frame_header(data, at, infos[s]) for s, at, _, _ in lanes]
         if any(not h["n"] or a + h["n"] > z for h, (_, _, a, z) in zip(heads, lanes, strict=True)):
             raise BadStream("frames and seek points disagree")
