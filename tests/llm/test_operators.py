@@ -607,3 +607,27 @@ def test_sentencepiece_odd(odd, empty):
     assert sentence_pieces.encoded(empty).count() == 0
     back = sentence_pieces.decoded(coded.drop("text")).collect()
     assert sorted(r.text for r in back) == sorted(r.text or "" for r in odd.collect())
+
+
+# ---------------------------------------------------------------- plans
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_native_operators_run_no_python(spark, small):
+    for name in ("op4_exact_dedup", "op5_mixing"):
+        assert not re.search("Python|Pandas|Arrow", plan_of(QUERIES[name](spark, small)))
+
+
+def test_scans_read_only_what_is_needed(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan_of(QUERIES["op7_url_filter"](spark, small))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan_of(exact_dedup.digests(docs))
+    assert "ReadSchema: struct<text:string>" in plan_of(token_counts.lengths(docs))
+
+
+def test_no_cross_or_nested_loop_joins(spark, small):
+    for name in ("op3_language_model", "op4_exact_dedup", "op5_mixing", "op6_simhash", "op8_quality"):
+        assert not re.search("Cartesian|NestedLoop", plan_of(QUERIES[name](spark, small)))
