@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from .common import kept, ranges, table, whole
 from .quality import fold
 
 BASE, PROBES, BITS_PER_ENTRY, MAX_FILTER = 1.5, 4, 8, 64 << 20
-FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 300_000
+FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 200_000
 #: Characters scored at a time.
-CHARS = 1_000_000
+CHARS = 500_000
 #: Weight of the word's own probability against the pair's count.
 SMOOTHING = 200.0
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -320,10 +321,9 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in ranges([len(t) for t in texts], CHARS):
-                n, known, logs, score, rare = scorer.batch(texts[part])
-                part = batch.slice(part.start, part.stop - part.start)
+            for span in ranges(pc.utf8_length(batch.column(2)).to_pylist(), CHARS):
+                part = batch.slice(span.start, span.stop - span.start)
+                n, known, logs, score, rare = scorer.batch(part.column(2).to_pylist())
                 offsets = np.cumsum([0, *(len(k) for k, _ in rare)], dtype=np.int32)
                 items = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in rare]).view(np.int64)), pa.array(np.concatenate([c for _, c in rare]).astype(np.int64))], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)], names)
