@@ -2,8 +2,10 @@
 
 Counts of words and word pairs are quantised to levels (powers of BASE); an n-gram is put in the
 filter once for each level up to its own. A probe asks for level 1, 2, ... until one is missing, and
-the last level found stands for the count. The filter is broadcast: its size follows the number of
-entries up to MAX_FILTER bytes, beyond which only the rate of false positives grows.
+the last level found stands for the count. The filter's size follows the number of entries, so the
+rate of false positives does not grow with the corpus. Up to MAX_FILTER bytes it is broadcast; a
+larger one stays in its slices, and the n-grams of each chunk of texts are sent to the slices that
+answer for them and the levels back.
 
 Tasks count n-grams of about FLUSH tokens at a time and send sorted (hash, count) arrays to buckets
 of the hash range; a bucket's task adds them up exactly, writes the exact word counts, and makes
@@ -28,8 +30,8 @@ from .quality import fold
 
 BASE, PROBES, BITS_PER_ENTRY, MAX_FILTER = 1.5, 4, 8, 64 << 20
 FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 200_000
-#: Characters scored at a time.
-CHARS = 500_000
+#: Characters scored at a time, and of a chunk whose n-grams are looked up together.
+CHARS, CHUNK = 500_000, 1 << 20
 #: Weight of the word's own probability against the pair's count.
 SMOOTHING = 200.0
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +91,7 @@ class Filter:
         return out
 
 
-def slice_of(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
+def slice_of(keys: np.ndarray, counts: np.ndarray, most_bits: int = 1 << 62) -> tuple[bytes, int]:
     """The filter slice of a bucket's n-grams, and its bits; as large as its entries ask for, up to most_bits."""
     level = levels(counts)
     entries = int(level.sum())
@@ -132,14 +134,15 @@ def buckets_for(docs: DataFrame) -> int:
     return 1 << min(18, max(8, (16 * docs.rdd.getNumPartitions() - 1).bit_length()))
 
 
-def counted(train: DataFrame, buckets: int, max_filter: int = MAX_FILTER) -> DataFrame:
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys, and the end."""
+    return np.r_[np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << _U(64 - (buckets - 1).bit_length())), len(keys)]
+
+
+def counted(train: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: bits, size (of the filter slice), words and counts (exact, as arrays of 8 bytes), tokens, kinds. train: text."""
-    shift = _U(64 - (buckets - 1).bit_length())
     names = ["bucket", "k1", "c1", "k2", "c2"]
 
-    def cut(keys: np.ndarray) -> np.ndarray:
-        return np.r_[np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << shift), len(keys)]
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = Hashes(), []
 
@@ -148,7 +151,7 @@ def counted(train: DataFrame, buckets: int, max_filter: int = MAX_FILTER) -> Dat
             held.clear()
             k1, c1 = np.unique(h[1:], return_counts=True)
             k2, c2 = np.unique(pair(h[:-1], h[1:]), return_counts=True)
-            a1, a2, c1, c2 = cut(k1), cut(k2), c1.astype(np.uint32), c2.astype(np.uint32)
+            a1, a2, c1, c2 = cuts(k1, buckets), cuts(k2, buckets), c1.astype(np.uint32), c2.astype(np.uint32)
             some = np.flatnonzero((np.diff(a1) > 0) | (np.diff(a2) > 0)).tolist()
             parts = [[x[a[i] : a[i + 1]].tobytes() for i in some] for x, a in ((k1, a1), (c1, a1), (k2, a2), (c2, a2))]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names)
@@ -170,7 +173,7 @@ def counted(train: DataFrame, buckets: int, max_filter: int = MAX_FILTER) -> Dat
         def done() -> pa.RecordBatch:
             k1, c1 = summed(held[0], held[1])
             k2, c2 = summed(held[2], held[3])
-            bits, size = slice_of(np.r_[k1, k2], np.r_[c1, c2], max_filter * 8 // buckets)
+            bits, size = slice_of(np.r_[k1, k2], np.r_[c1, c2])
             values = at, bits, size, k1.tobytes(), c1.tobytes(), int(c1.sum()), len(k1)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "bits", "size", "words", "counts", "tokens", "kinds"])
 
@@ -235,6 +238,70 @@ def gathered(parts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     return bits, first, size
 
 
+def keys_of(texts: list[str], hashes: Hashes) -> np.ndarray:
+    """The distinct n-grams, sorted, that scoring the texts asks for."""
+    h = np.array([x for t in texts for x in (*map(hashes.__getitem__, words_of(t)), int(END))], np.uint64)
+    return np.unique(np.r_[h, pair(np.r_[END, h[:-1]], h)])
+
+
+class Levels:
+    """The levels of the n-grams of a chunk, found in the slices before."""
+
+    def __init__(self, keys: np.ndarray, found: np.ndarray):
+        if len(keys) != len(found):
+            raise ValueError(f"{len(found)} levels for {len(keys)} n-grams")
+        self.keys, self.found = keys, found.astype(np.int64)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def chunked(numbered: DataFrame, buckets: int) -> DataFrame:
+    """Chunks of about CHUNK characters: one row of lists of rows (bucket -1), and one row of keys for each bucket asked."""
+    kind = numbered.schema["doc_id"].dataType.simpleString()
+    shape = f"chunk long, bucket int, keys binary, row array<long>, doc_id array<{kind}>, text array<string>, held_out array<boolean>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for span in ranges(pc.utf8_length(batch.column(2)).to_pylist(), CHUNK):
+                part = batch.slice(span.start, span.stop - span.start)
+                keys = keys_of(part.column(2).to_pylist(), hashes)
+                at = cuts(keys, buckets)
+                some = np.flatnonzero(np.diff(at) > 0).tolist()
+                n, chunk = 1 + len(some), part.column(0)[0].as_py()
+                lists = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), c) for c in part.columns]
+                lists = [c.take(pa.array([0] + [None] * (n - 1), pa.int32())) for c in lists]
+                asked = [None, *(keys[at[i] : at[i + 1]].tobytes() for i in some)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([-1, *some], pa.int32()), pa.array(asked, pa.binary()), *lists], names)
+
+    names = ["chunk", "bucket", "keys", "row", "doc_id", "text", "held_out"]
+    return numbered.mapInArrow(run, shape)
+
+
+def looked_up(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """chunk, bucket, levels (one byte a key) of asked (chunk, bucket, keys); each slice is read once and holds still while it is asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = f = None
+        for batch in batches:
+            chunks, buckets, found = [], [], []
+            for i in range(batch.num_rows):
+                b, data = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                if batch.column(1)[i].as_py() is None:
+                    at, f = b, Filter(np.frombuffer(data, np.uint8), np.array([0]), np.array([batch.column(3)[i].as_py()]))
+                    continue
+                keys = np.frombuffer(data, np.uint64)
+                chunks.append(batch.column(1)[i].as_py())
+                buckets.append(b)
+                found.append((f.level(keys) if b == at else np.zeros(len(keys))).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(found, pa.binary())], ["chunk", "bucket", "levels"])
+
+    slices = parts.select("bucket", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"), "size")
+    both = slices.unionByName(asked.select("bucket", "chunk", F.col("keys").alias("data"), F.lit(None).cast("long").alias("size")))
+    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, "chunk long, bucket int, levels binary")
+
+
 class Words(dict):
     """Word to a number; new words wait in `new` until their values are looked up."""
 
@@ -251,7 +318,7 @@ class Scorer:
     """Scores texts with the broadcast parts of a model."""
 
     def __init__(self, model: dict):
-        self.m, self.filter, self.mean = model, Filter(*model["filter"]), expected()
+        self.m, self.filter, self.mean = model, model["filter"] and Filter(*model["filter"]), expected()
         self.forget()
 
     def forget(self) -> None:
@@ -311,25 +378,54 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filt
     spark = docs.sparkSession
     rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"), (fold(docs[doc_id], 10) == 0).alias("held_out"))
     buckets = buckets_for(docs)
-    parts = kept(counted(rows.filter("not held_out"), buckets, max_filter), "counts")
-    N, V = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("kinds")).first())
+    parts = kept(counted(rows.filter("not held_out"), buckets), "counts")
+    N, V, bits = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("kinds"), F.sum("size")).first())
+    fits = bits <= max_filter * 8
     least, *top = most_frequent(parts, top_words)
-    model = spark.sparkContext.broadcast({"filter": gathered(parts, buckets), "top": tuple(top), "N": N, "V": V})
+    model = spark.sparkContext.broadcast({"filter": gathered(parts, buckets) if fits else None, "top": tuple(top), "N": N, "V": V})
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
     kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
 
+    def score(scorer: Scorer, row: pa.Array, doc_id: pa.Array, text: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
+        for span in ranges(pc.utf8_length(text).to_pylist(), CHARS):
+            row_, doc_id_, text_, held_out_ = (c[span] for c in (row, doc_id, text, held_out))
+            n, known, logs, score, rare = scorer.batch(text_.to_pylist())
+            offsets = np.cumsum([0, *(len(k) for k, _ in rare)], dtype=np.int32)
+            items = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in rare]).view(np.int64)), pa.array(np.concatenate([c for _, c in rare]).astype(np.int64))], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([row_, doc_id_, held_out_, pa.array(n), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            for span in ranges(pc.utf8_length(batch.column(2)).to_pylist(), CHARS):
-                part = batch.slice(span.start, span.stop - span.start)
-                n, known, logs, score, rare = scorer.batch(part.column(2).to_pylist())
-                offsets = np.cumsum([0, *(len(k) for k, _ in rare)], dtype=np.int32)
-                items = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in rare]).view(np.int64)), pa.array(np.concatenate([c for _, c in rare]).astype(np.int64))], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)], names)
+            yield from score(scorer, *batch.columns)
+
+    def run_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, hashes, columns, found = Scorer(model.value), Hashes(), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            scorer.filter = Levels(keys_of(columns[2].to_pylist(), hashes), np.frombuffer(b"".join(found), np.uint8))
+            yield from score(scorer, *columns)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(1)[i].as_py() >= 0:
+                    found.append(batch.column(2)[i].as_py())
+                    continue
+                if columns:
+                    yield from done()
+                columns, found = [c[i].values for c in batch.columns[3:]], []
+        if columns:
+            yield from done()
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    half = kept(numbered.mapInArrow(run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<h:long,n:long>>"), "scores")
+    shape = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<h:long,n:long>>"
+    if fits:
+        half = kept(numbered.mapInArrow(run, shape), "scores")
+    else:
+        chunks = kept(chunked(numbered, buckets), "chunks")
+        found = looked_up(chunks.filter("bucket >= 0").select("chunk", "bucket", "keys"), parts)
+        both = chunks.filter("bucket < 0").withColumnRenamed("keys", "levels").unionByName(found, allowMissingColumns=True)
+        half = kept(both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run_chunks, shape), "scores")
     others = half.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n").join(word_counts(parts).filter(F.col("c") < least), "h", "left")
     c = F.coalesce("c", F.lit(0))
     others = others.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("other_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("other_known"))

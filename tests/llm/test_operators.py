@@ -320,6 +320,15 @@ def test_language_model_odd(spark, odd, empty):
     assert {(r.train_tokens, r.n_known) for r in language_model.scored(held).collect()} == {(0, 0)}
 
 
+def test_language_model_beyond_the_broadcast(spark, small, odd):
+    """A filter larger than the bound scores as the broadcast one does."""
+    for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
+        want, got = (sorted(language_model.scored(docs, max_filter=m).collect(), key=str) for m in (1 << 26, 64))
+        assert len(got) == len(want) > 0
+        for a, b in zip(want, got, strict=True):
+            assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score, rel=1e-12) and a.score == pytest.approx(b.score, rel=1e-12)
+
+
 # ---------------------------------------------------------------- op4
 
 
