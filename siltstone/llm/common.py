@@ -44,6 +44,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a number of its own for every row, __row, written so that it stays the same; doc_id may be null or repeated."""
+    return kept(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def ranges(sizes: list[int], most: int) -> Iterator[slice]:
     """Ranges of rows of about `most` in all; a larger row is a range of its own."""
     a = total = 0

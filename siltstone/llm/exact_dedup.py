@@ -13,21 +13,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, kept, table, whole
+from .common import SPACES, kept, numbered, table, whole
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text_sha256 of the text without white space, points (code points of the original)."""
+    """doc_id, row (its number), text_sha256 of the text without white space, points (code points of the original)."""
     t = whole(docs[text])
-    return docs.select(docs[doc_id].alias("doc_id"), F.sha2(F.translate(t, SPACES, ""), 256).alias("text_sha256"), F.length(t).cast("long").alias("points"))
+    row = docs["__row"] if "__row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(docs[doc_id].alias("doc_id"), row.alias("row"), F.sha2(F.translate(t, SPACES, ""), 256).alias("text_sha256"), F.length(t).cast("long").alias("points"))
 
 
 def frequent(rows: DataFrame, heavy: int, tracked: int) -> DataFrame:
-    """The verified frequent digests: text_sha256, keep_id, group_size; at most `heavy` rows."""
+    """The verified frequent digests: text_sha256, keep_id, keep_row, group_size; at most `heavy` rows."""
     named = rows.agg(F.expr(f"approx_top_k(text_sha256, {int(heavy)}, {int(tracked)})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
-    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i")))
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row").alias("r")))
     exact = rows.join(F.broadcast(named), "text_sha256").groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return exact.filter("group_size > 1").select("text_sha256", F.col("best.i").alias("keep_id"), "group_size")
+    return exact.filter("group_size > 1").select("text_sha256", F.col("best.i").alias("keep_id"), F.col("best.r").alias("keep_row"), "group_size")
+
+
+def placed(docs: DataFrame, text: str, doc_id: str, heavy: int = 256, tracked: int = 4096) -> DataFrame:
+    """doc_id, row, keep_id, keep_row (the row that stays), group_size, text_sha256 for every row of docs."""
+    rows = kept(digests(docs, text, doc_id), "digests")
+    top = kept(frequent(rows, heavy, tracked), "frequent")
+    known = rows.join(F.broadcast(top), "text_sha256")
+    group = Window.partitionBy("text_sha256")
+    first = group.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"), "row")
+    rest = rows.join(F.broadcast(top.select("text_sha256")), "text_sha256", "left_anti").withColumns({
+        "keep_id": F.first("doc_id").over(first), "keep_row": F.first("row").over(first), "group_size": F.count(F.lit(1)).over(group),
+    })
+    return known.unionByName(rest)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", heavy: int = 256, tracked: int = 4096) -> DataFrame:
@@ -38,22 +52,14 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", he
     rows of one doc_id count in group_size and share the verdict. An empty table gives no rows;
     further columns are ignored.
     """
-    rows = kept(digests(docs, text, doc_id), "digests")
-    top = kept(frequent(rows, heavy, tracked), "frequent")
-    known = rows.join(F.broadcast(top), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    first = group.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
-    rest = rows.join(F.broadcast(top.select("text_sha256")), "text_sha256", "left_anti").withColumns({
-        "keep_id": F.first("doc_id").over(first), "group_size": F.count(F.lit(1)).over(group),
-    })
-    out = known.unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return placed(docs, text, doc_id, heavy, tracked).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the rows whose equal stays elsewhere; columns as they were."""
-    gone = exact_groups(docs, text, doc_id).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
+    """docs with exactly one row of each set of equal texts, whatever their doc_id; columns as they were."""
+    rows = numbered(docs)
+    gone = placed(rows, text, doc_id).filter("row != keep_row").select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,6 +343,17 @@ def test_exact_odd(odd, empty):
     assert exact_dedup.drop_exact(odd).columns == odd.columns
 
 
+def test_exact_keeps_one_row_of_each_text(spark, odd):
+    """Also of rows without a doc_id, or with a repeated one."""
+    squeezed = lambda r: re.sub(r"[ \t-\r]", "", r.text or "")
+    got = [squeezed(r) for r in exact_dedup.drop_exact(odd).collect()]
+    assert sorted(got) == sorted({squeezed(r) for r in odd.collect()})
+    docs = spark.createDataFrame([(None, "own"), (None, "twice"), (None, "twice"), (1, "twice"), (2, "x"), (2, "y"), (3, "y")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_exact(docs).collect()) == [(0, "own"), (1, "twice"), (2, "x"), (2, "y")]
+    hot = spark.range(400).selectExpr("IF(id % 3 = 0, NULL, id % 7) AS doc_id", "IF(id < 300, 'hot', concat('own ', id)) AS text")
+    assert exact_dedup.drop_exact(hot).count() == 101
+
+
 def test_exact_heavy(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN concat('hot text', repeat(' ', int(id % 5))) ELSE concat('own ', id % 1500) END AS text")
     got = exact_dedup.exact_groups(docs, heavy=4, tracked=64).groupBy("keep_id", "group_size").count().collect()
