@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, table, whole
+from .common import WORD, kept, numbered, table, whole
 
 #: Rows that a cell of a source with all rows in one size class would have, and the most buckets.
 CELL_ROWS, MOST_BUCKETS = 2000, 65536
@@ -28,8 +28,9 @@ KEY = ["no_source", "src"]
 
 
 def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, the source as a non-null key, size in words (0 for null)."""
-    return docs.select(docs[doc_id].alias("doc_id"), docs[source].isNull().alias("no_source"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"))
+    """doc_id, row (its number), the source as a non-null key, size in words (0 for null)."""
+    row = docs["__row"] if "__row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(docs[doc_id].alias("doc_id"), row.alias("row"), docs[source].isNull().alias("no_source"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(rows: DataFrame, weights: Sequence[int], share: float, cap: int) -> DataFrame:
@@ -54,13 +55,18 @@ def targets(rows: DataFrame, weights: Sequence[int], share: float, cap: int) ->
     return s.select(*KEY, "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("e"), offset.alias("u"))
 
 
-def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted), copies.
 
     Sources by code point, null last, take the weights in turn. A source without words has target 0
     and its documents no copies; empty documents take 0 words. Ties in size go by doc_id, null
     first; repeated rows count as rows of their own. An empty table gives no rows.
     """
+    return ranked(docs, text, doc_id, source, **how).drop("row")
+
+
+def ranked(docs: DataFrame, text: str, doc_id: str, source: str, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """The mixture with the number of each row."""
     rows = kept(sizes(docs, text, doc_id, source), "sizes")
     buckets = max(1, min(MOST_BUCKETS, -(-rows.count() // CELL_ROWS)))
     bits = F.length(F.bin("size"))
@@ -71,17 +77,17 @@ def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     so_far = Window.partitionBy(*KEY).orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
     cells = cells.join(targets(rows, weights, share, cap), KEY).drop("n")
-    ranked = rows.join(cells, cell).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id")))
+    placed = rows.join(cells, cell).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id", "row")))
     crossed = F.floor(F.col("r") * F.col("e") + F.col("u")) - F.floor((F.col("r") - 1) * F.col("e") + F.col("u"))
-    out = ranked.withColumn("copies", F.least(crossed, F.lit(cap).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = placed.withColumn("copies", F.least(crossed, F.lit(cap).cast("long")))
+    return out.select("doc_id", "row", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """docs with each row as often as the mixture takes it; columns as they were. doc_id must tell rows apart."""
-    copies = mixture(docs, text, doc_id, source, **how).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    both = docs.join(copies, docs[doc_id].eqNullSafe(copies["__id"]))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    """docs with each row as often as the mixture takes it; columns as they were. doc_id may be null or repeated."""
+    rows = numbered(docs)
+    copies = ranked(rows, text, doc_id, source, **how).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,6 +381,16 @@ def test_mixing_odd(odd, empty):
     assert some.columns == odd.columns and some.count() >= 1
 
 
+def test_mixing_of_rows_without_or_with_repeated_ids(spark, odd):
+    many = spark.range(600).selectExpr("IF(id % 3 = 0, NULL, id % 5) AS doc_id", "concat('w', id, repeat(' w', int(id % 9))) AS text", "concat('s', id % 4) AS source")
+    for docs in (odd, many):
+        out = collections.Counter(r.text for r in mixing.mixed(docs).collect())
+        have = collections.Counter(r.text for r in docs.collect())
+        assert out and all(n <= 2 * have[t] for t, n in out.items())
+        want = mixing.mixture(docs).agg({"copies": "sum"}).first()[0]
+        assert sum(out.values()) == want
+
+
 # ---------------------------------------------------------------- op6
 
 
