@@ -639,6 +639,30 @@ def test_sentencepiece_odd(odd, empty):
     assert sorted(r.text for r in back) == sorted(r.text or "" for r in odd.collect())
 
 
+def test_sentencepiece_verifies_every_text(spark, small):
+    rows = QUERIES["op10_sentencepiece"](spark, small).select("parity").collect()
+    assert rows and all(r.parity is True for r in rows)
+
+
+def test_sentencepiece_parity_finds_a_wrong_unit():
+    with open(sentence_pieces.MODEL, "rb") as f:
+        data = f.read()
+    own, other = sentence_pieces.Pieces(data), sentence_pieces.reference(data)
+    texts = [*SAMPLES, "a ", "a  ", " ", "  a", "▁", "a▁b"]
+    ids, same = own.verified(texts, other)
+    assert all(same) and [i.tolist() for i in ids] == other.encode(texts)
+
+    class Broken:
+        def encode_batch_fast(self, units, **_):
+            return [type("E", (), {"ids": [5] if "wrong" in u else e.ids}) for u, e in zip(units, whole.encode_batch_fast(units, add_special_tokens=False), strict=True)]
+
+    own, whole = sentence_pieces.Pieces(data), own.units
+    own.units = Broken()
+    texts = ["all fine", "one wrong word", "fine again", "wrong"]
+    ids, same = own.verified(texts, other)
+    assert same == [True, False, True, False] and [i.tolist() for i in ids] == other.encode(texts)
+
+
 # ---------------------------------------------------------------- plans
 
 
