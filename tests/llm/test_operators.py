@@ -480,6 +480,27 @@ def test_similar_documents_go_and_others_stay(spark):
     assert {group[i] for i in stay if i < 1000} == set(range(60))
 
 
+def test_similar_decides_by_the_sets(spark):
+    """Texts of similarity 0.55 to 0.78 all stay; groups are those of brute force; rows need no doc_id of their own."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(base)
+        for share in (0.004, 0.012, 0.03, 0.04, 0.05):
+            texts.append(variant(" ".join(base), rng, share).split())
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = brute_components(range(len(texts)), lambda a, b: a // 6 == b // 6 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    stay = {r.doc_id for r in simhash.drop_similar(docs).collect()}
+    want = set(root.values())
+    assert want <= stay and len(stay - want) <= 0.02 * len(texts)
+    blank = docs.selectExpr("IF(doc_id % 2 = 0, NULL, 7) AS doc_id", "text")
+    assert len(want) <= simhash.drop_similar(blank).count() <= len(want) + 0.02 * len(texts)
+    short = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e f"), (3, "A b c d e")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_similar(short).collect()) == [1, 2]
+
+
 def test_simhash_odd(odd, empty):
     got = simhash.fingerprint_groups(odd).collect()
     assert len(got) == odd.count() and simhash.fingerprint_groups(empty).count() == 0
