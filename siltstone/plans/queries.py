@@ -6,6 +6,7 @@ them, in both engines by the same expression.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..functions import hashing, robots, shell, text, urls
 from ..functions.register import register
 from ..operators import events, history, refetch, replay, signals, store
 from ..operators.sanitise import sanitise
+from ..session import shared_folder
 from ..sources import tables
 from ..streaming import state
 from . import gate as gates
@@ -734,10 +736,7 @@ def post_scores(spark, d):
 
 def streamed(spark: SparkSession, build: Callable[[DataFrame], DataFrame], d: str, mode: str) -> DataFrame:
     """The rows that a stream over the log gives when it has read all there is, from a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-")).rstrip("/") + f"/siltstone/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/siltstone/{uuid.uuid4().hex}"
     log_of(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts")).repartition("day").sortWithinPartitions("ts").drop("day").write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     rows = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
