@@ -25,54 +25,77 @@ ENDLESS = frozenset("area base br col embed hr img input link meta param source
 FURNITURE = ("nav", "noscript", "svg", "aside")
 MOST_HIDDEN, MOST_FURNITURE, MOST_TAGS = 500, 200, 10_000
 
-HIDDEN = re.compile(
-    rf"""(?ai)<([a-z][a-z0-9]*)\b([^>]*?)(?:\bstyle{S}*={S}*(?:"[^"]*?{CONCEALING}[^"]*?"|'[^']*?{CONCEALING}[^']*?')|\baria-hidden{S}*={S}*(?:"true"|'true')|\bhidden(?=[>{S[1:]}))[^>]*>"""
-)
-#: The same as a cheap test for columns, a little wider.
-MAY_HIDE = rf"(?i)aria-hidden|hidden|{CONCEALING.replace(S, '.{0,9}')}"
+#: What conceals the element whose tag has it: a style, or one of two attributes.
+CONCEALED = re.compile(rf"""(?ai)\b(?:style{S}*={S}*(?:"[^"]*?{CONCEALING}[^"]*?"|'[^']*?{CONCEALING}[^']*?')|aria-hidden{S}*={S}*(?:"true"|'true')|hidden(?=[>{S[1:]}))""")
+TAG = re.compile(r"(?ai)<([a-z][a-z0-9]*)\b")
+#: The words without which nothing is concealed.
+MAY_HIDE = re.compile(r"(?ai)hidden|style")
 
 
 def utf16(s: str) -> int:
-    return len(s) + sum(c > "￿" for c in s) if not s.isascii() else len(s)
+    return len(s) + sum(c > "\uffff" for c in s) if not s.isascii() else len(s)
+
+
+def concealed(html: str) -> tuple[int, int, str] | None:
+    """Start, end and name of the first tag that conceals its element.
+
+    What conceals is sought first, and its tag is the first one opened since the last >, so no tag is read twice.
+    """
+    last, at = html.rfind(">"), 0
+    while m := CONCEALED.search(html, at):
+        at = m.start() + 1  # what looks concealing outside a tag may have a tag inside
+        if m.end() > last:
+            continue
+        tag = TAG.search(html, html.rfind(">", 0, m.start()) + 1, m.start())
+        if tag:
+            return tag.start(), html.index(">", m.end()) + 1, tag[1].lower()
+    return None
+
+
+def opened(html: str, tag: re.Pattern) -> tuple[int, int] | None:
+    """Start and end of the first tag; nothing is sought beyond the last >."""
+    m = tag.search(html, 0, html.rfind(">") + 1)
+    return m and m.span()
 
 
 def element_end(html: str, tag: str, start: int) -> int | None:
     """Where the element whose opening tag ends at start is over, counting nested tags of its name; None if nowhere."""
     open_tags = 1
-    for seen, m in enumerate(re.finditer(rf"(?ai)<(/?){tag}\b[^>]*>", html[start:])):
+    for seen, m in enumerate(re.compile(rf"(?ai)<(/?){tag}\b[^>]*>").finditer(html, start, html.rfind(">") + 1)):
         if seen >= MOST_TAGS:
             return None
         open_tags += -1 if m[1] else 1
         if not open_tags:
-            return start + m.end()
+            return m.end()
     return None
 
 
-def without(html: str, find: Callable[[str], re.Match | None], name: Callable[[re.Match], str], rounds: int) -> tuple[str, int]:
+def without(html: str, find: Callable[[str], tuple[int, int, str] | None], rounds: int) -> tuple[str, int]:
     """html without the elements that find meets, always looking from the top again, and the UTF-16 units removed.
 
     An element without an end loses its opening tag only, so malformed markup never costs the rest of the page.
     """
     gone = 0
     for _ in range(rounds):
-        m = find(html)
-        if m is None:
+        found = find(html)
+        if found is None:
             break
-        tag = name(m)
-        end = (None if tag in ENDLESS else element_end(html, tag, m.end())) or m.end()
-        gone += utf16(html[m.start() : end])
-        html = html[: m.start()] + html[end:]
+        start, end, tag = found
+        end = (None if tag in ENDLESS else element_end(html, tag, end)) or end
+        gone += utf16(html[start:end])
+        html = html[:start] + html[end:]
     return html, gone
 
 
 def strip_hidden(html: str) -> tuple[str, int]:
-    return without(html, HIDDEN.search, lambda m: m[1].lower(), MOST_HIDDEN)
+    return without(html, concealed, MOST_HIDDEN) if MAY_HIDE.search(html) else (html, 0)
 
 
 def strip_furniture(html: str) -> tuple[str, int]:
     gone = 0
     for tag in FURNITURE:
-        html, n = without(html, re.compile(rf"(?ai)<{tag}\b[^>]*>").search, lambda m, tag=tag: tag, MOST_FURNITURE)
+        pattern = re.compile(rf"(?ai)<{tag}\b[^>]*>")
+        html, n = without(html, lambda h, p=pattern, t=tag: (m := opened(h, p)) and (*m, t), MOST_FURNITURE)
         gone += n
     return html, gone
 

@@ -1,7 +1,10 @@
 """Properties of the functions that run in Python, on random inputs."""
 
+import random
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,7 +42,7 @@ def test_fnv_of_units(word):
 @given(st.lists(st.sampled_from(["<div>", "</div>", '<div hidden>', "<p>", "</p>", '<p style="display:none">', "text", "<img hidden >", "<nav>", "</nav>", "é😀"]), max_size=12).map("".join))
 def test_stripping_loses_no_visible_text_at_the_end(page):
     kept, gone = markup.strip_hidden(page + "TAIL")
-    assert kept.endswith("TAIL") and gone == markup.utf16(page + "TAIL") - markup.utf16(kept) and not markup.HIDDEN.search(kept)
+    assert kept.endswith("TAIL") and gone == markup.utf16(page + "TAIL") - markup.utf16(kept) and markup.concealed(kept) is None
 
 
 @SOME
@@ -67,3 +70,41 @@ def test_open_quotes(command):
 def test_matching_form_is_stable(s):
     once = text.literal_for_matching(s)
     assert not re.search("  ", once)
+
+
+def test_structural_stripping_equals_the_regular_expression():
+    """The tag that conceals, as one expression would find it, which takes quadratic time on malformed pages."""
+    S = markup.S
+    one = re.compile(rf"""(?ai)<([a-z][a-z0-9]*)\b([^>]*?)(?:\bstyle{S}*={S}*(?:"[^"]*?{markup.CONCEALING}[^"]*?"|'[^']*?{markup.CONCEALING}[^']*?')|\baria-hidden{S}*={S}*(?:"true"|'true')|\bhidden(?=[>{S[1:]}))[^>]*>""")
+
+    def end(html, tag, start):
+        depth = 1
+        for m in re.finditer(rf"(?ai)<(/?){tag}\b[^>]*>", html[start:]):
+            depth += -1 if m[1] else 1
+            if not depth:
+                return start + m.end()
+        return start
+
+    def slow(html, find, name):
+        while m := find(html):
+            tag = name(m)
+            html = html[: m.start()] + html[m.end() if tag in markup.ENDLESS else end(html, tag, m.end()) :]
+        return html
+
+    pieces = ["<div", "<p", "<br", "<hidden", "</div>", "</p>", ">", " ", "hidden", 'aria-hidden="true"', "aria-hidden='true'", 'style="', "style='", '"', "'", "display:none", "width:0;", "x", "<", "<nav", "</nav>", "<svg>", "</svg>", "<aside ", "text", "left: -999", "/"]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 22)))
+        assert markup.strip_hidden(html)[0] == slow(html, one.search, lambda m: m[1].lower())
+        want = html
+        for tag in markup.FURNITURE:
+            want = slow(want, re.compile(rf"(?ai)<{tag}\b[^>]*>").search, lambda m, tag=tag: tag)
+        assert markup.strip_furniture(html)[0] == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a hidden ", "<nav ", '<div style="display ', "<p style='", "<div hidden>x</div>"])
+def test_malformed_pages_take_linear_time(piece):
+    html = piece * (10**6 // len(piece))
+    began = time.process_time()
+    markup.strip_hidden(html), markup.strip_furniture(html)
+    assert time.process_time() - began < 3
