@@ -64,3 +64,26 @@ def verdicts(requests: DataFrame, rules: DataFrame, domain: str = "domain", path
 def fresh(cache: DataFrame, at: Column, hours: float) -> DataFrame:
     """Rows of a cache that are at most so many hours old."""
     return cache.filter(F.col("fetched_at") >= at - F.make_dt_interval(hours=F.lit(int(hours))))
+
+
+def versions(cache: DataFrame, hours: float) -> DataFrame:
+    """robots (a key for directives), domain, body, since, until and bucket of every cached file: it counts from its fetch until the next of its domain, and no longer than so many hours.
+
+    A file lies in two buckets of that length of time, one of which has the bucket of any time it counts for. Files without a body, of failed fetches, count too, and have no rules.
+    """
+    seconds = int(hours * 3600)
+    v = cache.select("domain", "body", F.col("fetched_at").alias("since")).distinct()
+    v = v.withColumn("until", F.lead("since").over(Window.partitionBy("domain").orderBy("since", "body")))
+    v = v.withColumn("robots", F.concat_ws("@", "domain", F.unix_micros("since")))
+    first = F.floor(F.unix_seconds("since") / max(seconds, 1))
+    return v.withColumn("bucket", F.explode(F.array(first, first + 1)))
+
+
+def with_version(requests: DataFrame, found: DataFrame, hours: float, domain: str = "domain", ts: str = "ts") -> DataFrame:
+    """requests with robots, the key of the file that counts for their domain at their time; null where none is fresh."""
+    seconds = max(int(hours * 3600), 1)
+    v = found.select("robots", F.col("domain").alias("__domain"), "since", "until", "bucket")
+    r = requests.withColumn("__bucket", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds))
+    at, end = F.col(ts).cast("timestamp"), F.col("since") + F.make_dt_interval(secs=F.lit(seconds))
+    counts = (F.col(domain) == F.col("__domain")) & (F.col("__bucket") == F.col("bucket")) & (F.col("since") <= at) & (at <= end) & (F.col("until").isNull() | (at < F.col("until")))
+    return r.join(v, counts, "left").drop("__domain", "since", "until", "bucket", "__bucket")

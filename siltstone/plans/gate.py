@@ -30,7 +30,8 @@ def gate(calls: DataFrame, config: Config, blocklist: DataFrame, robots_cache: D
     """calls (id, ts, session_id, tool_name, tool_input) with route and the columns of DECISION.
 
     An adversarial url is denied, a blocked domain asks, a shell command that fetches is rewritten;
-    other findings are context. Searches, inspected fetches and rewritten commands count as calls
+    other findings are context. robots_cache: domain, body and, where files are fetched again, fetched_at; then the
+    file counts that was the last of its domain at the time of the call, as long as it is fresh. Searches, inspected fetches and rewritten commands count as calls
     of their session; a denied url does not.
     """
     e = calls.withColumn("url", events.url_or_query(F.col("tool_input"))).withColumn("route", events.route(F.col("tool_name"), F.col("url"), mode))
@@ -43,9 +44,16 @@ def gate(calls: DataFrame, config: Config, blocklist: DataFrame, robots_cache: D
     e = history.blocked(e, blocklist)
     path = F.concat(F.col("__f.path"), F.when(F.col("__f.query") != "", F.concat(F.lit("?"), F.col("__f.query"))).otherwise(F.lit("")))
     e = e.withColumn("__path", path)
-    rules = robots.applicable(robots.directives(robots_cache))
-    verdicts = robots.verdicts(e.filter("domain IS NOT NULL"), rules, "domain", "__path").withColumnRenamed("path", "__path")
-    e = e.join(verdicts, ["domain", "__path"], "left")
+    if "fetched_at" in robots_cache.columns:
+        hours = config.thresholds["robots_cache_ttl_hours"]
+        files = robots.versions(robots_cache, hours)
+        e = robots.with_version(e, files, hours)
+        files = files.select("robots", "body").distinct()
+    else:
+        e, files = e.withColumn("robots", F.col("domain")), robots_cache.select(F.col("domain").alias("robots"), "body")
+    rules = robots.applicable(robots.directives(files, "robots"))
+    verdicts = robots.verdicts(e.filter("robots IS NOT NULL"), rules, "robots", "__path").withColumnsRenamed({"domain": "robots", "path": "__path"})
+    e = e.join(verdicts, ["robots", "__path"], "left")
 
     warnings = F.transform(F.col("__i.warnings"), lambda w: F.concat(F.lit(LABEL + " "), w))
     disallowed = F.when(F.col("disallowed"), F.when(F.col("ai_agent").isNotNull(), message("robots.txt of ", F.col("domain"), " disallows ", F.col("__path"), " for the crawler group ", F.col("ai_agent"))).otherwise(message("robots.txt of ", F.col("domain"), " disallows ", F.col("__path"), " for all agents")))

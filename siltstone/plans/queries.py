@@ -501,6 +501,25 @@ def robots_fresh(spark, d):
     return robots.fresh(cache, F.lit("2024-01-29 12:00:00").cast("timestamp"), CONFIG.thresholds["robots_cache_ttl_hours"]).select("id")
 
 
+CACHED = """k(domain, since, failed) AS (VALUES ('click.example.com', TIMESTAMP '2024-01-02', false), ('click.example.com', TIMESTAMP '2024-01-02 12:00:00', true), ('click.example.com', TIMESTAMP '2024-01-03', false), ('view.example.com', TIMESTAMP '2024-01-10', false), ('view.example.com', TIMESTAMP '2024-01-11', false), ('error.example.com', TIMESTAMP '2024-01-20 06:00:00', false), ('error.example.com', TIMESTAMP '2024-01-29', false)),
+v AS (SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM k)"""
+
+
+@query(
+    f"""WITH {LOG}, {RULES}, {CACHED}, f AS (SELECT l.id, l.domain, '/' || split_part(url, '/', 4) AS path FROM l JOIN v ON l.domain = v.domain AND ts >= since AND ts <= since + INTERVAL 24 HOUR AND (until IS NULL OR ts < until) WHERE NOT failed),
+m AS (SELECT f.id, max(CASE WHEN kind = 'allow' THEN length(rule) END) AS y, max(CASE WHEN kind = 'disallow' THEN length(rule) END) AS n, max(agent) AS agent FROM f JOIN r ON f.domain = r.domain AND regexp_matches(path, pattern) GROUP BY f.id)
+SELECT l.id, CASE WHEN n > coalesce(y, -1) THEN '[web-hygiene] robots.txt of ' || f.domain || ' disallows ' || path || ' for ' || CASE WHEN agent = '*' THEN 'all agents' ELSE 'the crawler group ' || agent END END AS note FROM l LEFT JOIN f USING (id) LEFT JOIN m USING (id)"""
+)
+def gate_robots(spark, d):
+    """What the gate says of robots.txt, whose files are fetched again, fail and grow old."""
+    at = [("click.example.com", "2024-01-02", False), ("click.example.com", "2024-01-02 12:00:00", True), ("click.example.com", "2024-01-03", False), ("view.example.com", "2024-01-10", False), ("view.example.com", "2024-01-11", False), ("error.example.com", "2024-01-20 06:00:00", False), ("error.example.com", "2024-01-29", False)]
+    cache = spark.createDataFrame([(h, t, None if failed else ROBOTS[h]) for h, t, failed in at], "domain string, t string, body string").select("domain", "body", F.col("t").cast("timestamp").alias("fetched_at"))
+    calls = log_of(spark, d).select("id", "ts", "session_id", F.lit("WebFetch").alias("tool_name"), F.create_map(F.lit("url"), "url").alias("tool_input"))
+    g = gates.gate(calls, CONFIG, blocks_of(spark).limit(0), cache)
+    note = F.regexp_extract("context", r"(\[web-hygiene\] robots\.txt of [^\n]*)", 1)
+    return g.select("id", F.when(note != "", note).alias("note"))
+
+
 # ---------------------------------------------------------------- shell (H)
 
 COMMANDS = [
