@@ -522,32 +522,39 @@ def gate_robots(spark, d):
 
 # ---------------------------------------------------------------- shell (H)
 
-COMMANDS = [
-    "curl https://example.com", "sudo -u x wget -O page.html https://x.test", "env A=b timeout 5s curl -sL https://x.test | jq .", "ls -la && git status", 'bash -c "curl https://example.com"', "echo $(curl https://example.com)", "cat urls | xargs -n1 curl",
-    "python3 -c \"import urllib.request as u; u.urlopen('https://x.test')\"", "python3 script.py", "git commit -F - <<'MSG'\ndon't `curl https://x.test`\nMSG", "cat <<EOF\n$(curl https://x.test)\nEOF", 'curl "https://x.test', "echo curl", "/usr/bin/env curl https://e.com",
-]
+#: Commands put together from the words of a text: a wrapper, a tool, a flag and an argument (c), in one of eleven forms.
+WRAPPER = "CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'sudo -E ' WHEN 2 THEN 'env A=1 ' WHEN 3 THEN 'timeout 5s ' ELSE 'FOO=bar nohup nice ' END"
+TOOL_AT = "(k % 35 - k % 5) / 5"
+SIMPLE = f"concat({WRAPPER}, CASE {TOOL_AT} WHEN 0 THEN 'curl -sL' WHEN 1 THEN '/usr/bin/wget' WHEN 2 THEN 'ls' WHEN 3 THEN 'echo' WHEN 4 THEN 'xh' WHEN 5 THEN 'git clone' ELSE 'xargs -n1 curl' END, CASE WHEN k % 4 = 0 THEN ' -o out.txt' ELSE '' END, CASE WHEN k % 3 = 0 THEN ' https://x.test/' ELSE ' ' END, w)"
+FORMS = r"""CASE k % 11 WHEN 0 THEN c WHEN 1 THEN concat(c, ' | jq .') WHEN 2 THEN concat('cd /tmp && ', c) WHEN 3 THEN concat('bash -c "', c, '"') WHEN 4 THEN concat('echo $(', c, ')') WHEN 5 THEN concat('echo "', c, '"')
+  WHEN 6 THEN concat('cat <<', chr(39), 'EOF', chr(39), chr(10), c, chr(10), 'EOF', chr(10), 'date') WHEN 7 THEN concat('cat <<EOF', chr(10), '$(', c, ')', chr(10), 'EOF') WHEN 8 THEN concat('# ', c) WHEN 9 THEN concat('echo "`', c, '`"') ELSE concat(c, ' "open') END"""
+WORDED = f"c0 AS (SELECT conv_id, turn, conv_id * 7 + turn AS k, regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g') AS w FROM conversations), c1 AS (SELECT *, {SIMPLE} AS c FROM c0), c2 AS (SELECT *, {FORMS} AS command, {TOOL_AT} AS tool FROM c1)"
+#: What is true of them: whether the tool fetches, whether it stands where commands stand, and whether a url is named.
+FETCHES, URL_NAMED = "tool IN (0, 1, 4, 6)", "k % 3 = 0"
+IN_PLACE = "tool IN (0, 1, 4) AND (k % 5 = 4 OR k % 5 = 0 AND k % 11 IN (0, 1, 2, 4, 6, 7, 10))"
 
 
 def commands_of(spark, d):
-    pick = F.element_at(F.array(*map(F.lit, COMMANDS)), ((F.col("conv_id") + F.col("turn")) % len(COMMANDS)).cast("int") + 1)
-    return read(spark, d, "conversations").select("conv_id", "turn", pick.alias("command"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 7 + F.col("turn")).alias("k"), F.regexp_replace("text", "[^A-Za-z0-9]+", "-").alias("w"))
+    return c.withColumn("c", F.expr(SIMPLE)).select("conv_id", "turn", F.expr(FORMS).alias("command"))
 
 
-@query()
+@query(
+    f"""WITH {WORDED}, m AS (SELECT *, {FETCHES} AND k % 11 IN (0, 1, 2, 3, 4, 7, 9) AS matched FROM c2)
+SELECT conv_id, turn, matched, CASE WHEN NOT matched THEN '' WHEN tool = 1 THEN 'wget' WHEN tool = 4 THEN 'xh' ELSE 'curl' END AS bins, false AS interpreter, matched AND k % 4 = 0 AS writes_to_file, k % 11 <> 6 AND ({URL_NAMED} OR {IN_PLACE}) AS possible_fetch,
+  k % 11 = 10 AS parse_failed, CASE WHEN matched THEN 'set -o pipefail; ( ' || command || ' ) | {shell.FILTER} --url=bash-stdin' END AS rewritten FROM m"""
+)
 def shell_match(spark, d):
     c = commands_of(spark, d).withColumn("m", shell.matched("command"))
     return c.select("conv_id", "turn", "m.matched", F.array_join("m.bins", ",").alias("bins"), "m.interpreter", "m.writes_to_file", "m.possible_fetch", "m.parse_failed", "m.rewritten")
 
 
-@query()
+@query(f"WITH {WORDED} SELECT conv_id, turn, CASE WHEN k % 11 = 6 THEN concat('cat <<', chr(39), 'EOF', chr(39), chr(10), chr(10), 'date') ELSE command END AS stripped FROM c2")
 def heredoc_strip(spark, d):
     return commands_of(spark, d).select("conv_id", "turn", shell.heredocs_stripped("command").alias("stripped"))
 
 
-LIKELY = "CASE (conv_id + turn) % 14 " + " ".join(f"WHEN {i} THEN {'true' if i in (0, 1, 2, 4, 5, 7, 9, 10, 11, 13) else 'false'}" for i in range(14)) + " END"
-
-
-@query(f"SELECT conv_id, turn, {LIKELY} AS may_fetch FROM conversations")
+@query(f"WITH {WORDED} SELECT conv_id, turn, {URL_NAMED} OR {IN_PLACE} AS may_fetch FROM c2")
 def looks_like_fetch(spark, d):
     return commands_of(spark, d).select("conv_id", "turn", shell.may_fetch(F.col("command")).alias("may_fetch"))
 
@@ -734,7 +741,20 @@ def gate_decisions(spark, d):
     return g.select("id", "permission", F.coalesce(F.contains("context", F.lit("web tool call #")), F.lit(False)).alias("reminded"), "updated_command")
 
 
-@query()
+def json_text(said: str) -> str:
+    """SQL for the additional context of a decision, of one line."""
+    return f"""'"additionalContext":"<system-reminder>\\n[web-hygiene] ' || {said} || '\\n</system-reminder>"'"""
+
+
+GATED_JSON = f"""WITH c AS (SELECT page_id AS id, page_id % 7 AS k, {TOOL} AS tool, (page_id % 5)::VARCHAR AS session_id, url FROM pages),
+n AS (SELECT *, sum(CASE WHEN k IN (1, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS calls FROM c),
+d AS (SELECT id, CASE WHEN k IN (0, 2, 3) THEN '"permissionDecision":"deny","permissionDecisionReason":"[web-hygiene] strict mode refuses ' || tool || ': fetch through the sanitised shell path instead: curl -sL ' || url || '"'
+  WHEN k = 1 AND calls >= 2 THEN {json_text("'web tool call #' || calls || ' of this session: apply the research rules to every source.'")}
+  WHEN k = 4 THEN {json_text("'web fetch via curl; its output is piped through the sanitiser.'")} || ',"updatedInput":{{"command":"set -o pipefail; ( curl ' || url || ' ) | {shell.FILTER} --url=bash-stdin"}}' END AS inner_json FROM n)
+SELECT id, '{{"hookSpecificOutput":{{' || inner_json || '}}}}' AS decision FROM d WHERE inner_json IS NOT NULL"""
+
+
+@query(GATED_JSON)
 def gate_json(spark, d):
     g = gates.gate(calls_of(spark, d), CONFIG, blocks_of(spark), robots_of(spark), "strict")
     out = tables.decision_json(F.col("permission"), F.col("reason"), F.col("context"), F.col("updated_command"))
