@@ -293,9 +293,17 @@ def wrapper_escape_count(spark, d):
     return pages_of(spark, d).select("page_id", text.reserved_count(h).alias("escapes"), F.sha2(text.neutralise(h), 256).alias("sha"))
 
 
-@query()
+LATIN = "".join(map(chr, (*range(65, 91), *range(97, 123), *range(48, 58))))
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in LATIN)
+
+
+@query("SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' fi 2 1 \u00c5 ffi' ELSE text END) AS sha FROM documents")
 def nfkc_normalise(spark, d):
-    odd = F.concat("text", F.lit(" \ufb01\u00b2\u2460\uff21\u212b"))
+    """Texts in wide letters, with ligatures and signs, and with accents apart, which come back as they were."""
+    apart = F.col("text")
+    for letter, parts in (("\u00e9", "e\u0301"), ("\u00f1", "n\u0303"), ("\u00fc", "u\u0308")):
+        apart = F.replace(apart, F.lit(letter), F.lit(parts))
+    odd = F.when(F.col("doc_id") % 3 == 0, F.translate("text", LATIN, WIDE)).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" \ufb01 \u00b2 \u2460 \u212b \ufb03"))).otherwise(apart)
     return read(spark, d, "documents").select("doc_id", F.sha2(text.nfkc(odd), 256).alias("sha"))
 
 
@@ -391,13 +399,22 @@ def inspect_url(spark, d):
     return u.select("page_id", kind.alias("kind"))
 
 
-PUNYCODE = ["xn--80ak6aa92e", "xn--pypal-4ve", "xn--80aswg", "xn--p1ai", "xn--bcher-kva", "xn--", "xn--a-", "xn--99999999", "plain", "xn---x"]
+#: Labels of words with one letter beyond ASCII: its place and value make one number, written in three digits of changing base.
+ONE_ODD = "^[a-z]*[à-ÿ][a-z]*$"
+LETTER = "(ascii(substr(w, p + 1, 1)) - 128) * length(w) + p"
+DIGIT = "substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST({} AS INT) + 1, 1)"
+ENCODED = "concat('xn--', substr(w, 1, p), substr(w, p + 2), '-', " + ", ".join(DIGIT.format(x) for x in ("1 + (n - 1) % 35", "1 + (q - 1) % 35", "floor((q - 1) / 35)")) + ")"
 
 
-@query()
+@query(
+    f"""WITH w0 AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents), w1 AS (SELECT w, length(regexp_extract(w, '^([a-z]*)', 1)) AS p FROM w0 WHERE length(w) > 1 AND regexp_matches(w, '{ONE_ODD}')),
+w2 AS (SELECT *, {LETTER} AS n FROM w1), w3 AS (SELECT *, floor((n - 1) / 35) AS q FROM w2) SELECT {ENCODED} AS label, w AS decoded FROM w3"""
+)
 def punycode(spark, d):
-    x = F.element_at(F.array(*map(F.lit, PUNYCODE)), (F.col("page_id") % len(PUNYCODE)).cast("int") + 1)
-    return read(spark, d, "pages").select("page_id", x.alias("label"), urls.decoded_label(x).alias("decoded"))
+    words = read(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().filter((F.length("w") > 1) & F.col("w").rlike(ONE_ODD))
+    words = words.withColumn("p", F.length(F.regexp_extract("w", "^([a-z]*)", 1))).withColumn("n", F.expr(LETTER)).withColumn("q", F.expr("floor((n - 1) / 35)"))
+    label = F.expr(ENCODED)
+    return words.select(label.alias("label"), urls.decoded_label(label).alias("decoded"))
 
 
 @query(f"WITH {URLS}, r AS (SELECT page_id, url, lower({RAW_HOST}) AS h FROM {HOST_PORT} WHERE regexp_matches(url, '^[a-z]+://[!-~]*$') AND a NOT LIKE '%@%') SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?:') THEN 'refused_scheme' WHEN {PRIVATE} THEN 'refused_private_host' END AS refusal FROM r")
