@@ -113,6 +113,26 @@ def blocked(fetches: DataFrame, blocklist: DataFrame, key: str = "id") -> DataFr
     return fetches.join(best, key, "left").select(*fetches.columns, "__b.block_domain", "__b.block_reason", "__b.block_source")
 
 
+def expired_on_read(fetches: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """blocklist without the entries that looking up the fetches (domain, session_id, ts) found expired.
+
+    A look-up goes from the host to its parents and ends at the first live entry that counts for the
+    session; what it passes that is past expires_at is deleted, what it never reaches stays.
+    """
+    entries = blocklist.select(F.lower("domain").alias("block_domain"), "source", F.col("expires_at").alias("__expires"), F.col("session_id").alias("__session"))
+    if blocklist.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        entries = F.broadcast(entries)
+    looks = fetches.select("domain", "session_id", "ts").distinct().withColumn("__look", F.monotonically_increasing_id())
+    tried = looks.select("__look", "session_id", "ts", F.explode(urls.suffixes(F.col("domain"))).alias("block_domain")).join(entries, "block_domain")
+    late = F.coalesce(F.col("__expires") < F.col("ts"), F.lit(False))
+    counts = ~late & ((F.col("source") != "session") | F.coalesce(F.col("__session") == F.col("session_id"), F.lit(False)))
+    end = Window.partitionBy("__look")
+    passed = tried.withColumn("__end", F.max(F.when(counts, F.length("block_domain"))).over(end)).filter(late & (F.length("block_domain") > F.coalesce("__end", F.lit(0))))
+    gone = passed.select("block_domain", "__expires").distinct()
+    on = (F.lower(blocklist["domain"]) == gone["block_domain"]) & (blocklist["expires_at"] == gone["__expires"])
+    return blocklist.join(gone, on, "left_anti")
+
+
 def scanned_results(bodies: DataFrame, blocklist: DataFrame, key: str = "id", body: str = "body", most: int = urls.MOST_URLS) -> DataFrame:
     """bodies (key, body, session_id, ts) with scanned, truncated, blocked_results (domains) and suspicious_results (url and reason) of the first `most` distinct urls in the text."""
     found = bodies.withColumn("__urls", urls.urls_in(F.col(body)))

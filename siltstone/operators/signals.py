@@ -83,6 +83,7 @@ def retention(sanitised: str = "sanitised_bytes", original: str = "original_byte
 
 
 def cloaking(fetches: DataFrame, refetches: DataFrame, key: str = "url") -> DataFrame:
-    """fetches (url, simhash) with simhash_distance to the refetch of the same url; null without one."""
-    other = refetches.select(F.col(key), F.col("simhash").alias("__other")).dropDuplicates([key])
+    """fetches (url, simhash) with simhash_distance to the refetch of the same url, the last one where refetches have fetched_at; null without one."""
+    at = F.col("fetched_at") if "fetched_at" in refetches.columns else F.lit(0)
+    other = refetches.groupBy(key).agg(F.max(F.struct(at.alias("at"), "simhash"))["simhash"].alias("__other"))
     return fetches.join(other, key, "left").withColumn("simhash_distance", hashing.hamming(F.col("simhash"), F.col("__other"))).drop("__other")

@@ -492,6 +492,23 @@ def suffix_blocklist(spark, d):
     return history.blocked(log.select("id", "domain", "session_id", "ts"), blocks_of(spark)).select("id", "block_domain", "block_source")
 
 
+#: Looked up are hosts under the listed domains and hosts that reach none of them.
+LOOKS = "x AS (SELECT 'a.' || domain AS host, session_id, ts FROM l WHERE day(ts) < 12 OR id % 5 = 0)"
+OLD = """o AS (SELECT * FROM (VALUES ('error.example.com', TIMESTAMP '2024-01-03', 'auto', NULL), ('view.example.com', TIMESTAMP '2024-01-10', 'auto', NULL), ('a.click.example.com', NULL::TIMESTAMP, 'user', NULL), ('click.example.com', TIMESTAMP '2024-01-02', 'auto', NULL), ('example.com', TIMESTAMP '2024-03-01', 'user', NULL), ('purchase.example.com', TIMESTAMP '2024-01-05', 'session', '8'), ('example.net', TIMESTAMP '2024-01-02', 'auto', NULL)) t(domain, expires_at, source, session_id))"""
+
+
+@query(
+    f"""WITH {LOG}, {LOOKS}, {OLD}, t AS (SELECT host, x.session_id, ts, o.domain, expires_at, coalesce(expires_at < ts, false) AS late, source <> 'session' OR coalesce(o.session_id = x.session_id, false) AS own FROM x JOIN o ON host = o.domain OR ends_with(host, '.' || o.domain)),
+g AS (SELECT DISTINCT a.domain FROM t a WHERE late AND NOT EXISTS (SELECT 1 FROM t b WHERE b.host = a.host AND b.ts = a.ts AND b.session_id IS NOT DISTINCT FROM a.session_id AND NOT b.late AND b.own AND length(b.domain) > length(a.domain)))
+SELECT domain FROM o WHERE domain NOT IN (SELECT domain FROM g)"""
+)
+def expired_on_read(spark, d):
+    rows = [("error.example.com", "2024-01-03", "auto", None), ("view.example.com", "2024-01-10", "auto", None), ("a.click.example.com", None, "user", None), ("click.example.com", "2024-01-02", "auto", None), ("example.com", "2024-03-01", "user", None), ("purchase.example.com", "2024-01-05", "session", "8"), ("example.net", "2024-01-02", "auto", None)]
+    b = spark.createDataFrame(rows, "domain string, e string, source string, session_id string").withColumn("expires_at", F.col("e").cast("timestamp")).drop("e")
+    looked_up = log_of(spark, d).filter((F.dayofmonth("ts") < 12) | (F.col("id") % 5 == 0)).withColumn("domain", F.concat(F.lit("a."), "domain"))
+    return history.expired_on_read(looked_up, b).select("domain")
+
+
 # ---------------------------------------------------------------- robots (B)
 
 RULES = "r(domain, agent, kind, rule, pattern) AS (VALUES ('click.example.com', '*', 'disallow', '/1', '^/1'), ('click.example.com', '*', 'allow', '/12', '^/12'), ('view.example.com', 'gptbot', 'disallow', '/*2$', '^/.*2$'), ('view.example.com', 'gptbot', 'allow', '/22', '^/22'), ('error.example.com', '*', 'allow', '/', '^/'), ('error.example.com', '*', 'disallow', '/*5', '^/.*5'))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import VERSION, Config
 from ..functions import hashing, text, urls
-from ..operators import events, history, signals
+from ..operators import events, history, refetch, signals
 from ..operators.sanitise import sanitise
 from .gate import message, reminder
 
@@ -46,7 +46,7 @@ def post(calls: DataFrame, config: Config, log: DataFrame, blocklist: DataFrame,
         e = e.withColumns({"content_type": F.lit(None).cast("string"), "redirect_hops": F.lit(0), "simhash_distance": F.lit(None).cast("int")})
     else:
         other = F.when(F.coalesce("body", F.lit("")) != "", hashing.simhash("sanitised"))
-        r = sanitise(refetches.dropDuplicates(["url"]), "body").select("url", F.col("content_type").alias("__type"), F.col("redirect_hops").alias("__hops"), other.alias("__other"))
+        r = sanitise(refetch.last_of_each(refetches), "body").select("url", F.col("content_type").alias("__type"), F.col("redirect_hops").alias("__hops"), other.alias("__other"))
         wanted = (F.col("tool_name") == "WebFetch") & F.startswith("url", F.lit("http")) & ~urls.matches_any(F.col("domain"), config.skip_refetch)
         e = e.join(r, "url", "left").withColumns({"content_type": F.when(wanted, F.col("__type")), "redirect_hops": F.when(wanted, F.coalesce("__hops", F.lit(0))).otherwise(F.lit(0)), "simhash_distance": F.when(wanted, hashing.hamming(F.col("simhash"), F.col("__other")))}).drop("__type", "__hops", "__other")
     scans = history.scanned_results(e.filter("is_search").select("id", "ts", "session_id", "body"), blocklist).select("id", "scanned", "truncated", "blocked_results", "suspicious_results")

@@ -32,10 +32,18 @@ def blocklist_file(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("f.entries").alias("e")).select("e.*").withColumn("session_id", F.lit(None).cast("string")).filter("domain IS NOT NULL")
 
 
-def write_blocklist_file(blocklist: DataFrame, path: str) -> None:
-    """One JSON document of all entries but the sessions'; block lists are small enough for one task."""
+def write_blocklist_file(blocklist: DataFrame, path: str, only_if_missing: bool = True) -> bool:
+    """One JSON document of all entries but the sessions', unless the file is there already; whether it was written.
+
+    The format is one document, so it is put together in one task, which a block list is small enough for.
+    """
+    spark = blocklist.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if only_if_missing and file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return False
     e = blocklist.filter("source != 'session'").select(F.struct("domain", "reason", "added_at", "source", "expires_at").alias("e"))
     e.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.sort_array(F.collect_list("e")).alias("entries"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return True
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,7 +53,8 @@ def history_signals(fetches: DataFrame, minutes: float, count: int, distance: in
     """Streaming id, session_id, domain, distinct_urls, explosion, near_duplicate_of: each fetch against its session's earlier ones in the minutes before.
 
     State per session and domain is the url, simhash and time of fetches within the window; it is
-    dropped after the window has passed in event time. Rows of one trigger are taken in time order.
+    dropped after the window has passed in event time. Rows of one trigger are taken in time order,
+    each entering and leaving the window once; near duplicates are sought among the `recent` last.
     """
     span = pd.Timedelta(minutes=minutes)
     rows = fetches.filter("session_id IS NOT NULL").withWatermark("ts", WATERMARK).select("id", "session_id", "domain", "ts", "url", "simhash")
@@ -60,15 +63,19 @@ def history_signals(fetches: DataFrame, minutes: float, count: int, distance: in
         if state.hasTimedOut:
             state.remove()
             return
-        past = list(zip(*state.get, strict=True)) if state.exists else []
-        out = []
+        past = deque(zip(*state.get, strict=True) if state.exists else ())
+        urls, out = Counter(u for _, u, _ in past), []
         for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
             now = int(r.ts.value)
-            past = [p for p in past if p[0] >= now - span.value]
-            near = next((u for _, u, h in reversed(past[-recent:]) if u != r.url and h is not None and r.simhash is not None and (int(h, 16) ^ int(r.simhash, 16)).bit_count() <= distance), None)
-            n = len({u for _, u, _ in past})
-            out.append((r.id, key[0], key[1], n, n >= count, near))
+            while past and past[0][0] < now - span.value:
+                gone = past.popleft()[1]
+                urls[gone] -= 1
+                if not urls[gone]:
+                    del urls[gone]
+            near = next((u for _, u, h in islice(reversed(past), recent) if u != r.url and h is not None and r.simhash is not None and (int(h, 16) ^ int(r.simhash, 16)).bit_count() <= distance), None)
+            out.append((r.id, key[0], key[1], len(urls), len(urls) >= count, near))
             past.append((now, r.url, r.simhash))
+            urls[r.url] += 1
         state.update(tuple(map(list, zip(*past, strict=True))))
         state.setTimeoutTimestamp(max(past[-1][0] // 10**6, state.getCurrentWatermarkMs()) + int(minutes * 60_000) + 1)
         yield pd.DataFrame(out, columns=["id", "session_id", "domain", "distinct_urls", "explosion", "near_duplicate_of"])

@@ -102,7 +102,7 @@ def test_sources_and_sinks(spark, tmp_path):
     whole = tables.whole_texts(spark, str(tmp_path / "b" / "*.gz"))
     assert whole.first().body == "line one\nline two é\n" and tables.manifest(whole).first().raw_bytes == 21
     blocks = queries.blocks_of(spark)
-    tables.write_blocklist_file(blocks, str(tmp_path / "file"))
+    assert tables.write_blocklist_file(blocks, str(tmp_path / "file")) and not tables.write_blocklist_file(blocks.limit(0), str(tmp_path / "file"))
     back = tables.blocklist_file(spark, str(tmp_path / "file"))
     assert {r.domain for r in back.collect()} == {"error.example.com", "view.example.com", "example.net"}
     (tmp_path / "broken").write_text("{oops")
