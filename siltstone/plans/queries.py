@@ -795,13 +795,37 @@ def gate_json(spark, d):
     return g.select("id", out.alias("decision")).filter("decision IS NOT NULL")
 
 
-@query()
+#: Bodies of post events; what refetches of their urls give, and how many urls their sessions fetched from their hosts just before.
+POSTED = f"p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'a' || chr(10) || x ELSE x END AS html FROM (SELECT page_id, url, {ADDED} AS x FROM pages WHERE page_id % 7 <= 3))"
+OTHER_TYPE = "CASE WHEN page_id % 5 = 0 THEN 'application/json; charset=utf-8' ELSE 'text/html' END"
+POSTS = (
+    VERDICTS.replace(PAGES, POSTED)
+    + f""", z1 AS (SELECT page_id, unnest(regexp_extract_all(lower(c6), '\\p{{L}}{{2,}}')) AS word FROM n WHERE page_id % 21 = 14), z2 AS (SELECT word, {FNV} AS h FROM (SELECT DISTINCT word FROM z1)),
+z3 AS (SELECT page_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM z1 JOIN z2 USING (word), range(64) t(i) GROUP BY page_id, i), far AS (SELECT page_id FROM z3 WHERE bit GROUP BY page_id HAVING count(*) > 20),
+k AS (SELECT f.*, page_id IN (SELECT page_id FROM far) AS cloaked, page_id % 7 = 0 AS web, f.page_id % 7 <> 1 AND f.page_id % 4 = 0 AS many, {OTHER_TYPE} LIKE '%json%' AND page_id % 7 = 0 AND {SNIFF.replace("h LIKE", "head LIKE")} = 'text/html' AS kind
+  FROM f JOIN (SELECT page_id AS n, lower(regexp_replace(substr(html, 1, 512), '^{S}+', '')) AS head FROM p) ON n = page_id),
+s AS (SELECT *, list_filter([CASE WHEN i THEN 'injection_phrase' END, CASE WHEN w THEN 'wrapper_escape_attempt' END, CASE WHEN t THEN 'unicode_tag_chars' END, CASE WHEN b THEN 'bidi_control_chars' END, CASE WHEN rep THEN 'repeating_substring_ratio_high' END, CASE WHEN many THEN 'url_cardinality_explosion' END, CASE WHEN z THEN 'zero_width_chars' END, CASE WHEN c THEN 'hidden_content_ratio_high' END,
+  CASE WHEN web AND page_id % 8 > 5 THEN 'redirect_chain_long' END, CASE WHEN kind THEN 'content_type_mismatch' END, CASE WHEN cloaked THEN 'cloaking_suspected' END], lambda x: x IS NOT NULL) AS fired FROM k),
+a AS (SELECT page_id, fired, i OR w OR t OR rep OR many OR cloaked OR len(list_filter(fired, lambda x: x IN ('bidi_control_chars', 'zero_width_chars', 'hidden_content_ratio_high', 'redirect_chain_long', 'content_type_mismatch'))) >= 3 AS abort FROM s)
+SELECT page_id AS id, array_to_string(fired, ',') AS fired, CASE WHEN abort THEN 'ABORT' WHEN len(fired) > 0 THEN 'Caution' ELSE 'Clean' END AS verdict, abort, page_id % 7 IN (2, 3) AS replaced FROM a"""
+)
+
+
+def posted(spark, d):
+    """Scored post events: some urls give another page, another type or many hops when fetched again, and some come after a burst of fetches."""
+    pages = read(spark, d, "pages")
+    body = F.when(F.col("page_id") % 3 == 2, F.lit("<!-- nothing to read -->")).otherwise(F.col("html"))
+    refetches = pages.select("url", body.alias("body"), F.expr(OTHER_TYPE).alias("content_type"), (F.col("page_id") % 8).cast("int").alias("redirect_hops"))
+    burst = pages.filter("page_id % 4 = 0").select("page_id", urls.host(F.col("url")).alias("domain"), F.explode(F.sequence(F.lit(1), F.lit(31))).alias("n"))
+    burst = burst.select((-100 * F.col("page_id") - F.col("n")).alias("id"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60 - F.col("n") * 5).alias("ts"), (F.col("page_id") % 5).cast("string").alias("session_id"), "domain", F.concat(F.lit("https://"), "domain", F.lit("/"), "n").alias("url"), F.lit("0" * 16).alias("simhash"))
+    log = log_of(spark, d).select("id", F.col("ts").cast("timestamp").alias("ts"), "session_id", "domain", "url", "simhash").unionByName(burst)
+    return scores.post(calls_of(spark, d), CONFIG, log, blocks_of(spark), refetches)
+
+
+@query(POSTS)
 def post_scores(spark, d):
-    calls = calls_of(spark, d)
-    refetches = read(spark, d, "pages").select("url", F.col("html").alias("body"), F.lit("text/html").alias("content_type"), (F.col("page_id") % 8).cast("int").alias("redirect_hops"))
-    e = scores.post(calls, CONFIG, log_of(spark, d).select("id", "ts", "session_id", "domain", "url", "simhash"), blocks_of(spark), refetches)
-    e = scores.delivered(e, nonce=F.lit("0" * 16))
-    return e.select("id", F.array_join("fired", ",").alias("fired"), "verdict", "abort", F.sha2("context", 256).alias("context_sha"), (F.col("replacement").isNotNull()).alias("replaced"))
+    e = scores.delivered(posted(spark, d), nonce=F.lit("0" * 16))
+    return e.select("id", F.array_join("fired", ",").alias("fired"), "verdict", "abort", F.col("replacement").isNotNull().alias("replaced"))
 
 
 # ---------------------------------------------------------------- streams (ST)
