@@ -607,10 +607,16 @@ def abort_verdict(spark, d):
     return signals.with_tiers(replay.logged_signals(log_of(spark, d)), CONFIG).select("id", signals.aborts(CONFIG).alias("abort"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'injection_phrase' ELSE '' END AS elevated, CASE WHEN id % 2 = 0 THEN '' ELSE 'injection_phrase,oversized_response' END AS critical FROM (SELECT page_id AS id FROM pages)")
+WRITES = "CASE page_id % 5 WHEN 0 THEN 'owasp.org' WHEN 1 THEN 'cheats.owasp.org' WHEN 2 THEN 'notowasp.org' WHEN 3 THEN 'owasp.org.example.net' ELSE lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) END"
+SIGNED = "CASE page_id % 4 WHEN 0 THEN 'injection_phrase' WHEN 1 THEN 'injection_phrase,oversized_response' WHEN 2 THEN 'bidi_control_chars,injection_phrase' ELSE 'zero_width_chars' END"
+
+
+@query(
+    f"""WITH m AS (SELECT page_id AS id, {WRITES} AS domain, string_split({SIGNED}, ',') AS fired FROM pages), t AS (SELECT *, list_filter(fired, lambda x: x IN ('injection_phrase', 'oversized_response')) AS c, list_filter(fired, lambda x: x IN ('bidi_control_chars', 'zero_width_chars')) AS e FROM m),
+l AS (SELECT *, c = ['injection_phrase'] AND (domain = 'owasp.org' OR ends_with(domain, '.owasp.org')) AS lone FROM t) SELECT id, array_to_string(CASE WHEN lone THEN list_append(e, 'injection_phrase') ELSE e END, ',') AS elevated, array_to_string(CASE WHEN lone THEN [] ELSE c END, ',') AS critical FROM l"""
+)
 def meta_allowlist(spark, d):
-    fired = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("injection_phrase"))).otherwise(F.array(F.lit("injection_phrase"), F.lit("oversized_response")))
-    p = read(spark, d, "pages").select(F.col("page_id").alias("id"), fired.alias("fired"), F.lit("www.owasp.org").alias("domain"))
+    p = read(spark, d, "pages").select(F.col("page_id").alias("id"), F.split(F.expr(SIGNED), ",").alias("fired"), F.expr(WRITES).alias("domain"))
     p = signals.downgraded(signals.with_tiers(p, CONFIG), CONFIG)
     return p.select("id", F.array_join("elevated", ",").alias("elevated"), F.array_join("critical", ",").alias("critical"))
 
@@ -728,12 +734,12 @@ def signal_histogram(spark, d):
     return replay.signal_counts(log_of(spark, d), CONFIG)
 
 
-@query("SELECT 'old_signal' AS signal")
+@query(f"WITH {LOG}, e AS (SELECT DISTINCT unnest(string_split(risk_signals, ',')) AS signal FROM l) SELECT signal FROM e WHERE signal <> '' AND signal NOT IN ({', '.join(repr(x) for x in CONFIG.tiers)})")
 def removed_signals(spark, d):
     return replay.removed_signals(log_of(spark, d), CONFIG)
 
 
-@query(f"WITH {LOG} SELECT count(*) AS fetch_log_rows, 4::BIGINT AS blocklist_size, count(DISTINCT session_id) AS sessions FROM l")
+@query(f"WITH {LOG}, {BLOCKS} SELECT count(*) AS fetch_log_rows, (SELECT count(*) FROM b) AS blocklist_size, count(DISTINCT session_id) AS sessions FROM l")
 def status_counts(spark, d):
     log = log_of(spark, d)
     return replay.status(log, blocks_of(spark), store.session_table(log))
