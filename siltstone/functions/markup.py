@@ -101,11 +101,12 @@ def strip_furniture(html: str) -> tuple[str, int]:
 
 
 def _udf(strip: Callable[[str], tuple[str, int]]):
-    @F.pandas_udf(types.struct("html string, removed long"))
+    one = types.guarded(lambda t: (None, 0, None) if t is None else (*(strip(t) if "<" in t else (t, 0)), None), lambda t, error: (t, 0, error))
+
+    @F.pandas_udf(types.struct("html string, removed long, error string"))
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in pages:
-            got = [(None, 0) if t is None else strip(t) if "<" in t else (t, 0) for t in s]
-            yield pd.DataFrame({"html": [h for h, _ in got], "removed": [n for _, n in got]})
+            yield pd.DataFrame([one(t) for t in s], columns=["html", "removed", "error"]).astype({"html": object, "error": object})
 
     return run
 

@@ -70,7 +70,7 @@ def punycode_decode(text: str) -> str | None:
 @F.pandas_udf(types.of("string"))
 def decoded_label(s: pd.Series) -> pd.Series:
     """Punycode labels decoded; null for malformed ones and for labels without xn--."""
-    return s.map(lambda x: punycode_decode(x[4:]) if x is not None and x[:4].lower() == "xn--" else None)
+    return s.map(types.guarded(lambda x: punycode_decode(x[4:]) if x is not None and x[:4].lower() == "xn--" else None, lambda *_: None))
 
 
 # ---------------------------------------------------------------- parsing
@@ -134,11 +134,11 @@ def host_of(host: str) -> str:
     return host
 
 
-@F.pandas_udf(types.struct("scheme string, user string, host string, path string, query string"))
+@F.pandas_udf(types.struct("scheme string, user string, host string, path string, query string, error string"))
 def url_fields(s: pd.Series) -> pd.DataFrame:
-    """parsed() as a column of structs; fields are null where the url does not parse."""
-    got = [parsed(u) if u is not None else None for u in s]
-    return pd.DataFrame([g or (None,) * 5 for g in got], columns=["scheme", "user", "host", "path", "query"], dtype=object)
+    """parsed() as a column of structs; fields are null where the url does not parse, and error says why where parsing fails."""
+    one = types.guarded(lambda u: (*((parsed(u) if u is not None else None) or (None,) * 5), None), lambda _, error: (*(None,) * 5, error))
+    return pd.DataFrame([one(u) for u in s], columns=["scheme", "user", "host", "path", "query", "error"], dtype=object)
 
 
 PLAIN_URL = r"^https?://[A-Za-z0-9._-]*[A-Za-z_-][A-Za-z0-9_-]*(:[0-9]{1,4})?([/?#][\x21-\x7E]*)?$"
@@ -251,7 +251,8 @@ def inspect(url: Column, fields: Column) -> Column:
 @F.pandas_udf(types.of("array<string>"))
 def decoded_labels(s: pd.Series) -> pd.Series:
     """Each dot-separated label's punycode decoded, null where it has none or is malformed."""
-    return s.map(lambda h: None if h is None else [punycode_decode(x[4:]) if x[:4].lower() == "xn--" else None for x in h.split(".")])
+    one = types.guarded(lambda x: punycode_decode(x[4:]) if x[:4].lower() == "xn--" else None, lambda *_: None)
+    return s.map(lambda h: None if h is None else [one(x) for x in h.split(".")])
 
 
 def refetch_refusal(scheme: Column, host: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import config
-from siltstone.functions import hashing, markup, robots, shell, text, urls
+from siltstone.functions import hashing, markup, robots, shell, text, types, urls
 
 
 def column(spark, values, kind="string"):
@@ -159,3 +159,14 @@ def test_config_file(tmp_path):
     assert c.overrides["d.com"] == {"near_duplicate_hamming_distance": 4} and c.phrases == ("p",)
     with pytest.raises(FileNotFoundError):
         config.load(str(tmp_path / "none.json"))
+
+
+def test_a_row_that_fails_leaves_the_others(spark, monkeypatch):
+    """Deep nesting of substitutions is beyond the reader, whatever Python makes of it."""
+    deep = "echo " + "$(" * 4000 + "curl https://x.test" + ")" * 4000
+    rows = spark.createDataFrame([(1, "curl https://x.test"), (2, f"'{deep}'"), (3, f'echo "{deep}"'), (4, None)], "id long, c string")
+    got = {r.id: r.m for r in rows.select("id", shell.matched("c").alias("m")).collect()}
+    assert got[1].matched and not got[4].matched and len(got) == 4
+    assert all(got[i].matched or got[i].reason is None or "Recursion" in got[i].reason for i in (2, 3))
+    failing = types.guarded(lambda x: 1 // x, lambda x, error: (x, error))
+    assert [failing(1), failing(0)] == [1, (0, "ZeroDivisionError: integer division or modulo by zero")]
