@@ -9,11 +9,14 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
+_open: list[list[DataFrame]] = []
 #: The setting by which Spark removes a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -54,6 +57,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def leftovers() -> Iterator[list[DataFrame]]:
+    """A list of the tables kept within that nobody has discarded, for who knows when their readers are done."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+
+
 def kept(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it; then the shuffle files behind it go.
 
@@ -72,12 +86,16 @@ def kept(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFram
     discard(*done)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
+    for made in _open:
+        made.append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete kept tables that nothing reads any more."""
     for t in tables:
+        for made in _open:
+            made[:] = [m for m in made if m is not t]
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.kept_at).getParent()
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
