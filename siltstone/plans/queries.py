@@ -419,6 +419,25 @@ def punycode(spark, d):
     return words.select(label.alias("label"), urls.decoded_label(label).alias("decoded"))
 
 
+#: Hosts of such labels: of words as they are, and of words whose first o is a Cyrillic one.
+DISGUISED = "concat(substr(w, 1, instr(w, 'o') - 1), '\u043e', substr(w, instr(w, 'o') + 1))"
+ODD_WORDS = f"""w0 AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents), w1 AS (SELECT w, length(regexp_extract(w, '^([a-z]*)', 1)) AS p, false AS mixed FROM w0 WHERE length(w) > 1 AND regexp_matches(w, '{ONE_ODD}')
+  UNION ALL SELECT {DISGUISED} AS w, instr(w, 'o') - 1 AS p, true AS mixed FROM w0 WHERE length(w) BETWEEN 2 AND 30 AND regexp_matches(w, '^[a-z]*o[a-z]*$'))"""
+
+
+@query(
+    f"""WITH {ODD_WORDS}, w2 AS (SELECT *, {LETTER} AS n FROM w1), w3 AS (SELECT *, floor((n - 1) / 35) AS q FROM w2), w4 AS (SELECT w, mixed, {ENCODED} AS label FROM w3)
+SELECT 'https://' || label || '.example.org/' AS url, CASE WHEN mixed THEN 'punycode label "' || label || '" decodes to "' || w || '", which mixes Latin with lookalikes' END AS refuse, CASE WHEN mixed THEN '' ELSE 'internationalised label "' || label || '" decodes to "' || w || '"' END AS warnings FROM w4"""
+)
+def inspect_labels(spark, d):
+    words = read(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    plain = words.filter((F.length("w") > 1) & F.col("w").rlike(ONE_ODD)).select("w", F.length(F.regexp_extract("w", "^([a-z]*)", 1)).alias("p"))
+    mixed = words.filter(F.length("w").between(2, 30) & F.col("w").rlike("^[a-z]*o[a-z]*$")).select(F.expr(DISGUISED).alias("w"), (F.instr("w", "o") - 1).alias("p"))
+    label = plain.unionByName(mixed).withColumn("n", F.expr(LETTER)).withColumn("q", F.expr("floor((n - 1) / 35)")).select(F.concat(F.lit("https://"), F.expr(ENCODED), F.lit(".example.org/")).alias("url"))
+    seen = label.withColumn("f", urls.url_fields("url"))
+    return seen.select("url", urls.inspect(F.col("url"), F.col("f")).alias("i")).select("url", "i.refuse", F.array_join("i.warnings", "; ").alias("warnings"))
+
+
 @query(f"WITH {URLS}, r AS (SELECT page_id, url, lower({RAW_HOST}) AS h FROM {HOST_PORT} WHERE regexp_matches(url, '^[a-z]+://[!-~]*$') AND a NOT LIKE '%@%') SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?:') THEN 'refused_scheme' WHEN {PRIVATE} THEN 'refused_private_host' END AS refusal FROM r")
 def refetch_guard(spark, d):
     u = urls_of(spark, d).filter(F.col("url").rlike("^[a-z]+://[!-~]*$") & ~urls.raw_host(F.col("url")).isNull() & ~F.regexp_extract("url", "://([^/?#]*)", 1).contains("@"))
