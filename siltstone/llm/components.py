@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Links never leave the cluster: every round is a few joins whose result is written to the shared
-folder, and only a row count and a checksum come to the driver.
+folder, and only a row count and a checksum come to the driver. A hub's links lie under one key of
+those joins; the table of least neighbours is written first, so both sides are plain scans and
+Spark's skew join can split the hub's side, which it does not do above an aggregation.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import discard, kept
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -26,8 +28,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         last = now
         both = stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        large = kept(both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "large", (least,))
+        small = kept(large.groupBy("hi").agg(F.min("lo").alias("m")), "small")
         near = large.join(small, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("s"))
-        stars = kept(near.select("s.lo", "s.hi").filter("lo < hi").distinct(), "stars")
+        stars = kept(near.select("s.lo", "s.hi").filter("lo < hi").distinct(), "stars", (stars, large, small))

@@ -6,7 +6,7 @@ source, so the prefix sum of expected copies up to the r-th document is r * e. W
 r * e + u. Documents are ranked by size class, then by bucket, then by size, so that the words
 taken follow the target closely and not only the number of documents.
 
-The rank needs no sort of a whole source: rows fall into cells (source, size class, bucket); a
+A prefix sum over sources (targets) runs over one row per source. The rank needs no sort of a whole source: rows fall into cells (source, size class, bucket); a
 cell's rows before it come from a prefix sum over cell counts, and a rank inside the cell from a
 window over the cell. The number of buckets follows the number of rows, so cells stay small even
 where one source or one size holds most rows. Cells and sources are counted first with map-side
@@ -20,17 +20,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, numbered, table, whole
+from .common import WORD, fresh, kept, marked, numbered, table, whole
 
 #: Rows that a cell of a source with all rows in one size class would have, and the most buckets.
 CELL_ROWS, MOST_BUCKETS = 2000, 65536
 KEY = ["no_source", "src"]
 
 
-def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", row: str | None = None) -> DataFrame:
     """doc_id, row (its number), the source as a non-null key, size in words (0 for null)."""
-    row = docs["__row"] if "__row" in docs.columns else F.monotonically_increasing_id()
-    return docs.select(docs[doc_id].alias("doc_id"), row.alias("row"), docs[source].isNull().alias("no_source"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"))
+    number = docs[row] if row else F.monotonically_increasing_id()
+    return docs.select(docs[doc_id].alias("doc_id"), number.alias("row"), docs[source].isNull().alias("no_source"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(rows: DataFrame, weights: Sequence[int], share: float, cap: int) -> DataFrame:
@@ -65,9 +65,9 @@ def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     return ranked(docs, text, doc_id, source, **how).drop("row")
 
 
-def ranked(docs: DataFrame, text: str, doc_id: str, source: str, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+def ranked(docs: DataFrame, text: str, doc_id: str, source: str, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2, row: str | None = None) -> DataFrame:
     """The mixture with the number of each row."""
-    rows = kept(sizes(docs, text, doc_id, source), "sizes")
+    rows = kept(sizes(docs, text, doc_id, source, row), "sizes")
     buckets = max(1, min(MOST_BUCKETS, -(-rows.count() // CELL_ROWS)))
     bits = F.length(F.bin("size"))
     fine = F.when(F.col("size") < 8, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, length(bin(size)) - 4) & 7"))
@@ -83,11 +83,13 @@ def ranked(docs: DataFrame, text: str, doc_id: str, source: str, weights: Sequen
     return out.select("doc_id", "row", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", cap: int = 2, **how) -> DataFrame:
     """docs with each row as often as the mixture takes it; columns as they were. doc_id may be null or repeated."""
-    rows = numbered(docs)
-    copies = ranked(rows, text, doc_id, source, **how).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows, row = numbered(docs)
+    copies = kept(ranked(rows, text, doc_id, source, cap=cap, row=row, **how).filter("copies > 0").select("row", "copies"), "copies")
+    found, taken = marked(rows, row, copies, "row", *(F.col("copies") >= n for n in range(1, cap + 1)))
+    copy = fresh("__copy", *found.columns)
+    return found.withColumn(copy, F.explode(F.filter(F.array(*taken), lambda x: x))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

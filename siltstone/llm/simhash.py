@@ -7,10 +7,15 @@ to either. Fingerprints are compared per anchor only, and an anchor gives spanni
 connected there, never all pairs.
 
 fingerprint_links joins 64-bit fingerprints exactly: two blocks of 23 bits make the anchor, and a
-threshold t is shared by the blocks (t1 + t2 <= t), about 61 anchors a fingerprint at t = 2.
+threshold t is shared by the blocks (t1 + t2 <= t), about 61 anchors a fingerprint at t = 2. Crowded
+anchors, found on a sample, are split by the 18 bits that are left: in three parts of 6 bits, of
+which fingerprints within 2 bits have one in common. What still meets in numbers at one anchor is
+linked in time in proportion to it, as fingerprints within 2 bits have a neighbour in common.
 similar_pairs serves similarity 0.8: 32 independent blocks of 23 bits with threshold 1 each, about
-170 anchors a signature, and 128 further bits that leave out what is far apart. Those pairs are
-candidates; the sets of shingles themselves decide.
+170 anchors a signature, and 128 further bits, others for every second block, that leave out what is
+far apart. An anchor compares its signatures in all, but names as candidates only the nearest pairs
+that connect what is not connected, so that a large group gives links, not pairs. A sketch of 256
+bytes leaves out candidates that are clearly less similar; the sets of shingles decide on the others.
 """
 
 from __future__ import annotations
@@ -25,18 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, numbered, table, whole
+from .common import fresh, kept, marked, numbered, ship, table, task, whole
 from .components import components
 
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
 BITS, RADIUS = 23, 3
-#: Signature of similar_pairs: blocks, two to a word, then check words; most differing check bits of a candidate (at 0.8 they
-#: are 19.4 on average with a deviation of 4.1), and of the stars tried first.
-BLOCKS, CHECK_WORDS, CHECK_BITS, STAR_BITS = 32, 2, 36, 27
+#: Signature of similar_pairs: blocks, two to a word, then check words, CHECK_WORDS for each parity of the block; most differing
+#: check bits of a candidate (at 0.8 they are 19.4 on average with a deviation of 4.1; more would let through what hides nearer pairs).
+BLOCKS, CHECK_WORDS, CHECK_BITS = 32, 2, 27
+WORDS = BLOCKS // 2 + 2 * CHECK_WORDS
 #: Blocks of the first round of similar_roots.
 FIRST = 4
-#: Shingles hashed at a time, rows compared at a time, largest group compared by shifts.
-CHUNK, ROWS, SHIFTED = 1 << 16, 200_000, 24
+#: Shingles hashed at a time, rows compared at a time, largest group compared by shifts, and one by one; points of neighbours sorted at a time.
+CHUNK, ROWS, SHIFTED, SINGLY, POINTS = 1 << 16, 200_000, 24, 2048, 1 << 23
+#: Pairs held until those that connect nothing new are left out.
+PAIRS = 1_000_000
+#: An anchor is crowded with more than so many fingerprints, or one in so many of all; one fingerprint in so many is looked at, and no more than so many.
+CROWD, CROWD_SHARE, LOOKED_AT, LOOKED_AT_MOST = 200_000, 50_000, 16, 1_000_000
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -75,20 +85,34 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, shingle)]).astype(np.uint64))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A byte (1 to 255, 0: none) for the smallest hash of a set with each first byte."""
+    h = np.r_[h, np.uint64(0)]
+    first = np.searchsorted(h[:-1], np.arange(256, dtype=np.uint64) << np.uint64(56))
+    some = np.r_[np.diff(first) > 0, first[-1] < len(h) - 1]
+    return np.where(some, h[first] % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches (n, 256) may be of sets with similarity 0.8, but for four deviations of the estimate."""
+    either = ((x > 0) | (y > 0)).sum(1)
+    return (x == y).sum(1) - (256 - either) >= 0.8 * either - 4 * np.sqrt(0.16 * either)
+
+
 def signature(h: np.ndarray, words: int) -> bytes:
-    """SimHash of words * 64 bits of a set of shingles, then 16 bytes that tell sets apart; where as many hashes have a bit as have not, that of the smallest hash counts.
+    """SimHash of words * 64 bits of a set of shingles, then 16 bytes that tell sets apart, then its sketch; where as many hashes have a bit as have not, that of the smallest hash counts.
 
     Repeats do not count and ties are fair, so that short texts and texts of repeated lines are not near others by chance.
     """
     if not len(h):
-        return bytes(8 * words + 16)
+        return bytes(8 * words + 16 + 256)
     counts = np.zeros((8 * words, 8), np.int64)
     for at in range(0, len(h), CHUNK // 8):
         octets = mixed_words(h[at : at + CHUNK // 8], words).astype(">u8").view(np.uint8).reshape(-1, 8 * words)
         if not at:
             first = np.unpackbits(octets[0]).reshape(-1, 8)
         counts += ones(octets)
-    return np.packbits(counts * 2 + first > len(h), axis=1).tobytes() + xxhash.xxh3_128_digest(h.tobytes())
+    return np.packbits(counts * 2 + first > len(h), axis=1).tobytes() + xxhash.xxh3_128_digest(h.tobytes()) + sketch(h)
 
 
 def mixed_words(h: np.ndarray, words: int) -> np.ndarray:
@@ -106,11 +130,13 @@ def mixed_words(h: np.ndarray, words: int) -> np.ndarray:
 def signatures(docs: DataFrame, make: Callable[[str], bytes], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, sig (binary, made from the text) of every row; null texts are empty."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = [make(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], ["doc_id", "sig"])
 
+    ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sig binary")
 
@@ -172,8 +198,24 @@ def anchors_of_signatures(sig: np.ndarray, blocks: range = range(BLOCKS)) -> tup
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def connected(keys: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (row, row) of rows with equal keys (sorted) whose check words differ in at most `most` bits."""
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (the smallest known row of each row's component) after linking rows i and j."""
+    i, j = label[i], label[j]
+    while len(i):
+        on = i != j
+        i, j = i[on], j[on]
+        m = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, m)
+        np.minimum.at(label, j, m)
+        label = label[label]
+        i, j = label[i], label[j]
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def connected(keys: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
+    """The root of each row: rows with equal keys (sorted) whose check words differ in at most `most` bits belong together."""
     n = len(keys)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.array([], np.int64)
     length = np.diff(np.r_[starts, n])
@@ -189,36 +231,59 @@ def connected(keys: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarra
         left.append(i)
         right.append(i + shift)
     if left:
-        i, j = np.concatenate(left), np.concatenate(right)
-        while len(i):
-            m = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], m)
-            np.minimum.at(label, label[j], m)
-            label = label[label]
-            on = label[i] != label[j]
-            i, j = i[on], j[on]
-        while (label[label] != label).any():
-            label = label[label]
+        label = united(label, np.concatenate(left), np.concatenate(right))
     for at, size in zip(starts[length > SHIFTED], length[length > SHIFTED], strict=True):
-        label[at : at + size] = at + flood(check[at : at + size], most)
-    row = np.flatnonzero(label != np.arange(n))
-    return label[row], row
-
-
-def apart(keys: np.ndarray, label: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (row, row) with equal keys (sorted) and different labels whose check words differ in at most `most` bits."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    length = np.diff(np.r_[starts, len(keys)])
-    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-    room = np.where(np.repeat(mixed, length), np.repeat(starts + length, length) - np.arange(len(keys)), 0)
-    left, right, i = [], [], np.arange(len(keys))
-    for shift in range(1, int(room.max(initial=0))):
-        i = i[room[i] > shift]
-        j = i[label[i] != label[i + shift]]
-        j = j[np.bitwise_count(check[j] ^ check[j + shift]).sum(1) <= most]
-        left.append(j)
-        right.append(j + shift)
-    return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
+        group = check[at : at + size]
+        label[at : at + size] = at + (neighbours(group[:, 0], most) if size > SINGLY and group.shape[1] == 1 and most <= 2 else flood(group, most))
+    return label
+
+
+def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """root after linking rows i and j, and the pairs, nearest (d) first, that link what was not linked."""
+    by = np.argsort(d, kind="stable")
+    i, j = i[by], j[by]
+    used = [np.empty((2, 0), np.int64)]
+    while len(i):
+        a, b = root[i], root[j]
+        on = a != b
+        i, j, a, b = i[on], j[on], a[on], b[on]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        used.append(np.stack([i[first], j[first]]))
+        root = root.copy()
+        root[high] = np.minimum(a, b)[first]
+        while (root[root] != root).any():
+            root = root[root]
+    return root, *np.concatenate(used, axis=1)
+
+
+def spanned(keys: np.ndarray, label: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row), near ones first, that connect the labels of each key at up to `most` differing bits; rows are sorted by key, then label.
+
+    Pairs are looked at in all, but of those that connect the same labels few come out, so there
+    are fewer than rows.
+    """
+    n = len(keys)
+    edge, own = keys[1:] != keys[:-1], (keys[1:] != keys[:-1]) | (label[1:] != label[:-1])
+    end, start, behind = (np.r_[0, np.flatnonzero(x) + 1, n] if n else np.zeros(2, np.int64) for x in (edge, own, own))
+    end = np.repeat(end[1:], np.diff(end))
+    root, behind = np.repeat(start[:-1], np.diff(start)), np.repeat(behind[1:], np.diff(behind))
+    i, shift = np.flatnonzero(behind < end), 0
+    left, right, far, held, out = [], [], [], 0, [np.empty((2, 0), np.int64)]
+    while len(i):
+        j = behind[i] + shift
+        d = np.bitwise_count(check[i] ^ check[j]).sum(1)
+        hit = (d <= most) & (root[i] != root[j])
+        left.append(i[hit])
+        right.append(j[hit])
+        far.append(d[hit])
+        held += len(left[-1])
+        shift += 1
+        i = i[behind[i] + shift < end[i]]
+        if held > PAIRS or not len(i):
+            root, a, b = forest(root, np.concatenate(left), np.concatenate(right), np.concatenate(far))
+            out.append(np.stack([a, b]))
+            left, right, far, held = [], [], [], 0
+    return tuple(np.concatenate(out, axis=1))
 
 
 def flood(check: np.ndarray, most: int) -> np.ndarray:
@@ -242,66 +307,170 @@ def flood(check: np.ndarray, most: int) -> np.ndarray:
     return root
 
 
-def _links(nodes: DataFrame, anchors: Callable, check: Callable, words: int, most: int, every: bool = False) -> DataFrame:
-    """a, b: spanning links of nodes (node long, sig binary) per anchor, or every pair of different label (a third column); check takes the deciding words of the signatures."""
+def neighbours(fp: np.ndarray, most: int) -> np.ndarray:
+    """The root of each of a large group of 64-bit fingerprints linked at up to `most` (0 to 2) differing bits.
 
+    Fingerprints differ in at most 2 bits if a point is within 1 bit of both. The points are sorted
+    a class of low bits at a time, so memory stays near POINTS however many there are.
+    """
+    label, n = np.arange(len(fp)), len(fp)
+    k = max(0, (n * 65 // POINTS).bit_length())
+    low = (fp & np.uint64((1 << k) - 1)).astype(np.int64)
+    order = np.argsort(low, kind="stable")
+    at = np.searchsorted(low[order], np.arange((1 << k) + 1))
+    for c in range(1 << k):
+        points, rows = [fp[x := order[at[c] : at[c + 1]]]], [x]
+        for bit in range(64 if most else 0):
+            d = c ^ (1 << bit) if bit < k else c
+            rows.append(order[at[d] : at[d + 1]])
+            points.append(fp[rows[-1]] ^ np.uint64(1 << bit))
+        p, r, centre = np.concatenate(points), np.concatenate(rows), np.zeros(sum(map(len, rows)), bool)
+        centre[: len(rows[0])] = True
+        by = np.lexsort((~centre, p))
+        p, r, centre = p[by], r[by], centre[by]
+        if most == 2:
+            i = np.flatnonzero(p[1:] == p[:-1])
+            label = united(label, r[i], r[i + 1])
+        else:  # 1: the point must be one of the two itself
+            first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            head = np.repeat(first, np.diff(np.r_[first, len(p)]))
+            i = np.flatnonzero(centre[head])
+            label = united(label, r[i], r[head[i]])
+    return label
+
+
+def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, near: bool = False) -> DataFrame:
+    """a, b: links that span what nodes (node long, sig binary) that meet at a key and differ in at most `most` bits connect.
+
+    keyed gives the row, the key and the deciding words of signatures. near: nodes have a third
+    column, label, and links are the nearest pairs that connect the labels of a key; else all of a
+    key's nodes that belong together are linked to the smallest of them.
+    """
+    ship(nodes.sparkSession)
+
+    @task
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(part.num_rows, -1)
-                row, key = anchors(sig)
-                deciding = check(sig)[row]
+                row, key, deciding = keyed(sig)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in (part.column(0), *part.columns[2:])), *(pa.array(deciding[:, k].view(np.int64)) for k in range(words))], names)
 
+    @task
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def links(cols: list[np.ndarray]) -> pa.RecordBatch:
             bits = np.stack(cols[-words:], 1).view(np.uint64)
-            a, b = apart(cols[0], cols[2], bits, most) if every else connected(cols[0], bits, most)
-            a, b = (cols[1][a], cols[1][b]) if not every else (np.minimum(cols[1][a], cols[1][b]), np.maximum(cols[1][a], cols[1][b]))
-            other = a != b
-            pairs = np.unique(np.stack([a[other], b[other]]), axis=1) if other.any() else np.empty((2, 0), np.int64)
+            if near:
+                a, b = spanned(cols[0], cols[2], bits, most)
+            else:
+                root = connected(cols[0], bits, most)
+                b = np.flatnonzero(root != np.arange(len(root)))
+                a = root[b]
+            a, b = np.minimum(cols[1][a], cols[1][b]), np.maximum(cols[1][a], cols[1][b])
+            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-        count = 0
+        count, room = 0, ROWS
         for batch in batches:
             held.append([np.asarray(c) for c in batch.columns])
             count += batch.num_rows
-            if count >= ROWS:
+            if count >= room:
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last anchor may go on
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
                 if cut:
                     yield links([c[:cut] for c in cols])
-                held, count = [[c[cut:] for c in cols]], (len(cols[0]) - cut) // 2
+                    cols = [c[cut:] for c in cols]
+                held, count = [cols], len(cols[0])
+                room = count + ROWS
         if held:
             yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
     names = ["key", "node", *nodes.columns[2:], *(f"w{k}" for k in range(words))]
     sent = nodes.mapInArrow(replicate, ", ".join(f"{n} long" for n in names))
-    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long").distinct()  # by node too: links lead to the smallest node that an anchor connects, the same from many anchors
+    # by node too: links lead to the smallest node that a key connects, the same from many keys
+    return sent.repartition("key").sortWithinPartitions("key", "label" if near else "node", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
-def fingerprint_links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
-    """a, b: links that connect what differs in at most threshold (0 to 2) bits. nodes: distinct node, and sig of 8 bytes."""
-    return _links(nodes, lambda sig: anchors_of_fingerprints(sig[:, 0], threshold), lambda sig: sig, 1, threshold)
+def crowded(nodes: DataFrame, threshold: int, crowd: int | None = None) -> np.ndarray:
+    """The crowded anchors of fingerprints, sorted: at most about 3 million, as each has its share of the anchors of a bounded sample."""
+    ship(nodes.sparkSession)
+    n = nodes.count()
+    limit = crowd or max(CROWD, n // CROWD_SHARE)
+    if n <= limit:
+        return np.empty(0, np.int64)
+    one_in = max(LOOKED_AT, n // LOOKED_AT_MOST) if crowd is None else 1
+
+    @task
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").astype(np.uint64)
+            for at in range(0, len(sig), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors_of_fingerprints(sig[at : at + 2000], threshold)[1])], ["key"])
+
+    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).select("sig").mapInArrow(keys, "key long")
+    found = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * one_in > limit).select("key")
+    return np.sort(np.array([r.key for r in found.collect()], np.int64))
+
+
+def split_anchors(fp: np.ndarray, threshold: int, crowds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """row, key of fingerprints: an anchor and 0, or for crowded anchors one key for each part (1 to 3) and 6 bits of the 18 that anchors leave over."""
+    row, anchor = anchors_of_fingerprints(fp, threshold)
+    many = np.isin(anchor, crowds) if len(crowds) else np.zeros(len(anchor), bool)
+    rows, keys = [row[~many]], [anchor[~many] << 8]
+    rest = (fp[row[many]] & np.uint64(0x3FFFF)).astype(np.int64)
+    for part in range(3):
+        rows.append(row[many])
+        keys.append(anchor[many] << 8 | (part + 1) << 6 | rest >> 6 * part & 63)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
-def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), most: int = CHECK_BITS, every: bool = True) -> DataFrame:
-    """a, b: candidates, the nodes (node, sig, and label if every) that meet at an anchor of the blocks and differ in at most `most` check bits: all with different labels, or stars that span them."""
-    return _links(nodes, lambda sig: anchors_of_signatures(sig[:, : BLOCKS // 2], blocks), lambda sig: sig[:, BLOCKS // 2 : BLOCKS // 2 + CHECK_WORDS], CHECK_WORDS, most, every)
+def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None = None) -> DataFrame:
+    """a, b: links that connect what differs in at most threshold (0 to 2) bits. nodes: distinct node, and sig of 8 bytes. crowd: fingerprints from which on an anchor is split."""
+    crowds = nodes.sparkSession.sparkContext.broadcast(crowded(nodes, threshold, crowd))
 
+    def keyed(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, key = split_anchors(sig[:, 0], threshold, crowds.value)
+        return row, key, sig[row]
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """The pairs (a, b: __row of docs) whose sets of shingles have similarity 0.8 or more, compared in full."""
+    return _links(nodes, keyed, 1, threshold)
 
+
+def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), most: int = CHECK_BITS) -> DataFrame:
+    """a, b: candidates, the nearest pairs of nodes (node, sig, label) that connect different labels at an anchor of the blocks, of those that differ in at most `most` check bits."""
+
+    def keyed(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, key = anchors_of_signatures(sig[:, : BLOCKS // 2], blocks)
+        odd = (key >> 12 & 1).astype(bool)
+        check = sig[row, BLOCKS // 2 : BLOCKS // 2 + CHECK_WORDS]
+        check[odd] = sig[row[odd], BLOCKS // 2 + CHECK_WORDS : WORDS]
+        return row, key, check
+
+    return _links(nodes, keyed, CHECK_WORDS, most, near=True)
+
+
+def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
+    """The pairs (a, b: row numbers of docs) whose sets of shingles have similarity 0.8 or more; kept.
+
+    Sketches (node, sketch) leave out what is clearly less; the others are compared in full.
+    """
+
+    @task
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(x, y), pa.bool_()))
+
+    @task
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], ["node", "h"])
 
+    @task
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
@@ -311,23 +480,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int) -> Dat
                 near.append(both > 0 and 5 * both >= 4 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    def beside(pairs: DataFrame, have: DataFrame, column: str) -> DataFrame:
+        return pairs.join(have.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
+
     pairs = kept(pairs, "candidates")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    rows = docs.select("__row", whole(docs[text]).alias("text")).join(used, "__row", "left_semi")
-    have = kept(rows.mapInArrow(sets, "node long, h binary"), "sets")
-    both = pairs.join(have.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    pairs = kept(beside(pairs, sketches, "sketch").mapInArrow(likely, "a long, b long"), "likely", (pairs,))
+    found, (used,) = marked(docs.select(F.col(row).alias("node"), whole(docs[text]).alias("text")), "node", pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", F.lit(True))
+    have = kept(found.filter(used).select("node", "text").mapInArrow(sets, "node long, h binary"), "sets")
+    return kept(beside(pairs, have, "h").mapInArrow(compare, "a long, b long"), "confirmed", (pairs, have))
 
 
-def similar_roots(nodes: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
+def similar_roots(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
     """node, root: the smallest node of each component of confirmed pairs, for every node.
 
-    Stars at the first blocks connect most of what belongs together; then every candidate pair that
-    is still apart is confirmed, so a large group is not compared in all its pairs.
+    The first blocks connect most of what belongs together; then the others connect what is still
+    apart. A link that is refused leaves its labels apart until another of their pairs is nearest at
+    another anchor, where other bits are looked at or other nodes meet.
     """
-    first = components(confirmed(similar_pairs(nodes, range(FIRST), STAR_BITS, every=False), docs, text, shingle), "a", "b")
+    alone = nodes.withColumn("label", F.col("node"))
+    first = components(confirmed(similar_pairs(alone, range(FIRST)), sketches, docs, text, shingle, row), "a", "b")
     joined = kept(nodes.join(first, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label")), "labels")
-    links = confirmed(similar_pairs(joined), docs, text, shingle)
+    links = confirmed(similar_pairs(joined, range(FIRST, BLOCKS)), sketches, docs, text, shingle, row)
     own = joined.filter("node != label").select(F.col("label").alias("a"), F.col("node").alias("b"))
     then = components(links.unionByName(own), "a", "b")
     return joined.select("node").join(then, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -355,14 +528,15 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     Similarity is that of the sets of five-word shingles, compared in full for all candidates that
     SimHash signatures name. doc_id may be null or repeated.
     """
-    docs_ = numbered(docs)
-    key = F.struct(docs_[doc_id].isNull().alias("n"), docs_[doc_id].alias("i"), F.col("__row").alias("r"))
-    rows = kept(signatures(docs_.withColumn("__key", key), lambda t: signature(shingle_set(t, shingle), BLOCKS // 2 + CHECK_WORDS), text, "__key"), "signatures")
-    nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").alias("best")).select(F.col("best.r").alias("node"), "sig", "best"), "nodes")
-    roots = similar_roots(nodes.select("node", "sig"), docs_, text, shingle)
-    stay = kept(nodes.select("node", "best").join(roots, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("__row")), "stay")
-    gone = rows.select(F.col("doc_id.r").alias("__row")).join(stay, "__row", "left_anti")
-    return docs_.join(gone, "__row", "left_anti").select(*docs.columns)
+    docs_, row = numbered(docs)
+    name = fresh("__key", row, *docs.columns)
+    key = F.struct(docs_[doc_id].isNull().alias("n"), docs_[doc_id].alias("i"), F.col(row).alias("r"))
+    rows = kept(signatures(docs_.withColumn(name, key), lambda t: signature(shingle_set(t, shingle), WORDS), text, name), "signatures")
+    nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").alias("best")).select(F.col("best.r").alias("node"), F.substring("sig", 1, 8 * WORDS + 16).alias("sig"), F.substring("sig", 8 * WORDS + 17, 256).alias("sketch"), "best"), "nodes")
+    roots = similar_roots(nodes.select("node", "sig"), nodes.select("node", "sketch"), docs_, text, shingle, row)
+    stay = kept(nodes.select("node", "best").join(roots, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("row")), "stay", (nodes, rows))
+    found, (stays,) = marked(docs_, row, stay, "row", F.lit(True))
+    return found.filter(stays).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
