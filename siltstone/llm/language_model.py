@@ -3,20 +3,25 @@
 Counts of words and word pairs are quantised to levels (powers of BASE); an n-gram is put in the
 filter once for each level up to its own. A probe asks for level 1, 2, ... until one is missing, and
 the last level found stands for the count. The filter's size follows the number of entries, so the
-rate of false positives does not grow with the corpus. Up to MAX_FILTER bytes it is broadcast; a
-larger one stays in its slices, and the n-grams of each chunk of texts are sent to the slices that
-answer for them and the levels back.
-
-Tasks count n-grams of about FLUSH tokens at a time and send sorted (hash, count) arrays to buckets
-of the hash range; a bucket's task adds them up exactly, writes the exact word counts, and makes
-its own slice of the filter. The exact base score takes the counts of the most frequent words (at
-most TOP_WORDS, broadcast) where it can, and a join on the hash for the other words.
-Words are told apart by 64-bit hashes.
+rate of false positives does not grow with the corpus.
+
+Texts are tokenised once, into chunks: the hashes of a chunk's words, and a number for each token.
+A chunk's distinct n-grams and their counts go to buckets of the hash range; a bucket's task adds
+them up exactly, makes its slice of the filter, and answers each chunk with the exact counts of its
+words, which the base score takes. Where the filter is sure to fit in MAX_FILTER bytes (it has at
+most a byte for each byte of text and three for each row) it is broadcast and probed by the tasks that
+score; a larger one is probed slice by slice where it is made, and the levels go back with the counts.
+Both ways give the same scores.
+
+Words are told apart by 64-bit hashes, pairs by as many bits as 6 bytes and their bucket hold. How
+many buckets there are follows from the bytes of text alone, so scores do not depend on how the
+rows lie in files and partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, ranges, table, whole
+from .common import kept, ranges, ship, table, task, whole
 from .quality import fold
 
 BASE, PROBES, BITS_PER_ENTRY, MAX_FILTER = 1.5, 4, 8, 64 << 20
-FLUSH, TOP_WORDS, REMEMBERED = 1 << 20, 500_000, 200_000
-#: Characters scored at a time, and of a chunk whose n-grams are looked up together.
-CHARS, CHUNK = 500_000, 1 << 20
+#: Bytes of text to a bucket of the hash range, and the fewest and most buckets, as powers of two.
+BUCKET_BYTES, BUCKET_BITS = 3 << 19, (8, 18)
+#: Characters of a chunk.
+CHUNK = 1 << 21
 #: Weight of the word's own probability against the pair's count.
 SMOOTHING = 200.0
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -45,8 +51,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * _U(0x9E3779B97F4A7C15) + (second ^ (second >> _U(31))))
+def pair(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    """The hash of a pair of words, whose lowest bits are 0 where 6 bytes and the bucket do not hold them."""
+    rest = max(0, 16 - (buckets - 1).bit_length())
+    return mix(first * _U(0x9E3779B97F4A7C15) + (second ^ (second >> _U(31)))) >> _U(rest) << _U(rest)
+
+
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs without the bits that their bucket tells: 6 bytes each."""
+    return (keys << _U((buckets - 1).bit_length())).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def long(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    """Pairs back from their 6 bytes and their bucket."""
+    b, full = (buckets - 1).bit_length(), np.zeros((len(data) // 6, 8), np.uint8)
+    full[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return full.view(">u8").ravel().astype(np.uint64) >> _U(b) | _U(bucket << (64 - b))
+
+
+def planes(counts: np.ndarray, size: int = 4) -> bytes:
+    """Counts of `size` bytes as their lowest bytes, then the next, and so on: mostly zeros, which compress away."""
+    return counts.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def unplaned(data: bytes, size: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -91,11 +120,11 @@ class Filter:
         return out
 
 
-def slice_of(keys: np.ndarray, counts: np.ndarray, most_bits: int = 1 << 62) -> tuple[bytes, int]:
-    """The filter slice of a bucket's n-grams, and its bits; as large as its entries ask for, up to most_bits."""
+def slice_of(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+    """The filter slice of a bucket's n-grams, and its bits; as large as its entries ask for."""
     level = levels(counts)
     entries = int(level.sum())
-    size = max(64, min(entries * BITS_PER_ENTRY, most_bits) // 64 * 64) if entries else 0
+    size = max(64, entries * BITS_PER_ENTRY // 64 * 64) if entries else 0
     out = np.zeros(size, np.bool_)
     for j in range(1, int(level.max(initial=0)) + 1):
         on = keys[level >= j]
@@ -108,16 +137,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class Hashes(dict):
-    """Word to hash; forgets all when it grows beyond REMEMBERED."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
@@ -129,9 +148,9 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[start], np.add.reduceat(c, start)
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """A power of two, so that a bucket stays small: 16 for each partition of the input."""
-    return 1 << min(18, max(8, (16 * docs.rdd.getNumPartitions() - 1).bit_length()))
+def buckets_for(size: int) -> int:
+    """How many buckets texts of so many bytes are counted in: a power of two."""
+    return 1 << min(max((max(size, 1) // BUCKET_BYTES).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -139,91 +158,106 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << _U(64 - (buckets - 1).bit_length())), len(keys)]
 
 
-def counted(train: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket: bits, size (of the filter slice), words and counts (exact, as arrays of 8 bytes), tokens, kinds. train: text."""
-    names = ["bucket", "k1", "c1", "k2", "c2"]
+class Numbers(dict):
+    """Word to its number, in the order of appearance."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(), []
-
-        def flush() -> pa.RecordBatch:
-            h = np.array(held, np.uint64)
-            held.clear()
-            k1, c1 = np.unique(h[1:], return_counts=True)
-            k2, c2 = np.unique(pair(h[:-1], h[1:]), return_counts=True)
-            a1, a2, c1, c2 = cuts(k1, buckets), cuts(k2, buckets), c1.astype(np.uint32), c2.astype(np.uint32)
-            some = np.flatnonzero((np.diff(a1) > 0) | (np.diff(a2) > 0)).tolist()
-            parts = [[x[a[i] : a[i + 1]].tobytes() for i in some] for x, a in ((k1, a1), (c1, a1), (k2, a2), (c2, a2))]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-        for batch in batches:
-            for text in batch.column(0):
-                if not held:
-                    held.append(int(END))
-                held.extend(map(hashes.__getitem__, words_of(text.as_py())))
-                held.append(int(END))
-                if len(held) >= FLUSH:
-                    yield flush()
-        if held:
-            yield flush()
 
+def tokenised(rows: DataFrame) -> DataFrame:
+    """Chunks of about CHUNK characters of rows (row, doc_id, text, held_out): chunk, the rows' doc_id, held_out and n (tokens) as lists, the hashes of the chunk's words, most frequent first, and a number for each token."""
+    shape = f"chunk long, doc_id array<{rows.schema['doc_id'].dataType.simpleString()}>, held_out array<boolean>, n array<long>, words binary, ids binary"
+    names = ["chunk", "doc_id", "held_out", "n", "words", "ids"]
+
+    @task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for span in ranges(pc.utf8_length(batch.column(2)).to_pylist(), CHUNK):
+                row, doc_id, text, held_out = batch.slice(span.start, span.stop - span.start).columns
+                numbers = Numbers({b"": 0})  # no word is empty; this is the end
+                texts = [words_of(t.as_py()) for t in text]
+                for t in texts:
+                    t.append(b"")
+                n = np.fromiter(map(len, texts), np.int64, len(texts))
+                ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+                words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+                words[0] = END
+                order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (doc_id, held_out, pa.array(n))]
+                yield pa.RecordBatch.from_arrays([row.slice(0, 1), *lists, pa.array([words[order].tobytes()], pa.binary()), pa.array([planes(place[ids])], pa.binary())], names)
+
+    return rows.mapInArrow(run, shape)
+
+
+class Chunk:
+    """The tokens of a chunk: words (hashes), ids (a number for each token), n (tokens of each row), pairs (a hash for each token and the one before)."""
+
+    def __init__(self, words: bytes, ids: bytes, n: np.ndarray, buckets: int):
+        self.words, self.ids, self.n = np.frombuffer(words, np.uint64), unplaned(ids), n
+        h = self.words[self.ids]
+        self.pairs = pair(np.r_[END, h[:-1]], h, buckets)  # the last token of a row is the end
+        self.order = np.argsort(self.words, kind="stable")
+
+
+def counted(chunks: DataFrame, buckets: int, sliced: bool) -> DataFrame:
+    """For each bucket a row without chunk: bits (unless sliced) and size of its slice, tokens and kinds of training words; and for each chunk that has n-grams there: the exact counts of its words and, if sliced, the levels of its words and pairs, in the order of the hashes."""
+    names = ["bucket", "chunk", "k1", "c1", "k2", "c2"]
+    out = {"bucket": pa.int32(), "chunk": pa.int64(), "bits": pa.binary(), "size": pa.int64(), "tokens": pa.int64(), "kinds": pa.int64(), "counts": pa.binary(), "words_at": pa.binary(), "pairs_at": pa.binary()}
+
+    @task
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held_out, n, words, ids in zip(*batch.columns, strict=True):
+                n = np.asarray(n.values)
+                c = Chunk(words.as_py(), ids.as_py(), n, buckets)
+                train = np.repeat(~np.asarray(held_out.values.to_numpy(zero_copy_only=False), bool), n)
+                k1, c1 = c.words[c.order], np.bincount(c.ids[train], minlength=len(c.words))[c.order]
+                k2, c2 = np.unique(c.pairs[train], return_counts=True)
+                if sliced:
+                    keys = np.union1d(k2, c.pairs[~train])
+                    times = np.zeros(len(keys), np.int64)
+                    times[np.searchsorted(keys, k2)] = c2
+                    k2, c2 = keys, times
+                a1, a2, k2 = cuts(k1, buckets), cuts(k2, buckets), short(k2, buckets)
+                some = np.flatnonzero((np.diff(a1) > 0) | (np.diff(a2) > 0)).tolist()
+                parts = [[make(x[a[i] : a[i + 1]]) for i in some] for x, a, make in ((k1, a1, np.ndarray.tobytes), (c1, a1, planes), (k2, a2, np.ndarray.tobytes), (c2, a2, planes))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk.as_py()] * len(some), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names)
+
+    @task
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, [[], [], [], []]
+        at, held = None, []
 
         def done() -> pa.RecordBatch:
-            k1, c1 = summed(held[0], held[1])
-            k2, c2 = summed(held[2], held[3])
-            bits, size = slice_of(np.r_[k1, k2], np.r_[c1, c2])
-            values = at, bits, size, k1.tobytes(), c1.tobytes(), int(c1.sum()), len(k1)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "bits", "size", "words", "counts", "tokens", "kinds"])
+            asked, k1, c1, k2, c2 = zip(*held, strict=True)
+            (w, wc), (p, pc_) = summed(k1, c1), summed(k2, c2)
+            known, seen = wc > 0, pc_ > 0
+            bits, size = slice_of(np.r_[w[known], p[seen]], np.r_[wc[known], pc_[seen]])
+            rows: list[tuple] = [(at, None, None if sliced else bits, size, int(wc.sum()), int(known.sum()), None, None, None)]
+            probed = Filter(np.frombuffer(bits, np.uint8), np.array([0]), np.array([size]))
+            levels_ = [x.astype(np.uint8) for x in (probed.level(w), probed.level(p))] if sliced else None
+            for chunk, words, pairs in zip(asked, k1, k2, strict=True):
+                i = np.searchsorted(w, words)
+                answers = (levels_[0][i].tobytes(), levels_[1][np.searchsorted(p, pairs)].tobytes()) if sliced else (None, None)
+                rows.append((at, chunk, None, None, None, None, planes(wc[i], 8), *answers))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.values(), strict=True)], list(out))
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.column(0)[i].as_py()
-                if b != at:
+            for i in range(batch.num_rows):  # one at a time, as a batch is large
+                bucket, chunk, k1, c1, k2, c2 = (c[i].as_py() for c in batch.columns)
+                if bucket != at:
                     if at is not None:
                         yield done()
-                    at, held = b, [[], [], [], []]
-                for j, kind in enumerate((np.uint64, np.uint32, np.uint64, np.uint32)):
-                    part = np.frombuffer(batch.column(j + 1)[i].as_py(), kind)
-                    held[j].append(part if kind is np.uint64 else part.astype(np.int64))
+                    at, held = bucket, []
+                held.append((chunk, np.frombuffer(k1, np.uint64), unplaned(c1), long(k2, bucket, buckets), unplaned(c2)))
         if at is not None:
             yield done()
 
-    sent = train.select("text").mapInArrow(gather, "bucket int, k1 binary, c1 binary, k2 binary, c2 binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, bits binary, size long, words binary, counts binary, tokens long, kinds long")
-
-
-def word_counts(buckets: DataFrame) -> DataFrame:
-    """h, c: the exact count of every word of training."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(j)[i].as_py(), np.int64)) for j in (0, 1)], ["h", "c"])
-
-    return buckets.select("words", "counts").mapInArrow(spread, "h long, c long")
-
-
-def most_frequent(buckets: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count such that at most `most` words have it or more; those words' hashes, sorted, and their counts."""
-    total, least = 0, 1 << 62
-    for c, n in sorted(word_counts(buckets).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        total += n
-        if total > most:
-            break
-        least = c
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [[np.frombuffer(x.as_py(), np.int64) for x in column] for column in batch.columns]
-            some = [c >= least for c in both[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[m].tobytes() for x, m in zip(column, some, strict=True)], pa.binary()) for column in both], ["h", "c"])
-
-    parts = [(np.frombuffer(r.h, np.uint64), np.frombuffer(r.c, np.int64)) for r in buckets.select("words", "counts").mapInArrow(pick, "h binary, c binary").toLocalIterator()]
-    h, c = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind) for k, kind in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(h)
-    return least, h[order], c[order]
+    sent = chunks.select("chunk", "held_out", "n", "words", "ids").mapInArrow(gather, "bucket int, chunk long, k1 binary, c1 binary, k2 binary, c2 binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(merge, "bucket int, chunk long, bits binary, size long, tokens long, kinds long, counts binary, words_at binary, pairs_at binary")
 
 
 def gathered(parts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,137 +272,7 @@ def gathered(parts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     return bits, first, size
 
 
-def keys_of(texts: list[str], hashes: Hashes) -> np.ndarray:
-    """The distinct n-grams, sorted, that scoring the texts asks for."""
-    h = np.array([x for t in texts for x in (*map(hashes.__getitem__, words_of(t)), int(END))], np.uint64)
-    return np.unique(np.r_[h, pair(np.r_[END, h[:-1]], h)])
-
-
-class Levels:
-    """The levels of the n-grams of a chunk, found in the slices before."""
-
-    def __init__(self, keys: np.ndarray, found: np.ndarray):
-        if len(keys) != len(found):
-            raise ValueError(f"{len(found)} levels for {len(keys)} n-grams")
-        self.keys, self.found = keys, found.astype(np.int64)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.keys, keys)]
-
-
-def chunked(numbered: DataFrame, buckets: int) -> DataFrame:
-    """Chunks of about CHUNK characters: one row of lists of rows (bucket -1), and one row of keys for each bucket asked."""
-    kind = numbered.schema["doc_id"].dataType.simpleString()
-    shape = f"chunk long, bucket int, keys binary, row array<long>, doc_id array<{kind}>, text array<string>, held_out array<boolean>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            for span in ranges(pc.utf8_length(batch.column(2)).to_pylist(), CHUNK):
-                part = batch.slice(span.start, span.stop - span.start)
-                keys = keys_of(part.column(2).to_pylist(), hashes)
-                at = cuts(keys, buckets)
-                some = np.flatnonzero(np.diff(at) > 0).tolist()
-                n, chunk = 1 + len(some), part.column(0)[0].as_py()
-                lists = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), c) for c in part.columns]
-                lists = [c.take(pa.array([0] + [None] * (n - 1), pa.int32())) for c in lists]
-                asked = [None, *(keys[at[i] : at[i + 1]].tobytes() for i in some)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([-1, *some], pa.int32()), pa.array(asked, pa.binary()), *lists], names)
-
-    names = ["chunk", "bucket", "keys", "row", "doc_id", "text", "held_out"]
-    return numbered.mapInArrow(run, shape)
-
-
-def looked_up(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """chunk, bucket, levels (one byte a key) of asked (chunk, bucket, keys); each slice is read once and holds still while it is asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = f = None
-        for batch in batches:
-            chunks, buckets, found = [], [], []
-            for i in range(batch.num_rows):
-                b, data = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if batch.column(1)[i].as_py() is None:
-                    at, f = b, Filter(np.frombuffer(data, np.uint8), np.array([0]), np.array([batch.column(3)[i].as_py()]))
-                    continue
-                keys = np.frombuffer(data, np.uint64)
-                chunks.append(batch.column(1)[i].as_py())
-                buckets.append(b)
-                found.append((f.level(keys) if b == at else np.zeros(len(keys))).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(found, pa.binary())], ["chunk", "bucket", "levels"])
-
-    slices = parts.select("bucket", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("data"), "size")
-    both = slices.unionByName(asked.select("bucket", "chunk", F.col("keys").alias("data"), F.lit(None).cast("long").alias("size")))
-    return both.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, "chunk long, bucket int, levels binary")
-
-
-class Words(dict):
-    """Word to a number; new words wait in `new` until their values are looked up."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        n = self[word] = len(self)
-        return n
-
-
-class Scorer:
-    """Scores texts with the broadcast parts of a model."""
-
-    def __init__(self, model: dict):
-        self.m, self.filter, self.mean = model, model["filter"] and Filter(*model["filter"]), expected()
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = Words()
-        self.hash, self.count, self.guess = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
-
-    def look_up(self) -> None:
-        """hash, exact count (-1: not among the frequent) and the filter's count of new words."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.new), np.uint64, len(self.words.new))
-        self.words.new.clear()
-        self.hash, self.count, self.guess = np.r_[self.hash, h], np.r_[self.count, self.exact(h)], np.r_[self.guess, self.mean[self.filter.level(h)]]
-
-    def exact(self, h: np.ndarray) -> np.ndarray:
-        top, counts = self.m["top"]
-        at = np.searchsorted(top, h)
-        found = (at < len(top)) & (top[np.minimum(at, max(len(top) - 1, 0))] == h) if len(top) else np.zeros(len(h), bool)
-        return np.where(found, counts[np.minimum(at, max(len(top) - 1, 0))], -1) if len(top) else np.full(len(h), -1)
-
-    def batch(self, texts: list[str]) -> tuple:
-        """Per text: tokens, words known among the frequent, their log10 sum, score, and the other words' (hash, times)."""
-        if len(self.words) > REMEMBERED:
-            self.forget()
-        rows = [list(map(self.words.__getitem__, words_of(t))) for t in texts]
-        self.look_up()
-        n = np.array([len(r) + 1 for r in rows])
-        ends = np.cumsum(n) - 1
-        starts = ends - n + 1
-        ids = np.full(int(n.sum()), -1)
-        inner = np.ones(len(ids), bool)
-        inner[ends] = False
-        ids[inner] = np.fromiter((i for r in rows for i in r), np.int64, int(inner.sum()))
-        end = np.array([END])
-        h, c, g = (np.where(inner, v[ids] if len(v) else e, e) for v, e in ((self.hash, END), (self.count, self.exact(end)[0]), (self.guess, self.mean[self.filter.level(end)][0])))
-        h = h.astype(np.uint64)
-        before = np.r_[END, h[:-1]]
-        before[starts] = END
-        g0 = np.r_[0, g[:-1]]
-        g0[starts] = self.mean[self.filter.level(end)][0]
-        N, V = self.m["N"], self.m["V"]
-        own = (g + 0.1) / (N + 0.1 * (V + 1))
-        both = np.minimum(self.mean[self.filter.level(pair(before, h))], np.minimum(g, g0))
-        p = (both + SMOOTHING * own) / (g0 + SMOOTHING)
-        known = c >= 0
-        logs = np.where(known, np.log10(np.maximum(c, 0) + 0.1), 0)
-        add = np.add.reduceat
-        rare = [np.unique(x[~k], return_counts=True) for x, k in zip(np.split(h, ends[:-1] + 1), np.split(known, ends[:-1] + 1), strict=True)]
-        return n, add(known.astype(np.int64), starts), add(logs, starts), add(np.log10(p), starts), rare
-
-
-def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filter: int = MAX_FILTER, top_words: int = TOP_WORDS) -> DataFrame:
+def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filter: int = MAX_FILTER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Rows whose crc32 of doc_id mod 10 is 0 are held out of training; a null doc_id counts as empty
@@ -376,61 +280,60 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_filt
     occur. Without training rows every count is 0. No rows in, no rows out.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"), (fold(docs[doc_id], 10) == 0).alias("held_out"))
-    buckets = buckets_for(docs)
-    parts = kept(counted(rows.filter("not held_out"), buckets), "counts")
-    N, V, bits = (x or 0 for x in parts.agg(F.sum("tokens"), F.sum("kinds"), F.sum("size")).first())
-    fits = bits <= max_filter * 8
-    least, *top = most_frequent(parts, top_words)
-    model = spark.sparkContext.broadcast({"filter": gathered(parts, buckets) if fits else None, "top": tuple(top), "N": N, "V": V})
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"]
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
-
-    def score(scorer: Scorer, row: pa.Array, doc_id: pa.Array, text: pa.Array, held_out: pa.Array) -> Iterator[pa.RecordBatch]:
-        for span in ranges(pc.utf8_length(text).to_pylist(), CHARS):
-            row_, doc_id_, text_, held_out_ = (c[span] for c in (row, doc_id, text, held_out))
-            n, known, logs, score, rare = scorer.batch(text_.to_pylist())
-            offsets = np.cumsum([0, *(len(k) for k, _ in rare)], dtype=np.int32)
-            items = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in rare]).view(np.int64)), pa.array(np.concatenate([c for _, c in rare]).astype(np.int64))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([row_, doc_id_, held_out_, pa.array(n), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), items)], names)
+    ship(spark)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"), (fold(docs[doc_id], 10) == 0).alias("held_out"))
+    size, count = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first())
+    buckets, sliced = buckets_for(size), size + 3 * count > max_filter
+    chunks = kept(tokenised(rows), "chunks")
+    parts = kept(counted(chunks, buckets, sliced), "counts")
+    slices = parts.filter("chunk IS NULL")
+    N, V = (x or 0 for x in slices.agg(F.sum("tokens"), F.sum("kinds")).first())
+    whole_filter = None if sliced else spark.sparkContext.broadcast(gathered(slices, buckets))
+    total = N + 0.1 * (V + 1)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def score(row: dict[str, pa.Scalar], answers: list[tuple[bytes, bytes, bytes]], probed: Filter | None) -> pa.RecordBatch:
+        c = Chunk(row["words"].as_py(), row["ids"].as_py(), np.asarray(row["n"].values), buckets)
+        k2, which = np.unique(c.pairs, return_inverse=True)
+        if probed:
+            level, pair_level = probed.level(c.words), probed.level(k2)
+        else:
+            level, pair_level = np.empty(len(c.words), np.int64), np.frombuffer(b"".join(a[2] for a in answers), np.uint8)
+            level[c.order] = np.frombuffer(b"".join(a[1] for a in answers), np.uint8)
+        exact = np.empty(len(c.words), np.int64)
+        exact[c.order] = np.concatenate([unplaned(a[0], 8) for a in answers])
+        mean = expected()
+        guess = mean[level]
+        own = (guess + 0.1) / total
+        starts = np.cumsum(c.n) - c.n
+        g = guess[c.ids]
+        before = np.r_[guess[c.words == END][0], g[:-1]]
+        both = np.minimum(mean[pair_level[which]], np.minimum(g, before))
+        logs = np.log10((both + SMOOTHING * own[c.ids]) / (before + SMOOTHING))
+        add = np.add.reduceat
+        columns = c.n, add((exact > 0).astype(np.int64)[c.ids], starts), add(np.log10((exact + 0.1) / total)[c.ids], starts), add(logs, starts)
+        return pa.RecordBatch.from_arrays([row["doc_id"].values, row["held_out"].values, *map(pa.array, columns)], names)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
-        for batch in batches:
-            yield from score(scorer, *batch.columns)
-
-    def run_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, hashes, columns, found = Scorer(model.value), Hashes(), None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            scorer.filter = Levels(keys_of(columns[2].to_pylist(), hashes), np.frombuffer(b"".join(found), np.uint8))
-            yield from score(scorer, *columns)
-
+        probed, row, answers = whole_filter and Filter(*whole_filter.value), None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(1)[i].as_py() >= 0:
-                    found.append(batch.column(2)[i].as_py())
+            kinds = batch.column(1).to_pylist()
+            for i, bucket in enumerate(kinds):
+                if bucket >= 0:
+                    answers.append(tuple(batch.column(j)[i].as_py() for j in (2, 3, 4)))
                     continue
-                if columns:
-                    yield from done()
-                columns, found = [c[i].values for c in batch.columns[3:]], []
-        if columns:
-            yield from done()
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    shape = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<h:long,n:long>>"
-    if fits:
-        half = kept(numbered.mapInArrow(run, shape), "scores")
-    else:
-        chunks = kept(chunked(numbered, buckets), "chunks")
-        found = looked_up(chunks.filter("bucket >= 0").select("chunk", "bucket", "keys"), parts)
-        both = chunks.filter("bucket < 0").withColumnRenamed("keys", "levels").unionByName(found, allowMissingColumns=True)
-        half = kept(both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run_chunks, shape), "scores")
-    others = half.select("row", F.explode("rare").alias("w")).select("row", "w.h", "w.n").join(word_counts(parts).filter(F.col("c") < least), "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    others = others.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("other_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("other_known"))
-    whole_score = F.col("logs") + F.coalesce("other_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(N + 0.1 * (V + 1)))
-    return half.drop("rare").join(others, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("other_known", F.lit(0))).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"), whole_score.alias("base_score"), "score")
+                if row:
+                    yield score(row, answers, probed)
+                row, answers = {n: batch.column(n)[i] for n in ("doc_id", "held_out", "n", "words", "ids")}, []
+        if row:
+            yield score(row, answers, probed)
+
+    texts = chunks.withColumn("bucket", F.lit(-1))
+    answers = parts.filter("chunk IS NOT NULL").select("chunk", "bucket", "counts", "words_at", "pairs_at")
+    both = answers.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    out = both.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
