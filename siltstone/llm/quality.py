@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table, whole
+from .common import kept, ship, table, task, whole
 
 #: Random features, their kernel's width in standard deviations, the ridge, the seed.
 FEATURES, WIDTH, RIDGE, SEED = 512, 6.0, 1e-3, 7
@@ -28,6 +28,8 @@ FEATURES, WIDTH, RIDGE, SEED = 512, 6.0, 1e-3, 7
 MAX_TRAIN, PARTS = 200_000, 16
 #: Bins of raw scores for the calibration; the score from which a document is predicted good.
 BINS, GOOD = 2000, 0.3
+#: Rows scored at a time.
+SCORED = 1000
 
 STATISTICS = (
     "log bytes", "lower", "upper", "digits", "space", "line ends", "full stops", "commas", "bars", "exclamations", "hash dollar percent", "stars and ampersands", "other signs", "beyond ASCII", "entropy",
@@ -68,16 +70,19 @@ def statistics(text: str) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and f, the statistics, of every row."""
+def described(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with f, the statistics of their text, in place of the text."""
+    names, where = [c for c in rows.columns if c != text], rows.columns.index(text)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = np.concatenate([statistics(t.as_py()) for t in batch.column(1)]).astype(np.float32) if batch.num_rows else np.empty(0, np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)), pa.array(flat))], ["doc_id", "f"])
+            flat = np.concatenate([np.empty(0), *(statistics(t.as_py() or "") for t in batch.column(where))]).astype(np.float32)
+            f = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), f], [*names, "f"])
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<float>")
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, rows.drop(text).withColumn("f", F.lit(None).cast("array<float>")).schema)
 
 
 def fold(doc_id: str | Column, of: int) -> Column:
@@ -106,6 +111,11 @@ class Model:
     def score(self, f: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(f), self.xs, self.ys), 0, 1)
 
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """The score of each text, described one at a time; null is empty."""
+        f = np.array([statistics(t.as_py() or "") for t in texts], np.float32).reshape(-1, len(STATISTICS))
+        return np.concatenate([np.empty(0), *(self.score(f[at : at + SCORED].astype(np.float64)) for at in range(0, len(f), SCORED))])
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, len(STATISTICS))
@@ -122,25 +132,37 @@ def monotone(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def fit(features: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Learn from the labelled rows of features (doc_id, f) outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
+    """y, fold and f of the labelled rows of docs outside the held-out fold, about max_train at most.
 
-    Rows whose crc32 of doc_id mod 5 is 0 are held out; those with 1 calibrate, the others fit.
-    Null labels and rows without doc_id are left out. Without labels of both kinds every score is
-    the share of good labels, or one half.
+    Null labels and rows without doc_id are left out; of several labels of a doc_id the largest
+    counts. Labels are picked by hash, so those broadcast are bounded, and only their texts are read
+    whole; of many rows of one doc_id a share is picked by their numbers.
+    """
+    marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y")).withColumn("fold", fold("doc_id", 5)).filter("fold != 0")
+    marks = kept(marks, "marks")
+
+    def picked(df: DataFrame, key: str) -> DataFrame:
+        n = df.count()
+        return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * max_train / n)) if n > max_train else df
+
+    rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text")).join(F.broadcast(picked(marks, "doc_id")), "doc_id").select("text", "y", "fold")
+    return picked(kept(described(rows).withColumn("row", F.monotonically_increasing_id()), "train", (marks,)), "row")
+
+
+def fit(train: DataFrame) -> Model:
+    """Learn from rows of y, fold and f: those of fold 1 calibrate, the others fit.
+
+    Without labels of both kinds every score is the share of good labels, or one half.
     """
-    marks = labels.filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    train = features.join(marks, "doc_id").withColumn("fold", fold("doc_id", 5)).filter("fold != 0").select("doc_id", "f", "y", "fold")
-    train = kept(train, "train")
     n, good = train.agg(F.count(F.lit(1)), F.sum("y")).first()
     flat = Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), np.zeros(FEATURES + 1), np.array([0.0]), np.array([good / n if n else 0.5]))
     if not n or not 0 < good < n:
         return flat
-    if n > max_train:
-        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / n))
     rows = train.coalesce(PARTS)
 
     def sums(make):
+        @task
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
@@ -171,6 +193,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", max_trai
     a, b, m = equations[: d * d].reshape(d, d), equations[d * d : -1], equations[-1]
     model.weights = np.linalg.solve(a + RIDGE * m / d * np.eye(d), b)
 
+    @task
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = np.floor(np.clip(model.raw(matrix(batch.column(0))), -0.5, 1.5) * (BINS / 2)).astype(np.int64) if batch.num_rows else np.empty(0, np.int64)
@@ -191,28 +214,27 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     The score depends on the text alone; null and empty texts have the same. Repeated rows get
     equal scores. An empty table gives no rows; other columns of docs are not read.
     """
-    features = kept(described(docs, text, doc_id), "features")
-    model = docs.sparkSession.sparkContext.broadcast(fit(features, labels, max_train=max_train))
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled(docs, labels, text, doc_id, max_train=max_train)))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.value.score(matrix(batch.column(1))) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.of_texts(batch.column(1)))], ["doc_id", "score"])
 
-    scores = features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
+    rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
+    scores = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= good).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", good: float = GOOD) -> DataFrame:
-    """docs without the rows predicted bad; columns as they were. The texts are scored where they are, so nothing is shuffled but the training rows."""
-    features = kept(described(docs, text, doc_id), "features")
-    model, where = docs.sparkSession.sparkContext.broadcast(fit(features, labels)), docs.columns.index(text)
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", good: float = GOOD, max_train: int = MAX_TRAIN) -> DataFrame:
+    """docs without the rows predicted bad; columns as they were. The texts are scored where they are, so no text is shuffled."""
+    train = labelled(docs, labels, text, doc_id, max_train=max_train)
+    model, where = docs.sparkSession.sparkContext.broadcast(fit(train)), docs.columns.index(text)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                f = np.stack([statistics(t or "") for t in batch.column(where).to_pylist()]).astype(np.float32)
-                yield batch.filter(pa.array(model.value.score(f.astype(np.float64)) >= good))
+            yield batch.filter(pa.array(model.value.of_texts(batch.column(where)) >= good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
