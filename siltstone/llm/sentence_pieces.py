@@ -23,10 +23,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, table, whole
+from .common import ranges, release, ship, table, task, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -133,6 +134,10 @@ class Pieces:
         self.wrong: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.wrong.clear()
+
     def arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the tokenizers library spreads a batch over its threads."""
         return self.verified(texts, None)[0]
@@ -149,8 +154,7 @@ class Pieces:
         head = MARK if self.model.dummy_prefix else ""
         split = [self.unit.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.wrong.clear()
+            self.forget()
         new = list(set(chain.from_iterable(split)).difference(self.known))
         self.known.update((u, array("i", e.ids).tobytes()) for u, e in zip(new, self.units.encode_batch_fast(new, add_special_tokens=False), strict=True))
         if other:
@@ -199,24 +203,28 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, verified: i
     Null texts are empty and have no ids. Columns of docs with those four names are replaced. The
     model file is read on the driver and broadcast (under 5 MB).
     """
+    ship(docs.sparkSession)
     with open(model, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.drop("ids", "n_ids", "round_trip", "parity")
     fields_, where = docs.columns, docs.columns.index(text)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         own, other = pieces(data.value), reference(data.value)
+        own.forget()
         for batch in batches:
-            texts = [t or "" for t in batch.column(where).to_pylist()]
-            for span in ranges([len(t) for t in texts], CHARS):
-                part = texts[span]
+            release()
+            for span in ranges(pc.fill_null(pc.utf8_length(batch.column(where)), 0).to_pylist(), CHARS):
+                part = [t or "" for t in batch.column(where)[span].to_pylist()]
                 ids, agree = own.verified(part, other)
                 at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids)
                 same = [own.decode(i.tolist()) == t for i, t in zip(ids, part, strict=True)]
                 parity = [None if verified > 1 and zlib.crc32(t.encode()) % verified else a for t, a in zip(part, agree, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(span.start, len(part)).columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names)
+        own.forget()  # the worker lives on, for tasks that need the memory otherwise
 
     names = [*fields_, "ids", "n_ids", "round_trip", "parity"]
     shape = docs.select("*", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("long").alias("n_ids"), F.lit(None).cast("boolean").alias("round_trip"), F.lit(None).cast("boolean").alias("parity")).schema
@@ -225,6 +233,7 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, verified: i
 
 def decoded(coded: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
     """coded with text decoded from ids; null ids give an empty text."""
+    ship(coded.sparkSession)
     with open(model, "rb") as f:
         data = coded.sparkSession.sparkContext.broadcast(f.read())
 
