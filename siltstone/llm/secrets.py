@@ -1,12 +1,14 @@
 """Secret scan: fixed patterns, and a randomness test battery for tokens that no pattern names.
 
 A candidate is a run of at least MIN_TOKEN characters of common encodings; its encoding is the
-smallest alphabet that holds it. Three tests must not reject randomness: chi-squared uniformity over
-the alphabet, runs about the alphabet's middle, and serial correlation of neighbours. The evidence
-against ordinary text is a p-value: how rarely text of that length and encoding comes out as uniform
-and as often changes its kind of character. False discoveries are controlled by Benjamini-Hochberg
-within each stratum of encoding and length, over the candidates of the whole corpus: p-values are
-counted in fixed bins, so only a small histogram reaches the driver.
+smallest alphabet that holds it. Every candidate is tested and gets a p-value of being ordinary
+text: the larger of how rarely text of that length and encoding comes out as uniform (chi-squared)
+and changes its kind of character as often (runs), and 1 where the battery rejects randomness
+itself: chi-squared uniformity over the alphabet, runs about the alphabet's middle, serial
+correlation of neighbours. The larger of two p-values is one too, however they depend on each
+other, and so is one raised to 1 for some tokens. False discoveries are controlled by Benjamini-Hochberg within each stratum of
+encoding and length, over all candidates of the whole corpus, those with p-value 1 included:
+p-values are counted in fixed bins, so only a small histogram reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table, whole
+from .common import kept, ship, table, task, whole
 
 KINDS = ("assign", "access", "hex", "random")
 #: The base patterns.
@@ -70,9 +73,12 @@ def chi_squared_tail(x: float, df: int) -> float:
 
 @lru_cache(4096)
 def binomial_tail(n: int, least: int, p: float) -> float:
-    """P(binomial(n, p) >= least)."""
-    if least <= 0:
+    """P(binomial(n, p) >= least); for long tokens Chernoff's bound, which is larger."""
+    if least <= n * p:
         return 1.0
+    if n > 1000:
+        x = least / n
+        return math.exp(-n * (x * math.log(x / p) + ((1 - x) * math.log((1 - x) / (1 - p)) if x < 1 else 0)))
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(least, n + 1)]
     return min(1.0, sum(math.exp(v) for v in logs))
 
@@ -89,80 +95,96 @@ def textual(encoding: int) -> float:
     return float((p * p).sum() * len(alphabet) - 1)
 
 
-def evidence(token: str) -> tuple[int, float] | None:
-    """(stratum, -log10 p of being ordinary text) of a token that the battery does not reject as random, else None."""
-    used = set(token)
-    encoding = next((i for i, a in enumerate(ENCODINGS) if used <= set(a)), None)
-    if encoding is None:
-        return None
-    alphabet, n = ENCODINGS[encoding], len(token)
-    m = len(alphabet)
-    v = np.array([alphabet.index(c) for c in token])
-    x2 = float(((np.bincount(v, minlength=m) - n / m) ** 2).sum() * m / n)
+def looks_random(v: np.ndarray, m: int, x2: float) -> bool:
+    """Whether none of the three tests rejects that characters (places in an alphabet of m) are random; x2: their chi-squared."""
+    n = len(v)
     if chi_squared_tail(x2, m - 1) < ALPHA:
-        return None
+        return False
     side = v * 2 >= m
     runs, a = 1 + int((side[1:] != side[:-1]).sum()), int(side.sum())
     if not 0 < a < n:
-        return None
+        return False
     mean = 1 + 2 * a * (n - a) / n
     if 2 * _normal_tail(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))) < ALPHA:
-        return None
+        return False
     d = v - (m - 1) / 2
-    if 2 * _normal_tail(abs(float((d[1:] * d[:-1]).sum())) / ((m * m - 1) / 12 * math.sqrt(n - 1))) < ALPHA:
+    return 2 * _normal_tail(abs(float((d[1:] * d[:-1]).sum())) / ((m * m - 1) / 12 * math.sqrt(n - 1))) >= ALPHA
+
+
+def evidence(token: str) -> tuple[int, float] | None:
+    """(stratum, -log10 p of being ordinary text) of a token; 0 where the battery rejects that it is random; None for no encoding."""
+    used = set(token)
+    encoding = next((i for i, a in enumerate(ENCODINGS) if used <= set(a)), None)
+    if encoding is None:
         return None
+    alphabet, n = ENCODINGS[encoding], len(token)
+    m, place = len(alphabet), {c: i for i, c in enumerate(alphabet)}
+    stratum = encoding * len(LENGTHS) + sum(n >= at for at in LENGTHS) - 1
+    v = np.array([place[c] for c in token])
+    x2 = float(((np.bincount(v, minlength=m) - n / m) ** 2).sum() * m / n)
+    if not looks_random(v, m, x2):
+        return stratum, 0.0
     far = n * textual(encoding)
     uniform = _normal_tail((m - 1 + far - x2) / math.sqrt(2 * (m - 1 + 2 * far)))
     kind = [0 if c.isdigit() else 1 if c.islower() else 2 for c in token if c.isalnum()]  # text separates its words with the other characters
     changes = binomial_tail(max(len(kind) - 1, 0), sum(a != b for a, b in zip(kind, kind[1:], strict=False)), CHANGES)
-    half = -math.log(max(uniform, 1e-300)) - math.log(max(changes, 1e-300))
-    log_p = -half + math.log1p(half)  # Fisher's combination of two p-values
-    stratum = encoding * len(LENGTHS) + sum(n >= at for at in LENGTHS) - 1
-    return stratum, -log_p / math.log(10)
+    return stratum, max(0.0, -math.log10(max(uniform, changes, 1e-300)))
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[dict]:
-    """Tokens that look random and do not touch a base span: start, end, stratum, bin."""
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> tuple[list[dict], dict[int, int]]:
+    """Tokens that do not touch a base span (taken, sorted) and may be discovered: start, end, stratum, bin; and how many others of each stratum were tested."""
     if max(map(len, text.split()), default=0) < MIN_TOKEN:
-        return []
-    out = []
+        return [], {}
+    out, others, k, reach = [], Counter(), 0, 0
     for t in TOKEN.finditer(text):
         a, z = t.span()
-        if any(a < e and s < z for s, _, e in taken):
+        while k < len(taken) and taken[k][0] < z:
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach > a:
             continue
         if got := evidence(t[0]):
-            out.append({"start": a, "end": z, "stratum": got[0], "bin": int(min(max(got[1], 0), TOP) * BIN)})
-    return out
+            at = int(min(got[1], TOP) * BIN)
+            if at:
+                out.append({"start": a, "end": z, "stratum": got[0], "bin": at})
+            else:
+                others[got[0]] += 1
+    return out, others
 
 
-SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,stratum:int,bin:int>>"
+SCANNED = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, found array<struct<start:long,end:long,stratum:int,bin:int>>, others array<struct<stratum:int,n:long>>"
 
 
 def scanned(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    ship(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     token = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))
+    tested = pa.list_(pa.struct([("stratum", pa.int32()), ("n", pa.int64())]))
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for t in batch.column(1):
                 t = t.as_py()
                 spans = base_spans(t)
                 kinds = [k for _, k, _ in spans]
-                values = kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(spans).encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], candidates(t, spans)
+                found, others = candidates(t, spans)
+                values = kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(written(spans).encode()).hexdigest(), [{"start": a, "kind": k, "end": z} for a, k, z in spans], found, [{"stratum": s, "n": n} for s, n in others.items()]
                 for c, x in zip(cols, values, strict=True):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, token]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, token, tested]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found", "others"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCANNED}")
 
 
 def thresholds(scan: DataFrame, rate: float = RATE) -> list[int]:
-    """The least bin discovered in each stratum, by Benjamini-Hochberg over all its candidates; beyond the last bin where none is."""
-    tokens = scan.select(F.explode("found").alias("t"))
-    counts = tokens.groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    """The least bin discovered in each stratum, by Benjamini-Hochberg over all its candidates; beyond the last bin where none is. A bin counts with its largest p-value."""
+    tokens = scan.select(F.explode("found").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+    others = scan.select(F.explode("others").alias("t")).groupBy("t.stratum").agg(F.sum("t.n").alias("n")).select("stratum", F.lit(0).alias("bin"), "n")
+    counts = tokens.unionByName(others).collect()
     least = []
     for s in range(len(ENCODINGS) * len(LENGTHS)):
         n = np.zeros(TOP * BIN + 1)
@@ -171,7 +193,7 @@ def thresholds(scan: DataFrame, rate: float = RATE) -> list[int]:
                 n[r["bin"]] = r["n"]
         above = np.cumsum(n[::-1])[::-1]
         p = 10.0 ** -(np.arange(len(n)) / BIN)
-        ok = np.flatnonzero((above > 0) & (p * n.sum() <= rate * above))
+        ok = np.flatnonzero((above > 0) & (p < 1) & (p * n.sum() <= rate * above))
         least.append(int(ok[0]) if len(ok) else len(n))
     return least
 
