@@ -11,15 +11,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranges, table, whole
+from .common import kept, ranges, ship, table, task, whole
 
 #: Samples a frame, samples a batch, seek points a table holds at most, bytes a payload is a multiple of.
 FRAME, BATCH, MOST_POINTS, UNIT = 1024, 1 << 21, 900_000, 64
@@ -523,43 +524,51 @@ def payload(data: bytes) -> bytes:
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column of FLAC streams of the padded UTF-8 text; null and empty texts give one of UNIT zero bytes. A column of that name is replaced."""
+    ship(docs.sparkSession)
     docs = docs.drop(media)
     names, where = [*docs.columns, media], docs.columns.index(text)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [payload((t or "").encode()) for t in batch.column(where).to_pylist()]
-            for part in ranges([len(d) for d in data], BATCH):
-                yield pa.RecordBatch.from_arrays([*batch.slice(part.start, part.stop - part.start).columns, pa.array(encode_batch(data[part]), pa.binary())], names)
+            column = pc.fill_null(batch.column(where), "")
+            for part in ranges(pc.binary_length(column).to_pylist(), BATCH):
+                data = [payload(t.as_buffer().to_pybytes()) for t in column[part]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(part.start, len(data)).columns, pa.array(encode_batch(data), pa.binary())], names)
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("binary").alias(media)).schema)
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 4096) -> DataFrame:
-    """key, block, sample_offset, n_samples, pcm: the decoded samples of each stream in blocks that can be sought by offset.
+def pcm_blocks(media: DataFrame, key: str | Sequence[str] = "doc_id", column: str = "media", samples: int = 4096) -> DataFrame:
+    """The key columns, block, sample_offset, n_samples, pcm: the decoded samples of each stream in blocks that can be sought by offset.
 
-    pcm is little-endian, signed, in as many whole bytes as a sample needs, channels interleaved. Null streams give no rows.
+    pcm is little-endian, signed, in as many whole bytes as a sample needs, channels interleaved. The
+    blocks of a stream follow each other. All checksums are verified. Null streams give no rows.
     """
-    kind = media.schema[key].dataType
-    rows = media.select(F.col(key), F.col(column).alias("__media")).filter(F.col("__media").isNotNull())
+    ship(media.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = media.select(*keys, F.col(column).alias("pcm")).filter(F.col("pcm").isNotNull())
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column(1).to_pylist()
-            for part in ranges([len(d) for d in data], BATCH):
+            streams = batch.column(len(keys))
+            for part in ranges(pc.binary_length(streams).to_pylist(), BATCH):
                 got: list[list] = [[], [], [], [], []]
-                for i, (stream, x) in enumerate(zip(data[part], decode_batch(data[part]), strict=True), part.start):
+                data = [s.as_buffer().to_pybytes() for s in streams[part]]
+                for i, (stream, x) in enumerate(zip(data, decode_batch(data), strict=True), part.start):
                     size = (stream_info(stream)["bits"] + 7) // 8
                     for b, at in enumerate(range(0, len(x), samples)):
                         piece = np.ascontiguousarray(x[at : at + samples]).astype("<i4")
-                        got[0].append(i)
-                        got[1].append(b)
-                        got[2].append(at)
-                        got[3].append(len(piece))
-                        got[4].append(piece.view(np.uint8).reshape(-1, 4)[:, :size].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(got[0], pa.int64())), *(pa.array(g, pa.int64()) for g in got[1:4]), pa.array(got[4], pa.binary())], [key, "block", "sample_offset", "n_samples", "pcm"])
+                        values = i, b, at, len(piece), piece.view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
+                        for column_, value in zip(got, values, strict=True):
+                            column_.append(value)
+                of = pa.array(got[0], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[: len(keys)]), *(pa.array(g, pa.int64()) for g in got[1:4]), pa.array(got[4], pa.binary())], names)
 
-    return rows.mapInArrow(run, f"`{key}` {kind.simpleString()}, block long, sample_offset long, n_samples long, pcm binary")
+    names = [*keys, "block", "sample_offset", "n_samples", "pcm"]
+    nothing = F.lit(None)
+    return rows.mapInArrow(run, rows.select(*keys, *(nothing.cast("long").alias(n) for n in names[len(keys) : -1]), nothing.cast("binary").alias("pcm")).schema)
 
 
 def feature(x: np.ndarray) -> str:
@@ -570,29 +579,57 @@ def feature(x: np.ndarray) -> str:
     return f"n={len(x)};mean={y.mean():.4f};rms={np.sqrt((y * y).mean()):.4f};zcr={float((c[1:] * c[:-1] < 0).mean()) if len(x) > 1 else 0:.4f};step={step}"
 
 
-DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: What is known of a stored stream, and what its blocks give.
+STORED, DIGESTS = ["doc_id", "n_bytes", "media_bytes", "media_sha256"], ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "blocks"]
+
+
+def digested(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key columns and DIGESTS of every stream of 8-bit samples, from its blocks as pcm_blocks gives them, one stream at a time."""
+
+    @task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = bytearray(), None  # the stream's samples so far, and its first row
+
+        def done() -> tuple:
+            x = np.frombuffer(held, np.int8)
+            back = (x.view(np.uint8) ^ 128).tobytes()
+            return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), feature(x.astype(np.int32)), count
+
+        count = 0
+        for batch in batches:
+            rows, out = [], []
+            for i, (block, at, pcm) in enumerate(zip(*(batch.column(n) for n in ("block", "sample_offset", "pcm")), strict=True)):
+                if block.as_py() == 0:
+                    if first is not None:
+                        rows.append(first)
+                        out.append(done())
+                    held, first, count = bytearray(), batch.select(list(key)).slice(i, 1), 0
+                if at.as_py() != len(held):
+                    raise BadStream("a block is missing")
+                held += pcm.as_buffer()
+                count += 1
+            if out:
+                yield batch_of(rows, out)
+        if first is not None:
+            yield batch_of([first], [done()])
+
+    def batch_of(rows: list[pa.RecordBatch], out: list[tuple]) -> pa.RecordBatch:
+        keys = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(c) for c in zip(*out, strict=True))], [*key, *DIGESTS])
+
+    shape = blocks.select(*key, *(F.lit(None).cast(t).alias(n) for n, t in zip(DIGESTS, ("long", "string", "long", "string", "long"), strict=True))).schema
+    return blocks.mapInArrow(run, shape)
 
 
 def stored_and_read(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and DIGESTS: every whole text stored as a FLAC stream and read back from the stored bytes.
+    """STORED and DIGESTS of every whole text: stored as a FLAC stream in a table of media, read back from there as PCM blocks.
 
     Null texts are empty; equal texts give equal values; repeated rows stay; no rows in, no rows out.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), whole(docs[text]).alias("text"))
-    names = ["doc_id", *(c.split()[0] for c in DIGESTS.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-            for part in ranges([len(d) for d in data], BATCH):
-                streams = encode_batch([payload(d) for d in data[part]])
-                got = []
-                for d, stream, x in zip(data[part], streams, decode_batch(streams), strict=True):
-                    back = (x + 128).astype(np.uint8).tobytes()
-                    got.append((len(d), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(x)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), *(pa.array(c) for c in zip(*got, strict=True))], names)
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {DIGESTS}")
+    media = kept(with_media(rows.withColumn("n_bytes", F.octet_length("text").cast("long"))).drop("text"), "media")
+    media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return digested(pcm_blocks(media, STORED), STORED)
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
