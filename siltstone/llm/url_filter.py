@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, fresh, ship, table
 
-#: About 300 bytes a rule in the trie: the broadcast stays under 150 MB.
-MAX_RULES = 500_000
+#: About 1.1 KB a rule in a worker's trie: it stays under 60 MB.
+MAX_RULES = 50_000
 
 Rule = tuple[str, str, str]  # host, path, allow or block
 
@@ -73,8 +73,12 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", def
     max_rules it is joined, not broadcast.
     """
     spark = pages.sparkSession
+    ship(spark)
     pages = pages.withColumns(url_parts(pages[url]))
-    if isinstance(rules, DataFrame):
+    if not isinstance(rules, DataFrame):
+        if len(rules) > max_rules:
+            return judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), default)
+    else:
         if rules.count() > max_rules:
             return judge_by_join(pages, rules, default)
         rules = [tuple(r) for r in rules.select("host", "path", "verdict").collect()]
@@ -87,19 +91,26 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", def
             got = [at.match(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [g and g[3] for g in got], "verdict": [g[4] if g else default for g in got]}, dtype=object)
 
-    return pages.withColumn("__found", found("host", "path")).withColumns({"rule": F.col("__found.rule"), "verdict": F.col("__found.verdict")}).drop("__found")
+    name = fresh("__found", *pages.columns)
+    return pages.withColumn(name, found("host", "path")).select(*pages.drop("rule", "verdict").columns, F.col(name)["rule"].alias("rule"), F.col(name)["verdict"].alias("verdict"))
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts without a broadcast: every (suffix of the host, path) once, joined to the rules by host."""
-    r = rules.select(F.col("host").alias("__rhost"), F.col("path").alias("__rpath"), F.col("verdict").alias("__v"))
+    """The same verdicts without a broadcast: every (suffix of the host, beginning of the path) once, joined to the rules by both, so a host with many rules and urls meets no more than its own.
+
+    Beginnings are those with the length of some rule's path; their lengths are few and collected, up to the longest path of a rule.
+    """
+    r = rules.groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict"))["verdict"].alias("v")).select(F.col("host").alias("rhost"), F.col("path").alias("rpath"), "v")
+    long = F.array(*(F.lit(x[0]) for x in r.select(F.length("rpath")).distinct().collect()))
     labels = F.split("host", r"\.")
     seen = pages.select("host", "path").distinct()
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("__rhost")
-    fits = seen.select("host", "path", suffix).join(r, "__rhost").filter(F.startswith("path", F.col("__rpath")))
-    order = F.struct((F.length("__rhost") + F.length("__rpath")).alias("l"), F.length("__rhost").alias("h"), (F.col("__v") == "block").alias("b"), F.concat("__rhost", "__rpath").alias("rule"), F.col("__v").alias("verdict"))
-    best = fits.groupBy("host", "path").agg(F.max(order).alias("__best"))
-    return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rhost")
+    start = F.explode(F.transform(F.filter(long, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("rpath")
+    fits = seen.select("host", "path", suffix).join(r.select("rhost").distinct(), "rhost", "left_semi").select("*", start).join(r, ["rhost", "rpath"])
+    order = F.struct((F.length("rhost") + F.length("rpath")).alias("l"), F.length("rhost").alias("h"), (F.col("v") == "block").alias("b"), F.concat("rhost", "rpath").alias("rule"), F.col("v").alias("verdict"))
+    name = fresh("__best", *pages.columns)
+    best = fits.groupBy("host", "path").agg(F.max(order).alias(name))
+    return pages.join(best, ["host", "path"], "left").select(*pages.drop("rule", "verdict").columns, F.col(name)["rule"].alias("rule"), F.coalesce(F.col(name)["verdict"], F.lit(default)).alias("verdict"))
 
 
 #: Fixed values of the query.
