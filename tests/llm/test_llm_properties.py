@@ -62,5 +62,5 @@ def test_close_fingerprints_share_an_anchor(x, flips):
 @given(st.dictionaries(st.integers(0, 2**64 - 1), st.integers(1, 10**6), min_size=1, max_size=60))
 def test_filter_never_loses_a_count(counts):
     keys, n = np.array(list(counts), np.uint64), np.array(list(counts.values()))
-    bits, size = language_model.slice_of(keys, n, 1 << 24)
+    bits, size = language_model.slice_of(keys, n)
     assert (language_model.Filter(np.frombuffer(bits, np.uint8), np.array([0]), np.array([size])).level(keys) >= language_model.levels(n)).all()

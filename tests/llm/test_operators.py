@@ -1,18 +1,21 @@
 """Every operator against a brute-force version or its SQL, and on odd rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, flac, language_model, mixing, quality, secrets, sentence_pieces, simhash, token_counts, url_filter
-from siltstone.llm.common import kept
+from siltstone.llm.common import kept, marked
 from siltstone.llm.components import components
 from siltstone.llm.queries import ORACLE, QUERIES
 
@@ -203,7 +206,14 @@ def test_flac_query(spark, small, duck):
         data = flac.payload((t or "").encode())
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
-        assert r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature
+        x = [b - 128 for b in data]
+        mean = sum(x) / len(x)
+        c = [v - mean for v in x]
+        turns = sum(a * b < 0 for a, b in zip(c, c[1:])) / (len(x) - 1)
+        assert r.feature == f"n={len(x)};mean={mean:.4f};rms={math.sqrt(sum(v * v for v in x) / len(x)):.4f};zcr={turns:.4f};step={max(abs(a - b) for a, b in zip(x, x[1:]))}"
+        assert r.blocks == -(-len(data) // 4096)
+    media = {r.doc_id: r.media for r in flac.with_media(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert {i: (len(m), hashlib.sha256(m).hexdigest()) for i, m in media.items()} == {i: (r.media_bytes, r.media_sha256) for i, r in got.items()}
 
 
 def test_flac_odd(odd, empty):
@@ -259,6 +269,60 @@ def test_random_tokens_found_and_text_left(spark):
     assert not any("random" in got[100 + i] for i in range(len(plain) * 20))
 
 
+def ordinary(rng, vocabulary):
+    """A token of 20 characters or more such as text and its markup hold: words run together, names in code, paths, dates."""
+    w = [rng.choice(vocabulary) for _ in range(12)]
+    kind = rng.randrange(6)
+    t = ""
+    for x in w:
+        t += {0: x, 1: x.capitalize(), 2: "_" + x, 3: "/" + x, 4: "-" + x, 5: x + (str(rng.randrange(1990, 2030)) if rng.random() < 0.1 else "")}[kind]
+        if len(t) >= 20 + rng.randrange(30):
+            break
+    return t.strip("_/-").ljust(20, "s")
+
+
+@pytest.fixture(scope="module")
+def vocabulary(duck):
+    return sorted({w for _, t in texts(duck) for w in re.findall("[a-z]{2,}", t or "")})
+
+
+def test_p_values_of_ordinary_text_are_valid(vocabulary):
+    rng = random.Random(2)
+    found = [secrets.evidence(ordinary(rng, vocabulary)) for _ in range(20_000)]
+    for least in (1, 2, 3):
+        assert sum(x is not None and x[1] >= least for x in found) <= 10**-least * len(found)
+
+
+def test_false_discoveries_stay_below_the_rate(spark, vocabulary):
+    """Keys among a hundred times as many ordinary tokens: most long keys are found, and of what is found hardly anything is ordinary."""
+    rng = random.Random(3)
+    false = true = 0
+    for seed in range(3):
+        keys = [planted(rng, n) for n in (24, 32, 40, 64) for _ in range(15)]
+        rows = [(i, f"before {k} after") for i, k in enumerate(keys)] + [(1000 + i, f"a {ordinary(rng, vocabulary)} b") for i in range(6000)]
+        got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        true += sum(r.n_random for r in got if 15 <= r.doc_id < 1000)
+        false += sum(r.n_random for r in got if r.doc_id >= 1000)
+    assert true >= 0.9 * 3 * 45 and false <= 0.02 * true
+
+
+def test_long_texts_with_many_spans_take_linear_time():
+    rng = random.Random(4)
+    text = " ".join(rng.choice((f"{rng.getrandbits(128):032x}", planted(rng, 24), "word", f"token={rng.getrandbits(64):x}")) for _ in range(400_000))
+    assert len(text) > 8 * 10**6
+    began = time.process_time()
+    spans = secrets.base_spans(text)
+    assert len(spans) > 10**5 and time.process_time() - began < 10
+    few = text[:400_000]
+    taken = [s for s in spans if s[2] <= 400_000]
+    began = time.process_time()
+    found, others = secrets.candidates(few, taken)
+    assert time.process_time() - began < 10
+    tested = [t.span() for t in secrets.TOKEN.finditer(few) if not any(t.start() < e and s < t.end() for s, _, e in taken)]
+    assert len(found) + sum(others.values()) == sum(secrets.evidence(few[a:z]) is not None for a, z in tested) and {(f["start"], f["end"]) for f in found} <= set(tested)
+    assert secrets.evidence("aB3" * 10**6)[1] == 0 and time.process_time() - began < 30
+
+
 def test_battery_p_values():
     rng = np.random.default_rng(0)
     x = rng.chisquare(15, 200_000)
@@ -283,11 +347,10 @@ def brute_lm(rows):
     return {i: (len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
 
 
-@pytest.mark.parametrize("top", [10, 500_000])
-def test_language_model(spark, small, duck, top):
+def test_language_model(spark, small, duck):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = brute_lm(texts(duck))
-    got = language_model.scored(docs, top_words=top).collect()
+    got = language_model.scored(docs).collect()
     assert len(got) == len(want)
     for r in got:
         n, known, total, base = want[r.doc_id]
@@ -298,10 +361,80 @@ def test_language_model(spark, small, duck, top):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def slow_scores(rows, buckets):
+    """The scores in plain Python: sets of bits for the filter, integers for the hashes."""
+    M, end = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    shift = 64 - (buckets - 1).bit_length()
+
+    def mix(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & M
+        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & M
+        return x ^ x >> 33
+
+    def pair(a, b):
+        rest = max(0, 16 - (buckets - 1).bit_length())
+        return mix((a * 0x9E3779B97F4A7C15 + (b ^ b >> 31)) & M) >> rest << rest
+
+    def level(c):
+        n = 0
+        while 1.5**n <= c + 1e-9:
+            n += 1
+        return n
+
+    def bits(key, j, size):
+        x = mix((key + 0xD6E8FEB86659FD93 * j) & M)
+        return [((x & 0xFFFFFFFF) + p * (x >> 32 | 1)) % size for p in range(4)]
+
+    hashed = {i: [*(xxhash.xxh3_64_intdigest(w) for w in words(t)), end] for i, t in rows}
+    grams = {i: [*zip(h, map(pair, [end, *h], h))] for i, h in hashed.items()}
+    train = [g for i, gs in grams.items() if zlib.crc32(str(i).encode()) % 10 for g in gs]
+    one, two = collections.Counter(w for w, _ in train), collections.Counter(p for _, p in train)
+    slices = collections.defaultdict(list)
+    for c in (one, two):
+        for k, n in c.items():
+            slices[k >> shift] += [(k, j) for j in range(1, level(n) + 1)]
+    size = {b: max(64, len(e) * 8 // 64 * 64) for b, e in slices.items()}
+    on = {(b, x) for b, e in slices.items() for k, j in e for x in bits(k, j, size[b])}
+
+    @functools.cache
+    def guess(key):
+        b, j = key >> shift, 0
+        while b in size and all((b, x) in on for x in bits(key, j + 1, size[b])):
+            j += 1
+        lo, hi = math.ceil(1.5 ** (j - 1) - 1e-9), math.ceil(1.5**j - 1e-9) - 1
+        return (lo + max(hi, lo)) / 2 if j else 0.0
+
+    total, out = len(train) + 0.1 * (len(one) + 1), {}
+    for i, gs in grams.items():
+        out[i], before = 0.0, guess(end)
+        for w, p in gs:
+            g = guess(w)
+            out[i] += math.log10((min(guess(p), g, before) + language_model.SMOOTHING * (g + 0.1) / total) / (before + language_model.SMOOTHING))
+            before = g
+    return out
+
+
+def test_language_model_scores_equal_brute(spark, small, duck):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = texts(duck)
+    want = slow_scores(rows, language_model.buckets_for(sum(len((t or "").encode()) for _, t in rows)))
+    for most in (1 << 26, 0):
+        assert {r.doc_id: r.score for r in language_model.scored(docs, max_filter=most).collect()} == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_language_model_does_not_depend_on_the_layout(spark, small, most):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, *others = ({r.doc_id: tuple(r) for r in language_model.scored(docs.repartition(n), max_filter=most).collect()} for n in (1, 29, 100))
+    for other in others:
+        assert other.keys() == one.keys()
+        assert all(other[i] == pytest.approx(one[i], rel=1e-12) for i in one)
+
+
 def test_filter_levels():
     rng = np.random.default_rng(2)
     keys, counts = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.minimum(rng.zipf(1.5, 5000), 10**6)
-    bits, size = language_model.slice_of(keys, counts, 1 << 30)
+    bits, size = language_model.slice_of(keys, counts)
     f = language_model.Filter(np.frombuffer(bits, np.uint8), np.array([0]), np.array([size]))
     got, want = f.level(keys), language_model.levels(counts)
     assert (got >= want).all() and (got == want).mean() > 0.9
@@ -323,7 +456,7 @@ def test_language_model_odd(spark, odd, empty):
 def test_language_model_beyond_the_broadcast(spark, small, odd):
     """A filter larger than the bound scores as the broadcast one does."""
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
-        want, got = (sorted(language_model.scored(docs, max_filter=m).collect(), key=str) for m in (1 << 26, 64))
+        want, got = (sorted(language_model.scored(docs, max_filter=m).collect(), key=str) for m in (1 << 26, 0))
         assert len(got) == len(want) > 0
         for a, b in zip(want, got, strict=True):
             assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score, rel=1e-12) and a.score == pytest.approx(b.score, rel=1e-12)
@@ -455,6 +588,81 @@ def test_flood_equals_brute():
     assert root.tolist() == [want[i] for i in range(300)]
 
 
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_neighbours_equal_brute(monkeypatch, most):
+    monkeypatch.setattr(simhash, "POINTS", 5000)
+    x = np.unique(np.random.default_rng(most).integers(0, 1 << 12, 700, dtype=np.uint64) << np.uint64(20 * most))
+    want = brute_components(range(len(x)), lambda a, b: int(x[a] ^ x[b]).bit_count() <= most)
+    assert simhash.neighbours(x, most).tolist() == [want[i] for i in range(len(x))]
+
+
+def test_a_million_fingerprints_at_one_anchor():
+    rng = np.random.default_rng(3)
+    fp = np.unique((rng.integers(0, 1 << 18, 1_100_000, dtype=np.uint64) | np.uint64(0xABCDE << 40)) ^ (np.uint64(1) << rng.integers(18, 64, 1_100_000).astype(np.uint64)))
+    assert len(fp) > 10**6
+    root = simhash.connected(np.zeros(len(fp), np.int64), fp[:, None], 2)
+    assert (root == 0).all()
+
+
+def test_crowded_anchors_are_split(spark):
+    """The same components, and no key with more than a small part of the crowd."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(np.uint64(0xABCDE << 40) | rng.integers(0, 1 << 18, 400, dtype=np.uint64) ^ (rng.integers(0, 2, 400, dtype=np.uint64) << np.uint64(50))).tolist()
+    nodes = spark.createDataFrame([(x, bytearray(x.to_bytes(8, "big"))) for x in fps], "node long, sig binary")
+    crowds = simhash.crowded(nodes, 2, 100)
+    row, key = simhash.split_anchors(np.array(fps, np.uint64), 2, crowds)
+    assert len(crowds) and np.unique(key[(key >> 6 & 3) > 0], return_counts=True)[1].max() < 40
+    want = brute_components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
+    assert len(set(want.values())) < len(fps)
+    for crowd in (None, 100):
+        found = {r.node: r.root for r in components(simhash.fingerprint_links(nodes, 2, crowd), "a", "b").collect()}
+        assert {n: found.get(n, n) for n in fps} == want
+
+
+@pytest.mark.parametrize("held", [10, 10**6])
+def test_spanning_pairs_connect_what_all_pairs_do(monkeypatch, held):
+    monkeypatch.setattr(simhash, "PAIRS", held)
+    rng = np.random.default_rng(9)
+    keys, label, check = rng.integers(0, 5, 300), rng.integers(0, 60, 300), rng.integers(0, 1 << 16, (300, 2), dtype=np.uint64)
+    by = np.lexsort((label, keys))
+    keys, label, check = keys[by], label[by], check[by]
+
+    def near(i, j):
+        return keys[i] == keys[j] and (label[i] == label[j] or sum(int(x).bit_count() for x in check[i] ^ check[j]) <= 10)
+
+    i, j = simhash.spanned(keys, label, check, 10)
+    assert all(near(*p) and label[p[0]] != label[p[1]] for p in zip(i, j, strict=True))
+    same = {(a, b) for a in range(300) for b in range(300) if keys[a] == keys[b] and label[a] == label[b]} | set(zip(i.tolist(), j.tolist(), strict=True))
+    assert brute_components(range(300), near) == brute_components(range(300), lambda a, b: (a, b) in same or (b, a) in same)
+    labels = len({(k, x) for k, x in zip(keys.tolist(), label.tolist(), strict=True)})
+    assert len(i) == labels - len(set(brute_components(range(300), near).values()))
+
+
+def test_sketches_leave_out_what_is_clearly_less_similar():
+    rng = np.random.default_rng(12)
+    for size in (3, 30, 200, 2000):
+        whole = rng.integers(0, 1 << 63, (400, size), dtype=np.uint64) * np.uint64(2)
+        for share, least, most in ((0.9, 1, 1), (0.82, 0.98, 1), (0.3, 0, {3: 1, 30: 1}.get(size, 0.02))):
+            cut = round(size * (1 - share) / 2)
+            x, y = whole[:, : size - cut], whole[:, cut:]
+            similarity = (size - 2 * cut) / size
+            if similarity < 0.8 and least:
+                continue
+            sketches = [np.stack([np.frombuffer(simhash.sketch(np.unique(h)), np.uint8) for h in z]) for z in (x, y)]
+            assert least <= simhash.may_be_similar(*sketches).mean() <= most
+    assert simhash.sketch(np.empty(0, np.uint64)) == bytes(256)
+
+
+def test_bitmaps_mark_rows(spark):
+    rows = spark.range(0, 200_000, 1, 5).withColumn("row", F.monotonically_increasing_id())
+    numbers = rows.filter("id % 3 = 0").selectExpr("row", "id % 2 AS odd")
+    found, (third, odd) = marked(rows, "row", numbers, "row", F.lit(True), F.col("odd") == 1)
+    got = found.select("id", third.alias("third"), odd.alias("odd")).agg(F.count_if(F.col("third") == (F.col("id") % 3 == 0)), F.count_if(F.col("odd") == (F.col("id") % 6 == 3))).first()
+    assert tuple(got) == (200_000, 200_000)
+    none, (never,) = marked(rows, "row", numbers.limit(0), "row", F.lit(True))
+    assert none.filter(never).count() == 0 and none.count() == 200_000
+
+
 def variant(text, rng, share):
     w = text.split()
     for i in range(len(w)):
@@ -530,6 +738,10 @@ def test_urls(spark):
         again = [r.asDict() for r in url_filter.judge(pages, rules, max_rules=most).select(*url_filter.judge(pages, url_filter.RULES).columns).orderBy("page_id").collect()]
         assert again == listed
     assert url_filter.judge(pages.limit(0), url_filter.RULES).count() == 0
+    many = [(f"h{i % 50}.{t}", f"/{'abc'[i % 3]}{i % 7}", "block" if i % 2 else "allow") for i in range(300) for t in ("com", "org")]
+    asked = spark.createDataFrame([(i, f"http://x.h{i % 60}.{'com' if i % 2 else 'org'}/{'abc'[i % 3]}{i % 11}/y") for i in range(500)], "page_id long, url string")
+    one, two = (sorted(map(tuple, url_filter.judge(asked, many, max_rules=m).collect())) for m in (10**6, 10))
+    assert one == two and len({r[-1] for r in one}) == 2
 
 
 # ---------------------------------------------------------------- op8
@@ -553,15 +765,85 @@ def test_quality_held_out(spark):
     assert area(y, p) > 0.97 and (p[y == 1] >= 0.3).mean() > 0.97
 
 
-def test_partial_sums_are_the_whole(spark):
+def slow_statistics(text):
+    """Each statistic from its meaning, character by character and word by word."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * 32
+    n, char = len(data), collections.Counter(data)
+    share = lambda test: sum(c for b, c in char.items() if test(b)) / n
+    among = lambda chars: share(lambda b: chr(b) in chars and b < 128)
+    named = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;|!?#$%*&"
+    out = [math.log(1 + n), among("abcdefghijklmnopqrstuvwxyz"), among("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), among("0123456789"), among(" \t"), among("\n\r"), among("."), among(",;"), among("|"), among("!?"), among("#$%"), among("*&")]
+    out += [share(lambda b: 32 < b < 127 and chr(b) not in named), share(lambda b: b > 127), -sum(c / n * math.log2(c / n) for c in char.values())]
+    ws, lines = re.findall(rb"[^\x20\x09-\x0D]+", data), [x for x in re.split(rb"\n", data) if re.search(rb"[^\x20\x09-\x0D]", x)]
+    if not ws:
+        return [*out, *[0.0] * 13, len(zlib.compress(data, 1)) / n, 0.0, 0.0, 0.0]
+    m, count, size = len(ws), collections.Counter(ws), [len(w) for w in ws]
+    deviation = lambda x: math.sqrt(sum(v * v for v in x) / len(x) - (sum(x) / len(x)) ** 2)
+    top, wide, signs = sorted(count.values())[::-1], [len(x) for x in lines], b"!?#$%*&|@~^="
+    out += [math.log(1 + m), sum(size) / m, deviation(size), len(count) / m, top[0] / m, sum(top[:10]) / m]
+    out += [len(lines) / m, len(set(lines)) / len(lines), deviation(wide) / (1 + sum(wide) / len(wide)), sum(x.rstrip()[-1] in signs for x in lines) / len(lines)]
+    out += [sum(w[-1] in signs for w in ws) / m, sum(w.istitle() for w in ws) / m, sum(w.isupper() for w in ws) / m, len(zlib.compress(data, 1)) / n]
+    pairs = [(a, b) for a, b in zip(ws, ws[1:])]
+    return [*out, sum(x > 14 for x in size) / m, sum(x == 1 for x in size) / m, 1 - len(set(pairs)) / len(pairs) if pairs else 0.0]
+
+
+def slow_quality(rows, marks):
+    """Scores in one piece: standardised statistics, cosines, ridge by least squares, and the least-squares increasing fit by its min-max formula."""
+    crc = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    f = {k: np.array(slow_statistics(t), np.float32).astype(float) for k, (_, t) in enumerate(rows)}
+    train = [(k, marks[i]) for k, (i, _) in enumerate(rows) if i in marks and crc(i)]
+    x, y = np.array([f[k] for k, _ in train]), np.array([v for _, v in train], float)
+    fit = np.array([crc(rows[k][0]) != 1 for k, _ in train])
+    mean, spread = x.mean(0), np.sqrt((x * x).mean(0) - x.mean(0) ** 2) + 1e-6
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.standard_normal((32, quality.FEATURES)) / quality.WIDTH, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    features = lambda v: np.c_[np.cos(np.clip((v - mean) / spread, -5, 5) @ w + b) * math.sqrt(2 / quality.FEATURES), np.ones(len(v))]
+    z, d = features(x[fit]), quality.FEATURES + 1
+    ridge = math.sqrt(quality.RIDGE * fit.sum() / d)
+    weights = np.linalg.lstsq(np.r_[z, ridge * np.eye(d)], np.r_[y[fit], np.zeros(d)], rcond=None)[0]
+    bins = collections.defaultdict(list)
+    for v, good in zip(features(x[~fit]) @ weights, y[~fit]):
+        bins[math.floor(min(max(v, -0.5), 1.5) * 1000)].append(good)
+    at = sorted(bins)
+    n, g = np.array([len(bins[k]) for k in at]), np.array([sum(bins[k]) for k in at])
+    level = [max(min(g[a : z + 1].sum() / n[a : z + 1].sum() for z in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    blocks = collections.defaultdict(list)
+    for k, v in enumerate(level):
+        blocks[round(v, 12)].append(k)
+    xs = [sum((at[k] + 0.5) / 1000 * n[k] for k in ks) / n[ks].sum() for ks in blocks.values()]
+    return [float(np.interp((features(f[k][None]) @ weights)[0], xs, list(blocks))) for k in range(len(rows))]
+
+
+def test_quality_equals_brute(spark, odd, marks):
     d = "/root/testdata/sf0.01"
-    features = kept(quality.described(spark.read.parquet(f"{d}/documents.parquet")), "features")
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    model = quality.fit(features, labels)
-    rows = features.join(labels, "doc_id").withColumn("fold", quality.fold("doc_id", 5)).filter("fold > 1").collect()
-    z, y = model.features(np.array([r.f for r in rows], float)), np.array([r.quality for r in rows], float)
-    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) / z.shape[1] * np.eye(z.shape[1]), z.T @ y)
-    assert np.allclose(z @ model.weights, z @ want, atol=1e-6) and (np.diff(model.ys) > 0).all()
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    for docs, labels in ((docs, labels), (odd.select("doc_id", "text"), marks)):
+        rows = [tuple(r) for r in docs.collect()]
+        good = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id is not None}
+        want = collections.defaultdict(list)
+        for (i, _), v in zip(rows, slow_quality(rows, good)):
+            want[str(i)].append(v)
+        got = collections.defaultdict(list)
+        for r in quality.judged(docs, labels).collect():
+            got[str(r.doc_id)].append(r.score)
+        assert got.keys() == want.keys()
+        assert max(abs(a - b) for i in want for a, b in zip(sorted(got[i]), sorted(want[i]), strict=True)) < 1e-3
+    stay = {r.doc_id for r in quality.keep_good(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    again = quality.judged(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).filter("predicted = 1").collect()
+    assert stay == {r.doc_id for r in again}
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    n = quality.labelled(docs, labels).count()
+    assert n == docs.join(labels.filter("quality IS NOT NULL"), "doc_id").filter(quality.fold("doc_id", 5) != 0).count()
+    assert 0.5 * 100 < quality.labelled(docs, labels, max_train=100).count() < 1.6 * 100
+    hot = docs.selectExpr("IF(doc_id % 3 = 0, (SELECT min(doc_id) FROM VALUES (1), (2) AS t(doc_id)), doc_id) AS doc_id", "text")
+    assert 0.5 * 100 < quality.labelled(hot, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), max_train=100).count() < 1.6 * 100
+    assert quality.judged(docs, labels, max_train=100).count() == docs.count()
 
 
 def test_monotone():
@@ -604,6 +886,18 @@ def test_token_counts_odd(odd, empty):
     assert token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(empty))).count() == 0
 
 
+def test_token_answers_for_many_limits_and_none(spark):
+    rng = random.Random(1)
+    n = [rng.randrange(500) for _ in range(2000)]
+    sums = kept(token_counts.suffix_sums(token_counts.histogram(spark.createDataFrame([(x,) for x in n], "n_tokens long"))), "sums")
+    assert {r.limit: r.truncated for r in token_counts.at_limits(sums, range(0, 600, 4)).collect()} == {x: sum(min(v, x) for v in n) for x in range(0, 600, 4)}
+    by = sorted(n)
+    assert {r.q: r.n_tokens for r in token_counts.at_quantiles(sums, [i / 150 for i in range(151)]).collect()} == {q: by[max(math.ceil(q * len(n) - 1e-9), 1) - 1] for q in (i / 150 for i in range(151))}
+    none = sums.limit(0)
+    assert [tuple(r) for r in token_counts.at_limits(none, [5]).collect()] == [(5, 0)] and token_counts.at_quantiles(none, [0.5]).count() == 0
+    assert token_counts.at_limits(sums, []).count() == token_counts.at_quantiles(sums, []).count() == 0
+
+
 # ---------------------------------------------------------------- op10
 
 SAMPLES = ["", " ", "  a  b ", "日本ﬁ\tx\ny", "<s> </s> <unk> <0x0A>", "▁▁x ▁", "😀" * 3, "a" * 500, "ünï ç", "x\u0000y", "tabs\t\tand  runs    of spaces\n\n", "1234567890 3.14"]
