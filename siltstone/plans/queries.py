@@ -438,6 +438,14 @@ def inspect_labels(spark, d):
     return seen.select("url", urls.inspect(F.col("url"), F.col("f")).alias("i")).select("url", "i.refuse", F.array_join("i.warnings", "; ").alias("warnings"))
 
 
+@query(f"WITH {ODD_WORDS} SELECT w AS word, mixed AS folds FROM w1")
+def folds_to_latin(spark, d):
+    words = read(spark, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct()
+    plain = words.filter((F.length("w") > 1) & F.col("w").rlike(ONE_ODD))
+    mixed = words.filter(F.length("w").between(2, 30) & F.col("w").rlike("^[a-z]*o[a-z]*$")).select(F.expr(DISGUISED).alias("w"))
+    return plain.unionByName(mixed).select(F.col("w").alias("word"), text.folds_to_latin(F.col("w")).alias("folds"))
+
+
 @query(f"WITH {URLS}, r AS (SELECT page_id, url, lower({RAW_HOST}) AS h FROM {HOST_PORT} WHERE regexp_matches(url, '^[a-z]+://[!-~]*$') AND a NOT LIKE '%@%') SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?:') THEN 'refused_scheme' WHEN {PRIVATE} THEN 'refused_private_host' END AS refusal FROM r")
 def refetch_guard(spark, d):
     u = urls_of(spark, d).filter(F.col("url").rlike("^[a-z]+://[!-~]*$") & ~urls.raw_host(F.col("url")).isNull() & ~F.regexp_extract("url", "://([^/?#]*)", 1).contains("@"))
