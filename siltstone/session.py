@@ -68,7 +68,7 @@ def leftovers() -> Iterator[list[DataFrame]]:
         _open.remove(made)
 
 
-def kept(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+def kept(df: DataFrame, name: str, done: tuple[DataFrame, ...] = (), codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and reread it; then the shuffle files behind it go.
 
     This cuts the lineage: a lost executor costs later steps a reread, not the work before. done:
@@ -80,7 +80,7 @@ def kept(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFram
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     discard(*done)
