@@ -132,25 +132,27 @@ class Pieces:
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.known: dict[str, bytes] = {}
         self.wrong: set[str] = set()
+        self.lost: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
 
     def forget(self) -> None:
         self.known.clear()
         self.wrong.clear()
+        self.lost.clear()
 
     def arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the tokenizers library spreads a batch over its threads."""
         return self.verified(texts, None)[0]
 
-    def verified(self, texts: list[str], other) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of each text, and whether sentencepiece (other) gives them too; where not, the ids are those of sentencepiece.
+    def verified(self, texts: list[str], other) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """The ids of each text, whether sentencepiece (other) gives them too, and whether decoding gives the text; where it does not give them, the ids are those of sentencepiece.
 
         A model's pieces are verified by one processor always, or never (None), as units are remembered.
         """
         if not (self.plain and self.apart):
             out = [np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = [np.array(i, np.int32) for i in other.encode(texts, num_threads=int(THREADS))] if other else out
-            return theirs, [np.array_equal(a, b) for a, b in zip(out, theirs, strict=True)]
+            return theirs, [np.array_equal(a, b) for a, b in zip(out, theirs, strict=True)], [self.decode(i.tolist()) == t for i, t in zip(theirs, texts, strict=True)]
         head = MARK if self.model.dummy_prefix else ""
         split = [self.unit.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
@@ -166,13 +168,19 @@ class Pieces:
                 if ids != self.known[u]:
                     self.known[u] = ids
                     self.wrong.add(u)
+        for u in new:
+            if b"".join(map(self.bytes.__getitem__, memoryview(self.known[u]).cast("i"))) != u.replace(MARK, " ").encode():
+                self.lost.add(u)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, s)), np.int32) for s in split]
-        same = [self.wrong.isdisjoint(s) for s in split]
+        same = [not self.wrong or self.wrong.isdisjoint(s) for s in split]
+        # a text whose units all come back does so too, unless it has markers of its own
+        back = [MARK not in t if not self.lost or self.lost.isdisjoint(s) else self.decode(i.tolist()) == t for i, t, s in zip(out, texts, split, strict=True)]
         for u in new:
             if len(u) > UNIT:
                 del self.known[u]
                 self.wrong.discard(u)
-        return out, same
+                self.lost.discard(u)
+        return out, same, back
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [a.tolist() for a in self.arrays(texts)]
@@ -213,15 +221,13 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL, verified: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         own, other = pieces(data.value), reference(data.value)
-        own.forget()
         for batch in batches:
             release()
             for span in ranges(pc.fill_null(pc.utf8_length(batch.column(where)), 0).to_pylist(), CHARS):
                 part = [t or "" for t in batch.column(where)[span].to_pylist()]
-                ids, agree = own.verified(part, other)
+                ids, agree, same = own.verified(part, other)
                 at = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids)
-                same = [own.decode(i.tolist()) == t for i, t in zip(ids, part, strict=True)]
                 parity = [None if verified > 1 and zlib.crc32(t.encode()) % verified else a for t, a in zip(part, agree, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(span.start, len(part)).columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names)
         own.forget()  # the worker lives on, for tasks that need the memory otherwise
