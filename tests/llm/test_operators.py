@@ -964,8 +964,9 @@ def test_sentencepiece_parity_finds_a_wrong_unit():
         data = f.read()
     own, other = sentence_pieces.Pieces(data), sentence_pieces.reference(data)
     texts = [*SAMPLES, "a ", "a  ", " ", "  a", "▁", "a▁b"]
-    ids, same = own.verified(texts, other)
+    ids, same, back = own.verified(texts, other)
     assert all(same) and [i.tolist() for i in ids] == other.encode(texts)
+    assert back == [own.decode(i.tolist()) == t for i, t in zip(ids, texts)] and not all(back)
 
     class Broken:
         def encode_batch_fast(self, units, **_):
@@ -974,8 +975,8 @@ def test_sentencepiece_parity_finds_a_wrong_unit():
     own, whole = sentence_pieces.Pieces(data), own.units
     own.units = Broken()
     texts = ["all fine", "one wrong word", "fine again", "wrong"]
-    ids, same = own.verified(texts, other)
-    assert same == [True, False, True, False] and [i.tolist() for i in ids] == other.encode(texts)
+    ids, same, back = own.verified(texts, other)
+    assert all(back) and same == [True, False, True, False] and [i.tolist() for i in ids] == other.encode(texts)
 
 
 # ---------------------------------------------------------------- plans
