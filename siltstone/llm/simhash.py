@@ -13,9 +13,10 @@ which fingerprints within 2 bits have one in common. What still meets in numbers
 linked in time in proportion to it, as fingerprints within 2 bits have a neighbour in common.
 similar_pairs serves similarity 0.8: 32 independent blocks of 23 bits with threshold 1 each, about
 170 anchors a signature, and 128 further bits, others for every second block, that leave out what is
-far apart. An anchor compares its signatures in all, but names as candidates only the nearest pairs
-that connect what is not connected, so that a large group gives links, not pairs. A sketch of 256
-bytes leaves out candidates that are clearly less similar; the sets of shingles decide on the others.
+far apart. An anchor compares its signatures in all and names all its pairs as candidates, or, where
+those are many for its rows, the nearest that connect what is not connected; the rows of pairs left
+out meet again when the links found are known, until no pair is left out. A sketch of 256 bytes
+leaves out candidates that are clearly less similar; the sets of shingles decide on the others.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ WORDS = BLOCKS // 2 + 2 * CHECK_WORDS
 FIRST = 4
 #: Shingles hashed at a time, rows compared at a time, largest group compared by shifts, and one by one; points of neighbours sorted at a time.
 CHUNK, ROWS, SHIFTED, SINGLY, POINTS = 1 << 16, 200_000, 24, 2048, 1 << 23
-#: Pairs held until those that connect nothing new are left out.
-PAIRS = 1_000_000
+#: Pairs held until they are named, or those left out that connect nothing new. Pairs for each row of a key up to which all are named, and how many times more in the next round.
+PAIRS, EACH, MORE = 1_000_000, 8, 16
 #: An anchor is crowded with more than so many fingerprints, or one in so many of all; one fingerprint in so many is looked at, and no more than so many.
 CROWD, CROWD_SHARE, LOOKED_AT, LOOKED_AT_MOST = 200_000, 50_000, 16, 1_000_000
 
@@ -256,34 +257,55 @@ def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tup
     return root, *np.concatenate(used, axis=1)
 
 
-def spanned(keys: np.ndarray, label: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, row), near ones first, that connect the labels of each key at up to `most` differing bits; rows are sorted by key, then label.
+def named(keys: np.ndarray, label: np.ndarray, check: np.ndarray, most: int, each: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Pairs (rows, rows) of different labels that share a key and differ in at most `most` bits; at last (rows, None), the rows of pairs left out.
 
-    Pairs are looked at in all, but of those that connect the same labels few come out, so there
-    are fewer than rows.
+    Rows are sorted by key, then label. All pairs of a key come out up to `each` for each of its
+    rows; of more, those that connect its labels, near ones first.
     """
     n = len(keys)
     edge, own = keys[1:] != keys[:-1], (keys[1:] != keys[:-1]) | (label[1:] != label[:-1])
     end, start, behind = (np.r_[0, np.flatnonzero(x) + 1, n] if n else np.zeros(2, np.int64) for x in (edge, own, own))
-    end = np.repeat(end[1:], np.diff(end))
+    size = np.diff(end)
+    group, end = np.repeat(np.arange(len(size)), size), np.repeat(end[1:], size)
     root, behind = np.repeat(start[:-1], np.diff(start)), np.repeat(behind[1:], np.diff(behind))
+    count, left_out = np.zeros(len(size), np.int64), np.zeros(n, bool)
+
+    def many(rows: np.ndarray) -> np.ndarray:
+        return count[group[rows]] > each * size[group[rows]]
+
     i, shift = np.flatnonzero(behind < end), 0
-    left, right, far, held, out = [], [], [], 0, [np.empty((2, 0), np.int64)]
+    left, right, far, held = [], [], [], 0
     while len(i):
         j = behind[i] + shift
         d = np.bitwise_count(check[i] ^ check[j]).sum(1)
-        hit = (d <= most) & (root[i] != root[j])
-        left.append(i[hit])
-        right.append(j[hit])
-        far.append(d[hit])
+        hit = d <= most
+        a, b, d = i[hit], j[hit], d[hit]
+        np.add.at(count, group[a], 1)
+        some = many(a)
+        left_out[a[some]] = left_out[b[some]] = True
+        on = ~some | (root[a] != root[b])
+        left.append(a[on])
+        right.append(b[on])
+        far.append(d[on])
         held += len(left[-1])
         shift += 1
         i = i[behind[i] + shift < end[i]]
         if held > PAIRS or not len(i):
-            root, a, b = forest(root, np.concatenate(left), np.concatenate(right), np.concatenate(far))
-            out.append(np.stack([a, b]))
+            a, b, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+            some = many(a)
+            left_out[a[some]] = left_out[b[some]] = True
+            yield a[~some], b[~some]
+            root, *linked = forest(root, a[some], b[some], d[some])
+            yield tuple(linked)
             left, right, far, held = [], [], [], 0
-    return tuple(np.concatenate(out, axis=1))
+    yield np.flatnonzero(left_out), None
+
+
+def spanned(keys: np.ndarray, label: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of named that connect the labels of each key, and no others: fewer than rows."""
+    pairs = [np.stack([a, b]) for a, b in named(keys, label, check, most, 0) if b is not None]
+    return tuple(np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1))
 
 
 def flood(check: np.ndarray, most: int) -> np.ndarray:
@@ -339,14 +361,15 @@ def neighbours(fp: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
-def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, near: bool = False) -> DataFrame:
+def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, each: int | None = None) -> DataFrame:
     """a, b: links that span what nodes (node long, sig binary) that meet at a key and differ in at most `most` bits connect.
 
-    keyed gives the row, the key and the deciding words of signatures. near: nodes have a third
-    column, label, and links are the nearest pairs that connect the labels of a key; else all of a
-    key's nodes that belong together are linked to the smallest of them.
+    keyed gives the row, the key and the deciding words of signatures. each: nodes have a third
+    column, label, and links are the pairs that named() gives; b is null for nodes of pairs that it
+    leaves out. Without it all of a key's nodes that belong together are linked to the smallest of them.
     """
     ship(nodes.sparkSession)
+    near = each is not None
 
     @task
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,17 +384,22 @@ def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, near: bool
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+        def links(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             bits = np.stack(cols[-words:], 1).view(np.uint64)
             if near:
-                a, b = spanned(cols[0], cols[2], bits, most)
+                found = named(cols[0], cols[2], bits, most, each)
             else:
                 root = connected(cols[0], bits, most)
                 b = np.flatnonzero(root != np.arange(len(root)))
-                a = root[b]
-            a, b = np.minimum(cols[1][a], cols[1][b]), np.maximum(cols[1][a], cols[1][b])
-            pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                found = [(root[b], b)]
+            for a, b in found:
+                if b is None:
+                    left_out = pa.array(np.unique(cols[1][a]))
+                    yield pa.RecordBatch.from_arrays([left_out, pa.nulls(len(left_out), pa.int64())], ["a", "b"])
+                    continue
+                a, b = np.minimum(cols[1][a], cols[1][b]), np.maximum(cols[1][a], cols[1][b])
+                pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         count, room = 0, ROWS
         for batch in batches:
@@ -381,12 +409,12 @@ def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, near: bool
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
                 if cut:
-                    yield links([c[:cut] for c in cols])
+                    yield from links([c[:cut] for c in cols])
                     cols = [c[cut:] for c in cols]
                 held, count = [cols], len(cols[0])
                 room = count + ROWS
         if held:
-            yield links([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from links([np.concatenate(c) for c in zip(*held, strict=True)])
 
     names = ["key", "node", *nodes.columns[2:], *(f"w{k}" for k in range(words))]
     sent = nodes.mapInArrow(replicate, ", ".join(f"{n} long" for n in names))
@@ -438,8 +466,8 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None =
     return _links(nodes, keyed, 1, threshold)
 
 
-def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), most: int = CHECK_BITS) -> DataFrame:
-    """a, b: candidates, the nearest pairs of nodes (node, sig, label) that connect different labels at an anchor of the blocks, of those that differ in at most `most` check bits."""
+def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), each: int = EACH, most: int = CHECK_BITS) -> DataFrame:
+    """a, b: candidates, pairs of nodes (node, sig, label) of different labels that meet at an anchor of the blocks and differ in at most `most` check bits; b is null for nodes of pairs left out."""
 
     def keyed(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, key = anchors_of_signatures(sig[:, : BLOCKS // 2], blocks)
@@ -448,7 +476,7 @@ def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), most: int = C
         check[odd] = sig[row[odd], BLOCKS // 2 + CHECK_WORDS : WORDS]
         return row, key, check
 
-    return _links(nodes, keyed, CHECK_WORDS, most, near=True)
+    return _links(nodes, keyed, CHECK_WORDS, most, each)
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
@@ -493,17 +521,28 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str,
 def similar_roots(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
     """node, root: the smallest node of each component of confirmed pairs, for every node.
 
-    The first blocks connect most of what belongs together; then the others connect what is still
-    apart. A link that is refused leaves its labels apart until another of their pairs is nearest at
-    another anchor, where other bits are looked at or other nodes meet.
+    The first blocks connect most of what belongs together by the nearest pairs. Then all blocks name
+    the pairs of what is still apart. Where those are too many, some are left out; their nodes meet
+    again under the labels that the links gave, with MORE times as many pairs, until none is left
+    out: every pair that meets at an anchor is then connected, or was compared and refused.
     """
+
+    def linked(labels: DataFrame, links: DataFrame, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+        own = labels.filter("node != label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        roots = components(links.unionByName(own), "a", "b")
+        return kept(labels.select("node", "sig").join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label")), "labels", (links, *done))
+
     alone = nodes.withColumn("label", F.col("node"))
-    first = components(confirmed(similar_pairs(alone, range(FIRST)), sketches, docs, text, shingle, row), "a", "b")
-    joined = kept(nodes.join(first, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label")), "labels")
-    links = confirmed(similar_pairs(joined, range(FIRST, BLOCKS)), sketches, docs, text, shingle, row)
-    own = joined.filter("node != label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    then = components(links.unionByName(own), "a", "b")
-    return joined.select("node").join(then, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    labels = linked(alone, confirmed(similar_pairs(alone, range(FIRST), 0).filter("b IS NOT NULL"), sketches, docs, text, shingle, row))
+    some, each = labels, EACH
+    while True:
+        found = kept(similar_pairs(some, range(BLOCKS), each), "named")
+        labels = linked(labels, confirmed(found.filter("b IS NOT NULL"), sketches, docs, text, shingle, row), (labels,))
+        some = kept(labels.join(found.filter("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi"), "left_out", (found,))
+        if some.isEmpty():
+            return labels.select("node", F.col("label").alias("root"))
+        sketches = kept(sketches.join(some.select("node"), "node", "left_semi"), "sketches")
+        each *= MORE
 
 
 def fingerprint_groups(docs: DataFrame, shingle: int = 3, threshold: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -638,6 +638,36 @@ def test_spanning_pairs_connect_what_all_pairs_do(monkeypatch, held):
     assert len(i) == labels - len(set(brute_components(range(300), near).values()))
 
 
+@pytest.mark.parametrize("held", [10, 10**6])
+def test_all_pairs_are_named_or_their_rows_told(monkeypatch, held):
+    monkeypatch.setattr(simhash, "PAIRS", held)
+    rng = np.random.default_rng(19)
+    keys, label, check = rng.integers(0, 5, 300), rng.integers(0, 60, 300), rng.integers(0, 1 << 16, (300, 2), dtype=np.uint64)
+    by = np.lexsort((label, keys))
+    keys, label, check = keys[by], label[by], check[by]
+    want = {(a, b) for a in range(300) for b in range(a, 300) if keys[a] == keys[b] and label[a] != label[b] and sum(int(x).bit_count() for x in check[a] ^ check[b]) <= 10}
+    for each in (0, 0.3, 1000):
+        *some, (rows, _) = simhash.named(keys, label, check, 10, each)
+        got = {p for a, b in some for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert got <= want and {x for p in want - got for x in p} <= set(rows.tolist())
+        assert (got == want and not len(rows)) == (each == 1000)
+
+
+@pytest.mark.parametrize("each", [8, 0.3])
+def test_a_refused_pair_hides_no_similar_one(spark, monkeypatch, each):
+    """The signatures of 0 and 2 are nearer to that of 1, whose text is another, than to each other."""
+    monkeypatch.setattr(simhash, "EACH", each, raising=False)
+    rng = random.Random(5)
+    base, other = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(2))
+    docs = kept(spark.createDataFrame([(0, base), (1, other), (2, base + " more")], "row long, text string"), "docs")
+    check = 8 * simhash.BLOCKS // 2
+    sigs = [bytes(check) + (bytes([c] * 4) + bytes(12)) * 2 + bytes(16) for c in (0, 1, 3)]
+    nodes = kept(spark.createDataFrame(list(enumerate(map(bytearray, sigs))), "node long, sig binary"), "nodes")
+    sketches = kept(spark.createDataFrame([(i, bytearray(simhash.sketch(np.arange(1, 9, dtype=np.uint64) << np.uint64(56)))) for i in range(3)], "node long, sketch binary"), "sketches")
+    found = simhash.similar_roots(nodes, sketches, docs, "text", 5, "row").collect()
+    assert {r.node: r.root for r in found} == {0: 0, 1: 1, 2: 0}
+
+
 def test_sketches_leave_out_what_is_clearly_less_similar():
     rng = np.random.default_rng(12)
     for size in (3, 30, 200, 2000):
