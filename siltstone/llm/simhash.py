@@ -11,12 +11,13 @@ threshold t is shared by the blocks (t1 + t2 <= t), about 61 anchors a fingerpri
 anchors, found on a sample, are split by the 18 bits that are left: in three parts of 6 bits, of
 which fingerprints within 2 bits have one in common. What still meets in numbers at one anchor is
 linked in time in proportion to it, as fingerprints within 2 bits have a neighbour in common.
-similar_pairs serves similarity 0.8: 32 independent blocks of 23 bits with threshold 1 each, about
-170 anchors a signature, and 128 further bits, others for every second block, that leave out what is
-far apart. An anchor compares its signatures in all and names all its pairs as candidates, or, where
-those are many for its rows, the nearest that connect what is not connected; the rows of pairs left
-out meet again when the links found are known, until no pair is left out. A sketch of 256 bytes
-leaves out candidates that are clearly less similar; the sets of shingles decide on the others.
+similar_pairs serves similarity 0.8, where an anchor of 12 bits would hold too many of millions of
+texts: signatures meet where one of 160 blocks of 16 bits is equal, which holds one in 65,536 of what
+is not similar, and 128 bits of other blocks leave out what is far apart. A key compares its
+signatures in all and names all its pairs as candidates, or, where those are many for its rows, the
+nearest that connect what is not connected; the rows of pairs left out meet again when the links
+found are known, until no pair is left out. A sketch of 256 bytes leaves out candidates that are
+clearly less similar; the sets of shingles decide on the others.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ from .components import components
 
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
 BITS, RADIUS = 23, 3
-#: Signature of similar_pairs: blocks, two to a word, then check words, CHECK_WORDS for each parity of the block; most differing
-#: check bits of a candidate (at 0.8 they are 19.4 on average with a deviation of 4.1; more would let through what hides nearer pairs).
-BLOCKS, CHECK_WORDS, CHECK_BITS = 32, 2, 27
-WORDS = BLOCKS // 2 + 2 * CHECK_WORDS
+#: Signature of similar_pairs: words, the last 2 * CHECK_WORDS of which are check words too, CHECK_WORDS for each parity of the block; most differing
+#: check bits of a candidate (at 0.8 they are 19.4 on average with a deviation of 4.1). Blocks: all bits in runs of BLOCK_BITS, then once more at even distances.
+WORDS, CHECK_WORDS, CHECK_BITS, BLOCK_BITS = 20, 2, 32, 16
+RUNS = 64 * WORDS // BLOCK_BITS
+BLOCKS = 2 * RUNS
 #: Blocks of the first round of similar_roots.
-FIRST = 4
+FIRST = 8
 #: Shingles hashed at a time, rows compared at a time, largest group compared by shifts, and one by one; points of neighbours sorted at a time.
 CHUNK, ROWS, SHIFTED, SINGLY, POINTS = 1 << 16, 200_000, 24, 2048, 1 << 23
 #: Pairs held until they are named, or those left out that connect nothing new. Pairs for each row of a key up to which all are named, and how many times more in the next round.
@@ -188,15 +190,15 @@ def anchors_of_fingerprints(fp: np.ndarray, threshold: int = 2) -> tuple[np.ndar
     return row[again], left[again] << 12 | right
 
 
-def anchors_of_signatures(sig: np.ndarray, blocks: range = range(BLOCKS)) -> tuple[np.ndarray, np.ndarray]:
-    """row, anchor (5 bits of block, 12 of codeword) of signatures, (n, BLOCKS / 2) words, for some of the blocks."""
-    rows, keys = [], []
-    for i in blocks:
-        block = (sig[:, i // 2] >> np.uint64(41 - 23 * (i % 2)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        row, anchor, _ = near(block, 1)
-        rows.append(row)
-        keys.append(anchor | i << 12)
-    return np.concatenate(rows), np.concatenate(keys)
+def keys_of_signatures(sig: np.ndarray, blocks: range = range(BLOCKS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, key (block and its bits) of signatures, (n, WORDS) words, for some of the blocks, and the check words to compare, which a run is no part of."""
+    octets = sig.astype(">u8").view(np.uint8).reshape(len(sig), -1)
+    spread = np.unpackbits(octets, axis=1).reshape(len(sig), BLOCK_BITS, RUNS).transpose(0, 2, 1)
+    bits = np.concatenate([octets.reshape(len(sig), RUNS, -1), np.packbits(spread, axis=2)], axis=1).view(">u2")[:, blocks, 0]
+    row, block = np.repeat(np.arange(len(sig)), len(blocks)), np.tile(np.array(blocks, np.int64), len(sig))
+    first, word = WORDS - 2 * CHECK_WORDS, block * BLOCK_BITS // 64
+    other = np.where((first <= word) & (word < WORDS), word < first + CHECK_WORDS, block % 2)
+    return row, block << BLOCK_BITS | bits.ravel().astype(np.int64), sig[row[:, None], first + CHECK_WORDS * other[:, None] + np.arange(CHECK_WORDS)]
 
 
 def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -467,16 +469,8 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None =
 
 
 def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), each: int = EACH, most: int = CHECK_BITS) -> DataFrame:
-    """a, b: candidates, pairs of nodes (node, sig, label) of different labels that meet at an anchor of the blocks and differ in at most `most` check bits; b is null for nodes of pairs left out."""
-
-    def keyed(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, key = anchors_of_signatures(sig[:, : BLOCKS // 2], blocks)
-        odd = (key >> 12 & 1).astype(bool)
-        check = sig[row, BLOCKS // 2 : BLOCKS // 2 + CHECK_WORDS]
-        check[odd] = sig[row[odd], BLOCKS // 2 + CHECK_WORDS : WORDS]
-        return row, key, check
-
-    return _links(nodes, keyed, CHECK_WORDS, most, each)
+    """a, b: candidates, pairs of nodes (node, sig, label) of different labels that are equal in one of the blocks and differ in at most `most` check bits; b is null for nodes of pairs left out."""
+    return _links(nodes, lambda sig: keys_of_signatures(sig[:, :WORDS], blocks), CHECK_WORDS, most, each)
 
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
@@ -524,7 +518,7 @@ def similar_roots(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, text:
     The first blocks connect most of what belongs together by the nearest pairs. Then all blocks name
     the pairs of what is still apart. Where those are too many, some are left out; their nodes meet
     again under the labels that the links gave, with MORE times as many pairs, until none is left
-    out: every pair that meets at an anchor is then connected, or was compared and refused.
+    out: every pair that meets at a key is then connected, or was compared and refused.
     """
 
     def linked(labels: DataFrame, links: DataFrame, done: tuple[DataFrame, ...] = ()) -> DataFrame:

@@ -660,7 +660,7 @@ def test_a_refused_pair_hides_no_similar_one(spark, monkeypatch, each):
     rng = random.Random(5)
     base, other = (" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(2))
     docs = kept(spark.createDataFrame([(0, base), (1, other), (2, base + " more")], "row long, text string"), "docs")
-    check = 8 * simhash.BLOCKS // 2
+    check = 8 * (simhash.WORDS - 2 * simhash.CHECK_WORDS)
     sigs = [bytes(check) + (bytes([c] * 4) + bytes(12)) * 2 + bytes(16) for c in (0, 1, 3)]
     nodes = kept(spark.createDataFrame(list(enumerate(map(bytearray, sigs))), "node long, sig binary"), "nodes")
     sketches = kept(spark.createDataFrame([(i, bytearray(simhash.sketch(np.arange(1, 9, dtype=np.uint64) << np.uint64(56)))) for i in range(3)], "node long, sketch binary"), "sketches")
@@ -668,6 +668,21 @@ def test_a_refused_pair_hides_no_similar_one(spark, monkeypatch, each):
     assert {r.node: r.root for r in found} == {0: 0, 1: 1, 2: 0}
 
 
+def test_keys_hold_little_of_what_is_not_similar():
+    """Of 0.8 all but one in 1,000 meet, and two signatures at random share a key with a chance of 1 in 400: at 3,000,000 texts a key holds 46."""
+    rng = np.random.default_rng(23)
+    x, other = rng.integers(0, 1 << 64, (2, 4000, simhash.WORDS), dtype=np.uint64)
+    differ = rng.random((4000, 64 * simhash.WORDS)) < np.arccos(1.6 / 1.8) / np.pi
+    met = []
+    for y in (x ^ np.packbits(differ, axis=1).view(">u8").astype(np.uint64), other):
+        (row, key, check), (row_, key_, check_) = simhash.keys_of_signatures(x), simhash.keys_of_signatures(y)
+        assert (row == row_).all()
+        near = np.bitwise_count(check ^ check_).sum(1) <= simhash.CHECK_BITS
+        met.append((len(np.unique(row[(key == key_) & near])), int((key == key_).sum())))
+    assert met[0][0] >= 3996 and met[1][0] == 0 and met[1][1] <= 4000 * simhash.BLOCKS / 2**16 * 2
+    assert len(key) == 4000 * simhash.BLOCKS
+
+
 def test_sketches_leave_out_what_is_clearly_less_similar():
     rng = np.random.default_rng(12)
     for size in (3, 30, 200, 2000):
