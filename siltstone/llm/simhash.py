@@ -11,20 +11,19 @@ threshold t is shared by the blocks (t1 + t2 <= t), about 61 anchors a fingerpri
 anchors, found on a sample, are split by the 18 bits that are left: in three parts of 6 bits, of
 which fingerprints within 2 bits have one in common. What still meets in numbers at one anchor is
 linked in time in proportion to it, as fingerprints within 2 bits have a neighbour in common.
-similar_pairs serves similarity 0.8, where an anchor of 12 bits would hold too many of millions of
+similar_links serves similarity 0.8, where an anchor of 12 bits would hold too many of millions of
 texts: signatures meet where one of 160 blocks of 16 bits is equal, which holds one in 65,536 of what
-is not similar, and 128 bits of other blocks leave out what is far apart. A key compares its
-signatures in all and names all its pairs as candidates, or, where those are many for its rows, the
-nearest that connect what is not connected; the rows of pairs left out meet again when the links
-found are known, until no pair is left out. A sketch of 256 bytes leaves out candidates that are
-clearly less similar; the sets of shingles decide on the others.
+is not similar, and 128 bits of other blocks leave out what is far apart. Such links make clusters, and
+within a cluster the sets of shingles decide on all pairs of texts that are not connected yet. They are
+compared where their sets lie, a cluster in tiles of two bounded parts, and only what connects comes
+out: no table has a row for each pair. A sketch of 256 bytes leaves out what is clearly less similar.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +41,12 @@ BITS, RADIUS = 23, 3
 WORDS, CHECK_WORDS, CHECK_BITS, BLOCK_BITS = 20, 2, 32, 16
 RUNS = 64 * WORDS // BLOCK_BITS
 BLOCKS = 2 * RUNS
-#: Blocks of the first round of similar_roots.
-FIRST = 8
 #: Shingles hashed at a time, rows compared at a time, largest group compared by shifts, and one by one; points of neighbours sorted at a time.
 CHUNK, ROWS, SHIFTED, SINGLY, POINTS = 1 << 16, 200_000, 24, 2048, 1 << 23
-#: Pairs held until they are named, or those left out that connect nothing new. Pairs for each row of a key up to which all are named, and how many times more in the next round.
-PAIRS, EACH, MORE = 1_000_000, 8, 16
+#: Pairs held until they are named, or those left out that connect nothing new; largest group of signatures whose pairs are looked at in all, many groups together.
+PAIRS, SPANNED = 1_000_000, 256
+#: A part of a cluster has about so many bytes of sets and so many texts at most; clusters of more than LEAST_PART texts have up to MORE_PARTS parts even so, for more tasks.
+PART_BYTES, PART_ROWS, LEAST_PART, MORE_PARTS = 8 << 20, 4096, 512, 8
 #: An anchor is crowded with more than so many fingerprints, or one in so many of all; one fingerprint in so many is looked at, and no more than so many.
 CROWD, CROWD_SHARE, LOOKED_AT, LOOKED_AT_MOST = 200_000, 50_000, 16, 1_000_000
 
@@ -235,7 +234,12 @@ def connected(keys: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
         right.append(i + shift)
     if left:
         label = united(label, np.concatenate(left), np.concatenate(right))
-    for at, size in zip(starts[length > SHIFTED], length[length > SHIFTED], strict=True):
+    few = SPANNED if check.shape[1] > 1 else SHIFTED
+    rows = np.flatnonzero(np.repeat((length > SHIFTED) & (length <= few), length))
+    if len(rows):
+        i, j = spanned(keys[rows], np.arange(len(rows)), check[rows], most)
+        label = united(label, rows[i], rows[j])
+    for at, size in zip(starts[length > few], length[length > few], strict=True):
         group = check[at : at + size]
         label[at : at + size] = at + (neighbours(group[:, 0], most) if size > SINGLY and group.shape[1] == 1 and most <= 2 else flood(group, most))
     return label
@@ -363,15 +367,13 @@ def neighbours(fp: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
-def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, each: int | None = None) -> DataFrame:
-    """a, b: links that span what nodes (node long, sig binary) that meet at a key and differ in at most `most` bits connect.
+def _links(nodes: DataFrame, keyed: Callable, words: int, most: int) -> DataFrame:
+    """a, b: links that connect what nodes (node long, sig binary) that meet at a key and differ in at most `most` bits connect.
 
-    keyed gives the row, the key and the deciding words of signatures. each: nodes have a third
-    column, label, and links are the pairs that named() gives; b is null for nodes of pairs that it
-    leaves out. Without it all of a key's nodes that belong together are linked to the smallest of them.
+    keyed gives the row, the key and the deciding words of signatures. What the keys compared at a
+    time connect is linked to the smallest node of it, often the same, so links are few more than nodes.
     """
     ship(nodes.sparkSession)
-    near = each is not None
 
     @task
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,28 +382,19 @@ def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, each: int |
                 part = batch.slice(at, 2000)
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(part.num_rows, -1)
                 row, key, deciding = keyed(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in (part.column(0), *part.columns[2:])), *(pa.array(deciding[:, k].view(np.int64)) for k in range(words))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(row)), *(pa.array(deciding[:, k].view(np.int64)) for k in range(words))], names)
 
     @task
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
-        def links(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bits = np.stack(cols[-words:], 1).view(np.uint64)
-            if near:
-                found = named(cols[0], cols[2], bits, most, each)
-            else:
-                root = connected(cols[0], bits, most)
-                b = np.flatnonzero(root != np.arange(len(root)))
-                found = [(root[b], b)]
-            for a, b in found:
-                if b is None:
-                    left_out = pa.array(np.unique(cols[1][a]))
-                    yield pa.RecordBatch.from_arrays([left_out, pa.nulls(len(left_out), pa.int64())], ["a", "b"])
-                    continue
-                a, b = np.minimum(cols[1][a], cols[1][b]), np.maximum(cols[1][a], cols[1][b])
-                pairs = np.unique(np.stack([a, b])[:, a != b], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+            root = connected(cols[0], np.stack(cols[2:], 1).view(np.uint64), most)
+            b = np.flatnonzero(root != np.arange(len(root)))
+            known, at = np.unique(np.stack([cols[1][root[b]], cols[1][b]]), return_inverse=True)
+            root = united(np.arange(len(known)), *at.reshape(2, -1))
+            b = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(known[root[b]]), pa.array(known[b])], ["a", "b"])
 
         count, room = 0, ROWS
         for batch in batches:
@@ -411,17 +404,16 @@ def _links(nodes: DataFrame, keyed: Callable, words: int, most: int, each: int |
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
                 if cut:
-                    yield from links([c[:cut] for c in cols])
+                    yield links([c[:cut] for c in cols])
                     cols = [c[cut:] for c in cols]
                 held, count = [cols], len(cols[0])
                 room = count + ROWS
         if held:
-            yield from links([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    names = ["key", "node", *nodes.columns[2:], *(f"w{k}" for k in range(words))]
+    names = ["key", "node", *(f"w{k}" for k in range(words))]
     sent = nodes.mapInArrow(replicate, ", ".join(f"{n} long" for n in names))
-    # by node too: links lead to the smallest node that a key connects, the same from many keys
-    return sent.repartition("key").sortWithinPartitions("key", "label" if near else "node", "node").mapInArrow(compare, "a long, b long").distinct()
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
 
 
 def crowded(nodes: DataFrame, threshold: int, crowd: int | None = None) -> np.ndarray:
@@ -468,75 +460,82 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None =
     return _links(nodes, keyed, 1, threshold)
 
 
-def similar_pairs(nodes: DataFrame, blocks: range = range(BLOCKS), each: int = EACH, most: int = CHECK_BITS) -> DataFrame:
-    """a, b: candidates, pairs of nodes (node, sig, label) of different labels that are equal in one of the blocks and differ in at most `most` check bits; b is null for nodes of pairs left out."""
-    return _links(nodes, lambda sig: keys_of_signatures(sig[:, :WORDS], blocks), CHECK_WORDS, most, each)
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links that connect all nodes (node, sig) that are equal in one of the blocks and differ in at most CHECK_BITS check bits."""
+    return _links(nodes, lambda sig: keys_of_signatures(sig[:, :WORDS]), CHECK_WORDS, CHECK_BITS)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
-    """The pairs (a, b: row numbers of docs) whose sets of shingles have similarity 0.8 or more; kept.
+def alike(part: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the rows of different parts (within: of any) whose sets have similarity 0.8 or more.
 
-    Sketches (node, sketch) leave out what is clearly less; the others are compared in full.
+    Every pair of rows not connected yet is compared: sizes and sketches leave out what is clearly less similar, the sets decide.
+    """
+    size = np.array([len(h) for h in sets], np.int64)
+    known, ids = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)
+    start, shared, root = np.cumsum(size) - size, np.zeros(len(known), bool), np.arange(len(sets))
+    left, right = [], []
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (within | (part[i + 1 :] != part[i])))
+        j = j[5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])]
+        j = j[may_be_similar(sketches[i], sketches[j])]
+        if not len(j):
+            continue
+        own = ids[start[i] : start[i] + size[i]]
+        shared[own] = True
+        row, k = ragged(size[j])
+        both = np.bincount(row[shared[ids[start[j][row] + k]]], minlength=len(j))
+        shared[own] = False
+        j = j[(both > 0) & (5 * both >= 4 * (size[i] + size[j] - both))]
+        roots, first = np.unique(root[j], return_index=True)
+        left += [i] * len(first)
+        right += j[first].tolist()
+        root[np.isin(root, roots)] = root[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def confirmed(links: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
+    """a, b: links that connect what has sets of shingles of similarity 0.8 or more, of all pairs of row numbers that links (a, b) connect, directly or along a chain.
+
+    What links connect is a cluster. It is cut into parts, and every two parts meet in a tile, where all
+    pairs are compared; so a set is sent as often as its cluster has parts, however many pairs there are.
     """
-
-    @task
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(x, y), pa.bool_()))
 
     @task
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in part.column(1)], pa.binary())], ["node", "h"])
+                some = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in some.column(1)], pa.binary())], ["node", "h"])
 
     @task
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y)) if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) else 0
-                near.append(both > 0 and 5 * both >= 4 * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    def beside(pairs: DataFrame, have: DataFrame, column: str) -> DataFrame:
-        return pairs.join(have.select(F.col("node").alias("a"), F.col(column).alias("x")), "a").join(have.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
-
-    pairs = kept(pairs, "candidates")
-    pairs = kept(beside(pairs, sketches, "sketch").mapInArrow(likely, "a long, b long"), "likely", (pairs,))
-    found, (used,) = marked(docs.select(F.col(row).alias("node"), whole(docs[text]).alias("text")), "node", pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", F.lit(True))
-    have = kept(found.filter(used).select("node", "text").mapInArrow(sets, "node long, h binary"), "sets")
-    return kept(beside(pairs, have, "h").mapInArrow(compare, "a long, b long"), "confirmed", (pairs, have))
+        rows = ([x.as_py() for x in r] for batch in batches for r in zip(*batch.columns, strict=True))
+        for (_, low, high), tile in groupby(rows, lambda r: r[:3]):
+            part, node, sketch, h = zip(*(r[3:] for r in tile), strict=True)
+            i, j = alike(np.array(part), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, 256), [np.frombuffer(x, np.uint64) for x in h], low == high)
+            nodes = np.array(node, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
+
+    def only(rows: DataFrame, members: DataFrame) -> DataFrame:
+        found, (member,) = marked(rows, "node", members, "node", F.lit(True))
+        return found.filter(member).select(*rows.columns)
+
+    roots = components(links, "a", "b")
+    members = kept(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
+    have = kept(only(docs.select(F.col(row).alias("node"), whole(docs[text]).alias("text")), members).mapInArrow(sets, "node long, h binary"), "sets")
+    sized = kept(members.join(have.select("node", F.length("h").alias("bytes")), "node"), "sized", (members,))
+    n, parts = F.count(F.lit(1)), F.ceil(F.sum("bytes") / PART_BYTES)
+    clusters = sized.groupBy("root").agg(F.greatest(parts, F.ceil(n / PART_ROWS), F.least(F.ceil(n / LEAST_PART), F.lit(MORE_PARTS))).cast("int").alias("parts"))
+    dealt = sized.join(clusters, "root").select("node", "root", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node").join(only(sketches, sized), "node").join(have, "node")
+    tiles = tiles.select("root", "low", "high", "part", "node", "sketch", "h").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return kept(tiles.mapInArrow(compare, "a long, b long"), "confirmed", (have, sized))
 
 
 def similar_roots(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
-    """node, root: the smallest node of each component of confirmed pairs, for every node.
-
-    The first blocks connect most of what belongs together by the nearest pairs. Then all blocks name
-    the pairs of what is still apart. Where those are too many, some are left out; their nodes meet
-    again under the labels that the links gave, with MORE times as many pairs, until none is left
-    out: every pair that meets at a key is then connected, or was compared and refused.
-    """
-
-    def linked(labels: DataFrame, links: DataFrame, done: tuple[DataFrame, ...] = ()) -> DataFrame:
-        own = labels.filter("node != label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-        roots = components(links.unionByName(own), "a", "b")
-        return kept(labels.select("node", "sig").join(roots, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("label")), "labels", (links, *done))
-
-    alone = nodes.withColumn("label", F.col("node"))
-    labels = linked(alone, confirmed(similar_pairs(alone, range(FIRST), 0).filter("b IS NOT NULL"), sketches, docs, text, shingle, row))
-    some, each = labels, EACH
-    while True:
-        found = kept(similar_pairs(some, range(BLOCKS), each), "named")
-        labels = linked(labels, confirmed(found.filter("b IS NOT NULL"), sketches, docs, text, shingle, row), (labels,))
-        some = kept(labels.join(found.filter("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi"), "left_out", (found,))
-        if some.isEmpty():
-            return labels.select("node", F.col("label").alias("root"))
-        sketches = kept(sketches.join(some.select("node"), "node", "left_semi"), "sketches")
-        each *= MORE
+    """node, root: the smallest node of each component of similarity 0.8, for every node; what meets at no block is compared where a chain of others leads to it."""
+    roots = components(confirmed(similar_links(nodes), sketches, docs, text, shingle, row), "a", "b")
+    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def fingerprint_groups(docs: DataFrame, shingle: int = 3, threshold: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -565,9 +564,9 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     name = fresh("__key", row, *docs.columns)
     key = F.struct(docs_[doc_id].isNull().alias("n"), docs_[doc_id].alias("i"), F.col(row).alias("r"))
     rows = kept(signatures(docs_.withColumn(name, key), lambda t: signature(shingle_set(t, shingle), WORDS), text, name), "signatures")
-    nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").alias("best")).select(F.col("best.r").alias("node"), F.substring("sig", 1, 8 * WORDS + 16).alias("sig"), F.substring("sig", 8 * WORDS + 17, 256).alias("sketch"), "best"), "nodes")
+    nodes = kept(rows.groupBy("sig").agg(F.min("doc_id").alias("best")).select(F.col("best.r").alias("node"), F.substring("sig", 1, 8 * WORDS + 16).alias("sig"), F.substring("sig", 8 * WORDS + 17, 256).alias("sketch"), "best"), "nodes", (rows,))
     roots = similar_roots(nodes.select("node", "sig"), nodes.select("node", "sketch"), docs_, text, shingle, row)
-    stay = kept(nodes.select("node", "best").join(roots, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("row")), "stay", (nodes, rows))
+    stay = kept(nodes.select("node", "best").join(roots, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.r").alias("row")), "stay", (nodes,))
     found, (stays,) = marked(docs_, row, stay, "row", F.lit(True))
     return found.filter(stays).select(*docs.columns)
 

@@ -668,6 +668,71 @@ def test_a_refused_pair_hides_no_similar_one(spark, monkeypatch, each):
     assert {r.node: r.root for r in found} == {0: 0, 1: 1, 2: 0}
 
 
+def one_word_apart(n, rng, size=60):
+    """n texts that differ from one text in a word or two each, every tenth from the text before it: similar to few, near to all."""
+    base, out = [f"w{rng.randrange(5000)}" for _ in range(size)], []
+    for i in range(n):
+        w = out[-1].split() if i % 10 == 9 else list(base)
+        for at in rng.sample(range(5, size - 5), 1 if i % 10 == 9 else 2):
+            w[at] = f"new{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def similar_components(texts):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    return brute_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("part_bytes", [8 << 20, 20_000])
+def test_a_crowd_of_near_texts_makes_no_row_for_each_pair(spark, monkeypatch, part_bytes):
+    """No table that is kept has more than a few rows for each text, and groups are those of brute force, in one tile or many."""
+    monkeypatch.setattr(simhash, "PART_BYTES", part_bytes, raising=False)
+    counts = []
+
+    def counted(df, *args, **named):
+        out = kept(df, *args, **named)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "kept", counted)
+    texts = one_word_apart(400, random.Random(31))
+    want = set(similar_components(texts).values())
+    assert 250 < len(want) < 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == want
+    assert max(counts) <= 10 * len(texts)
+
+
+def test_alike_compares_every_pair_of_a_tile():
+    texts = one_word_apart(150, random.Random(32)) + one_word_apart(60, random.Random(33), 300) + ["", "a b", "a b c d e f"]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    sketches = np.stack([np.frombuffer(simhash.sketch(h), np.uint8) for h in sets])
+    part = np.arange(len(texts)) % 3
+    whole = similar_components(texts)
+
+    def similar(a, b):
+        return 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+
+    i, j = simhash.alike(part, sketches, sets, True)
+    assert all(similar(*p) for p in zip(i, j, strict=True)) and len(i) == len(texts) - len(set(whole.values()))
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert brute_components(range(len(texts)), lambda a, b: (a, b) in found or (b, a) in found) == whole
+    i, j = simhash.alike(part, sketches, sets, False)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert brute_components(range(len(texts)), lambda a, b: (a, b) in found or (b, a) in found) == brute_components(range(len(texts)), lambda a, b: part[a] != part[b] and similar(a, b))
+
+
+def test_groups_of_all_sizes_are_connected():
+    """Groups compared by shifts, many together and one by one."""
+    rng = np.random.default_rng(41)
+    for size in (5, 60, 300):
+        keys, check = np.repeat(np.arange(4), size), rng.integers(0, 1 << 10, (4 * size, 2), dtype=np.uint64)
+        root = simhash.connected(keys, check, 3)
+        want = brute_components(range(4 * size), lambda a, b: keys[a] == keys[b] and sum(int(x).bit_count() for x in check[a] ^ check[b]) <= 3)
+        assert root.tolist() == [want[a] for a in range(4 * size)]
+
+
 def test_keys_hold_little_of_what_is_not_similar():
     """Of 0.8 all but one in 1,000 meet, and two signatures at random share a key with a chance of 1 in 400: at 3,000,000 texts a key holds 46."""
     rng = np.random.default_rng(23)
