@@ -13,7 +13,8 @@ which fingerprints within 2 bits have one in common. What still meets in numbers
 linked in time in proportion to it, as fingerprints within 2 bits have a neighbour in common.
 similar_links serves similarity 0.8, where an anchor of 12 bits would hold too many of millions of
 texts: signatures meet where one of 160 blocks of 16 bits is equal, which holds one in 65,536 of what
-is not similar, and 128 bits of other blocks leave out what is far apart. Such links make clusters, and
+is not similar, and 128 bits of other blocks leave out what is far apart. The blocks take turns, AT_ONCE
+of them shuffled at a time, so that disk holds those and no more. Such links make clusters, and
 within a cluster the sets of shingles decide on all pairs of texts that are not connected yet. They are
 compared where their sets lie, a cluster in tiles of two bounded parts, and only what connects comes
 out: no table has a row for each pair. A sketch of 256 bytes leaves out what is clearly less similar.
@@ -31,16 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, kept, marked, numbered, ship, table, task, whole
+from .common import discard, fresh, kept, marked, numbered, ship, table, task, whole
 from .components import components
 
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
 BITS, RADIUS = 23, 3
-#: Signature of similar_pairs: words, the last 2 * CHECK_WORDS of which are check words too, CHECK_WORDS for each parity of the block; most differing
+#: Signature of similar_links: words, the last 2 * CHECK_WORDS of which are check words too, CHECK_WORDS for each parity of the block; most differing
 #: check bits of a candidate (at 0.8 they are 19.4 on average with a deviation of 4.1). Blocks: all bits in runs of BLOCK_BITS, then once more at even distances.
 WORDS, CHECK_WORDS, CHECK_BITS, BLOCK_BITS = 20, 2, 32, 16
 RUNS = 64 * WORDS // BLOCK_BITS
 BLOCKS = 2 * RUNS
+#: Blocks whose keys are on disk at a time.
+AT_ONCE = 40
 #: Shingles hashed at a time, rows compared at a time, largest group compared by shifts, and one by one; points of neighbours sorted at a time.
 CHUNK, ROWS, SHIFTED, SINGLY, POINTS = 1 << 16, 200_000, 24, 2048, 1 << 23
 #: Pairs held until they are named, or those left out that connect nothing new; largest group of signatures whose pairs are looked at in all, many groups together.
@@ -461,8 +464,13 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None =
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links that connect all nodes (node, sig) that are equal in one of the blocks and differ in at most CHECK_BITS check bits."""
-    return _links(nodes, lambda sig: keys_of_signatures(sig[:, :WORDS]), CHECK_WORDS, CHECK_BITS)
+    """a, b: links that connect all nodes (node, sig) that are equal in one of the blocks and differ in at most CHECK_BITS check bits; kept."""
+    found = ()
+    for at in range(0, BLOCKS, AT_ONCE):
+        blocks = range(at, min(at + AT_ONCE, BLOCKS))
+        links = _links(nodes, lambda sig, blocks=blocks: keys_of_signatures(sig[:, :WORDS], blocks), CHECK_WORDS, CHECK_BITS)
+        found = (kept(links.unionByName(found[0]) if found else links, "found", found),)
+    return found[0]
 
 
 def alike(part: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -534,7 +542,11 @@ def confirmed(links: DataFrame, sketches: DataFrame, docs: DataFrame, text: str,
 
 def similar_roots(nodes: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, shingle: int, row: str) -> DataFrame:
     """node, root: the smallest node of each component of similarity 0.8, for every node; what meets at no block is compared where a chain of others leads to it."""
-    roots = components(confirmed(similar_links(nodes), sketches, docs, text, shingle, row), "a", "b")
+    links = similar_links(nodes)
+    pairs = confirmed(links, sketches, docs, text, shingle, row)
+    discard(links)
+    roots = components(pairs, "a", "b")
+    discard(pairs)
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -733,6 +733,32 @@ def test_groups_of_all_sizes_are_connected():
         assert root.tolist() == [want[a] for a in range(4 * size)]
 
 
+def test_blocks_take_turns_and_none_is_left_out(spark, monkeypatch):
+    """Pairs that are equal in one block and its check words only, for each block; at most a quarter of the keys of all are shuffled at once."""
+    turns, links = [], simhash._links
+
+    def looked(nodes, keyed, *args):
+        turns.append(keyed(np.zeros((1, simhash.WORDS + 2), np.uint64))[1] >> simhash.BLOCK_BITS)
+        return links(nodes, keyed, *args)
+
+    monkeypatch.setattr(simhash, "_links", looked)
+    rng, sigs, first = np.random.default_rng(47), [], simhash.WORDS - 2 * simhash.CHECK_WORDS
+    for block in range(simhash.BLOCKS):
+        equal = np.zeros(64 * simhash.WORDS, bool)
+        at = np.arange(simhash.BLOCK_BITS)
+        equal[simhash.BLOCK_BITS * block + at if block < simhash.RUNS else simhash.RUNS * at + block - simhash.RUNS] = True
+        word = block * simhash.BLOCK_BITS // 64
+        other = word < first + simhash.CHECK_WORDS if first <= word < simhash.WORDS else block % 2
+        equal[64 * (first + simhash.CHECK_WORDS * other) :][: 64 * simhash.CHECK_WORDS] = True
+        x = rng.integers(0, 2, len(equal)) > 0
+        sigs += [bytearray(np.packbits(bits).tobytes() + bytes(16)) for bits in (x, np.where(equal, x, ~x))]
+    nodes = kept(spark.createDataFrame(list(enumerate(sigs)), "node long, sig binary"), "nodes")
+    found = simhash.similar_links(nodes).collect()
+    assert sorted((r.a, r.b) for r in found) == [(2 * b, 2 * b + 1) for b in range(simhash.BLOCKS)]
+    assert sorted(np.concatenate(turns).tolist()) == list(range(simhash.BLOCKS))
+    assert max(map(len, turns)) <= simhash.BLOCKS // 4
+
+
 def test_keys_hold_little_of_what_is_not_similar():
     """Of 0.8 all but one in 1,000 meet, and two signatures at random share a key with a chance of 1 in 400: at 3,000,000 texts a key holds 46."""
     rng = np.random.default_rng(23)
