@@ -464,11 +464,16 @@ def fingerprint_links(nodes: DataFrame, threshold: int = 2, crowd: int | None =
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links that connect all nodes (node, sig) that are equal in one of the blocks and differ in at most CHECK_BITS check bits; kept."""
-    found = ()
+    """a, b: links that connect all nodes (node, sig) that are equal in one of the blocks and differ in at most CHECK_BITS check bits; kept.
+
+    What a turn of blocks connects is one node in the next, so links that are known are not found again.
+    """
+    found, sent = (), nodes
     for at in range(0, BLOCKS, AT_ONCE):
         blocks = range(at, min(at + AT_ONCE, BLOCKS))
-        links = _links(nodes, lambda sig, blocks=blocks: keys_of_signatures(sig[:, :WORDS], blocks), CHECK_WORDS, CHECK_BITS)
+        if found:
+            sent = nodes.join(components(found[0], "a", "b"), "node", "left").select(F.coalesce("root", "node").alias("node"), "sig")
+        links = _links(sent, lambda sig, blocks=blocks: keys_of_signatures(sig[:, :WORDS], blocks), CHECK_WORDS, CHECK_BITS)
         found = (kept(links.unionByName(found[0]) if found else links, "found", found),)
     return found[0]
 

@@ -759,6 +759,13 @@ def test_blocks_take_turns_and_none_is_left_out(spark, monkeypatch):
     assert max(map(len, turns)) <= simhash.BLOCKS // 4
 
 
+def test_links_that_are_known_are_not_found_again(spark):
+    """50 signatures that are equal in all blocks give 49 links, not as many in each turn."""
+    sig = bytearray(np.random.default_rng(53).bytes(8 * simhash.WORDS + 16))
+    nodes = kept(spark.createDataFrame([(i, sig) for i in range(50)], "node long, sig binary"), "nodes")
+    assert sorted((r.a, r.b) for r in simhash.similar_links(nodes).collect()) == [(0, i) for i in range(1, 50)]
+
+
 def test_keys_hold_little_of_what_is_not_similar():
     """Of 0.8 all but one in 1,000 meet, and two signatures at random share a key with a chance of 1 in 400: at 3,000,000 texts a key holds 46."""
     rng = np.random.default_rng(23)
